@@ -71,7 +71,7 @@ def fold_emit(
 
 
 def spans(
-    text: Column, pattern: str | Column, behind: int = 0, ahead: int = 0, group: int = 0
+    text: Column, pattern: str | Column, behind: int = 0, ahead: int = 0
 ) -> Column:
     """All non-overlapping matches as ``(start, len, text, before, after)``, start in characters.
 
@@ -118,10 +118,11 @@ def spans(
         init = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"))
         return let(items, lambda xs: fold_emit(xs, init, step, SPAN_TYPE))
 
-    parts = F.struct(
-        F.split(text, pat, -1).alias("gaps"), F.regexp_extract_all(text, pat, F.lit(group)).alias("hits")
+    return let(
+        F.regexp_extract_all(text, pat, F.lit(0)),
+        lambda hits: F.when(F.size(hits) > 0, let(F.struct(F.split(text, pat, -1).alias("gaps"), hits.alias("hits")), build))
+        .otherwise(empty(SPAN_TYPE)),
     )
-    return F.when(F.rlike(text, pat), let(parts, build)).otherwise(empty(SPAN_TYPE))
 
 
 def digit_adjacent(span: Column) -> Column:

@@ -77,20 +77,41 @@ def preset_of(rules: list[Rule]) -> str:
     return "custom"
 
 
-def _guard(rule: Rule, text: Column) -> Column | None:
-    """A cheap test that is true whenever the built-in pattern can match."""
-    if rule.regex == dict((i, p) for i, _, p, _ in fx.BUILTIN_RULES).get(rule.id):
-        if rule.tag == "EMAIL":
-            return F.contains(text, F.lit("@"))
-        if rule.tag == "APIKEY":
-            return F.contains(text, F.lit("sk-")) | F.contains(text, F.lit("AKIA"))
-    return None
+DIGIT_RUN = r"(?=\p{Nd})\p{Nd}{11}"
+DOTTED_PAIR = r"(?=\p{Nd})\p{Nd}{1,3}\.\p{Nd}{1,3}\."
+BUILTIN_PATTERNS = {i: p for i, _, p, _ in fx.BUILTIN_RULES}
+
+
+# Same matches as the built-in e-mail pattern, but a search starts only where a run of local-part
+# characters starts (or where the last match ended), which keeps long words cheap.
+FAST_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+def _java_pattern(rule: Rule) -> str:
+    if rule.regex == BUILTIN_PATTERNS["builtin.email"]:
+        return FAST_EMAIL
+    return uni(rule.regex)
+
+
+def _guard_key(rule: Rule) -> str:
+    """Rules with the same key share one cheap test that is true whenever they can match."""
+    if rule.regex != BUILTIN_PATTERNS.get(rule.id):
+        return ""
+    return {"EMAIL": "at", "APIKEY": "key", "IP": "dots"}.get(rule.tag, "digits")
+
+
+def _guard(key: str, text: Column) -> Column:
+    if key == "at":
+        return F.contains(text, F.lit("@"))
+    if key == "key":
+        return F.contains(text, F.lit("sk-")) | F.contains(text, F.lit("AKIA"))
+    return F.rlike(text, F.lit(DOTTED_PAIR if key == "dots" else DIGIT_RUN))
 
 
 def rule_hits(text: Column, rule: Rule, pri: int) -> Column:
     """Hits of one rule: match, then validate, then reject fragments of longer digit runs."""
     bound = rule.tag in DIGIT_BOUND_TAGS
-    found = spans(text, uni(rule.regex), behind=1 if bound else 0, ahead=1 if bound else 0)
+    found = spans(text, _java_pattern(rule), behind=1 if bound else 0, ahead=1 if bound else 0)
     check = VALIDATORS.get(rule.tag)
     if bound and check:
         found = F.filter(found, lambda s: check(s["text"]) & ~digit_adjacent(s))
@@ -98,18 +119,25 @@ def rule_hits(text: Column, rule: Rule, pri: int) -> Column:
         found = F.filter(found, lambda s: ~digit_adjacent(s))
     elif check:
         found = F.filter(found, lambda s: check(s["text"]))
-    hits = F.transform(
+    return F.transform(
         found,
         lambda s: hit(
             s["start"], s["len"], s["text"], rule.tag, pri, rule.action, rule.id, rule.min_confirm, rule.validated
         ),
     )
-    guard = _guard(rule, text)
-    return hits if guard is None else F.when(guard, hits).otherwise(empty(HITS_TYPE))
 
 
 def rules_hits(text: Column, rules: list[Rule]) -> list[Column]:
-    return [rule_hits(text, r, i) for i, r in enumerate(rules) if r.enabled]
+    """Hits of all enabled rules.  A text that fails a shared guard skips that whole group of rules."""
+    groups: dict[str, list[Column]] = {}
+    for i, r in enumerate(rules):
+        if r.enabled:
+            groups.setdefault(_guard_key(r), []).append(rule_hits(text, r, i))
+    out = groups.pop("", [])
+    for key, hits in groups.items():
+        both = F.concat(*hits) if len(hits) > 1 else hits[0]
+        out.append(F.when(_guard(key, text), both).otherwise(empty(HITS_TYPE)))
+    return out
 
 
 def scan(text: Column, rules: list[Rule] | None = None, semantic=None, locker=None) -> Column:
@@ -146,7 +174,7 @@ def hits_long(scanned: DataFrame, keys: list[str], hits: str = "hits", originals
 
 def detect(messages: DataFrame, rule: Rule, keys: list[str], text: str = "body") -> DataFrame:
     """Hit rows of one rule."""
-    scanned = messages.select(*keys, rule_hits(F.col(text), rule, 0).alias("hits"))
+    scanned = messages.select(*keys, F.concat(*rules_hits(F.col(text), [rule])).alias("hits"))
     return hits_long(scanned, keys)
 
 

@@ -1,4 +1,4 @@
-"""Redaction: put replacements in place of resolved hits, in plain text."""
+"""Redaction: put replacements in place of spans, in plain text and in JSON documents."""
 
 from __future__ import annotations
 
@@ -9,35 +9,46 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.spans import let
 
+EDIT_TYPE = "array<struct<start:int,len:int,text:string>>"
 
-def replace_hits(text: Column, hits: Column, replacement: Callable[[Column], Column]) -> Column:
-    """The text with every hit replaced by ``replacement(hit)``; hits must be resolved.
 
-    A ``warn`` hit is reported but the text is kept.
-    """
+def splice(text: Column, edits: Column) -> Column:
+    """Apply sorted, non-overlapping edits ``(start, len, text)`` to a text."""
 
-    def build(hs: Column) -> Column:
-        def end(h: Column) -> Column:
-            return h["start"] + h["len"]
+    def build(es: Column) -> Column:
+        def end(e: Column) -> Column:
+            return e["start"] + e["len"]
 
         pieces = F.transform(
-            hs,
-            lambda h, i: F.concat(
-                F.substring(
-                    text,
-                    F.coalesce(end(F.get(hs, i - 1)), F.lit(0)) + 1,
-                    h["start"] - F.coalesce(end(F.get(hs, i - 1)), F.lit(0)),
-                ),
-                replacement(h),
+            es,
+            lambda e, i: let(
+                F.coalesce(end(F.get(es, i - 1)), F.lit(0)),
+                lambda at: F.concat(F.substring(text, at + 1, e["start"] - at), e["text"]),
             ),
         )
-        tail = F.substring(text, end(F.element_at(hs, -1)) + 1, F.length(text))
+        tail = F.substring(text, end(F.element_at(es, -1)) + 1, F.length(text))
         return F.concat(F.array_join(pieces, ""), tail)
 
-    active = F.filter(hits, lambda h: h["action"] != "warn")
-    return F.when(F.exists(hits, lambda h: h["action"] != "warn"), let(active, build)).otherwise(text)
+    return let(edits, lambda es: F.when(F.size(es) > 0, build(es)).otherwise(text))
 
 
-def redact(scanned: DataFrame, replacement: Callable[[Column], Column], text: str = "body", hits: str = "hits",
-           out: str = "redacted") -> DataFrame:
+def replace_hits(text: Column, hits: Column, replacement: Callable[[Column], Column]) -> Column:
+    """The text with every resolved hit replaced; a ``warn`` hit is reported but its text is kept."""
+    active = F.filter(hits, lambda h: h["action"] != "warn")
+    return splice(
+        text,
+        F.transform(
+            active,
+            lambda h: F.struct(h["start"].alias("start"), h["len"].alias("len"), replacement(h).alias("text")),
+        ),
+    )
+
+
+def redact(
+    scanned: DataFrame,
+    replacement: Callable[[Column], Column],
+    text: str = "body",
+    hits: str = "hits",
+    out: str = "redacted",
+) -> DataFrame:
     return scanned.withColumn(out, replace_hits(F.col(text), F.col(hits), replacement))
