@@ -93,13 +93,11 @@ class Cooldown:
 
     def use(self, ts: float, n: int = 1) -> list[tuple[int, float, float]]:
         """Notices ``(count, first_ts, notice_ts)`` caused by n events at the same time."""
-        out = []
-        for k in (1, n - 1) if n > 1 else (1,):
-            if self.count == 0 and self.next_ts is None:
-                self.first_ts = ts
-            if self.next_ts is None or ts >= self.next_ts:
-                out.append((self.count + 1, self.first_ts, ts))
-                self.next_ts, self.count, self.first_ts = ts + self.period, k - 1, ts
-            else:
-                self.count += k
-        return out
+        if self.next_ts is None:
+            self.first_ts = ts
+        if self.next_ts is not None and ts < self.next_ts:
+            self.count += n
+            return []
+        notice = (self.count + 1, self.first_ts, ts)
+        self.next_ts, self.count, self.first_ts = ts + self.period, n - 1, ts
+        return [notice]

@@ -173,7 +173,8 @@ def hits_long(scanned: DataFrame, keys: list[str], hits: str = "hits", originals
 
 
 def detect(messages: DataFrame, rule: Rule, keys: list[str], text: str = "body") -> DataFrame:
-    """Hit rows of one rule."""
+    """Hit rows of one rule, whether or not it is switched on."""
+    rule = replace(rule, enabled=True)
     scanned = messages.select(*keys, F.concat(*rules_hits(F.col(text), [rule])).alias("hits"))
     return hits_long(scanned, keys)
 

@@ -302,14 +302,15 @@ def usage_ledger(uses: DataFrame, responses: DataFrame) -> DataFrame:
         responses.select("client", "ts", F.lit(1).alias("is_reply"), F.lit(None).cast("string").alias("path"),
                          F.lit(None).cast("string").alias("entry"))
     )
-    later = W.partitionBy("client").orderBy("ts", "is_reply").rowsBetween(W.currentRow, W.unboundedFollowing)
-    settled = marks.withColumn("reply_ts", F.first(F.when(F.col("is_reply") == 1, F.col("ts")), ignorenulls=True).over(later))
+    # Newest first, so that "the next reply" is a running value and not a new search per row.
+    seen = W.partitionBy("client").orderBy(F.desc("ts"), F.desc("is_reply")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    settled = marks.withColumn("reply_ts", F.last(F.when(F.col("is_reply") == 1, F.col("ts")), ignorenulls=True).over(seen))
     return (
         settled.where("is_reply = 0 AND reply_ts IS NOT NULL")
         .groupBy("client", "reply_ts", "path", "entry")
         .agg(F.min("ts").alias("entry_ts"))
         .withColumn("staged_ts", F.min("entry_ts").over(W.partitionBy("client", "reply_ts", "path")))
-        .where(F.unix_timestamp("reply_ts") - F.unix_timestamp("staged_ts") <= fx.REQUEST_CONTEXT_SECONDS)
+        .where(F.unix_micros("reply_ts") - F.unix_micros("staged_ts") <= fx.REQUEST_CONTEXT_SECONDS * 1_000_000)
         .select("client", "reply_ts", "path", "entry", "staged_ts")
     )
 
