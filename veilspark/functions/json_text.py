@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import HIT_FIELDS, let, spans
+from veilspark.functions.spans import HIT_FIELDS, compute_once, let, spans
 from veilspark.operators.redact import replace_hits, splice
 
 BACKSLASH, QUOTE = "\x01\x01", "\x01\x02"
@@ -95,7 +95,7 @@ def redact_json(
     """Add ``hits`` (over all leaves) and ``redacted``; a body that is not JSON passes unchanged."""
     found = F.when(is_json(F.col(body)), scan_leaves(F.col(body), scanner)).otherwise(F.array().cast(LEAF_TYPE))
     return (
-        messages.withColumn("__leaves", found)
+        compute_once(messages, __leaves=found)
         .withColumn("hits", leaf_hits(F.col("__leaves")))
         .withColumn("redacted", redact_leaves(F.col(body), F.col("__leaves"), replacement))
         .drop("__leaves")

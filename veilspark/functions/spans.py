@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
@@ -27,6 +27,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that later filters on them read the value.
+
+    A filter on a projected column is pushed down with the whole expression copied into it; a generator
+    of one row keeps the value where it was computed.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def empty(ddl: str) -> Column:
     return F.array().cast(ddl)
 
@@ -70,59 +80,63 @@ def fold_emit(
     return F.flatten(done["outs"])
 
 
-def spans(
-    text: Column, pattern: str | Column, behind: int = 0, ahead: int = 0
-) -> Column:
-    """All non-overlapping matches as ``(start, len, text, before, after)``, start in characters.
+PART_TYPE = "gaps:array<string>,hits:array<string>"
 
-    ``before``/``after`` hold up to ``behind``/``ahead`` neighbouring characters.
-    """
+
+def match_parts(text: Column, pattern: str | Column, *meta: Column) -> Column:
+    """The gaps and matches of a pattern as an array of one struct, empty if nothing matches."""
     pat = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return let(
+        F.regexp_extract_all(text, pat, F.lit(0)),
+        lambda hits: F.when(
+            F.size(hits) > 0, F.array(F.struct(F.split(text, pat, -1).alias("gaps"), hits.alias("hits"), *meta))
+        ),
+    )
 
-    def after(parts: Column, i: Column) -> Column:
+
+def walk_parts(parts: Column, behind: int = 0, ahead: int = 0) -> Column:
+    """Spans from gaps and matches: a running sum gives every start."""
+
+    def after(i: Column) -> Column:
         pieces = []
         for k in range(1, ahead + 1):
             pieces.append(F.left(F.coalesce(F.get(parts["gaps"], i + k), F.lit("")), F.lit(ahead)))
             pieces.append(F.left(F.coalesce(F.get(parts["hits"], i + k), F.lit("")), F.lit(ahead)))
         return F.left(F.concat(*pieces), F.lit(ahead)) if pieces else F.lit("")
 
-    def build(parts: Column) -> Column:
-        items = F.transform(
-            parts["hits"],
-            lambda hit, i: F.struct(
-                F.get(parts["gaps"], i).alias("gap"), hit.alias("hit"), after(parts, i).alias("after")
-            ),
-        )
+    items = F.transform(
+        parts["hits"],
+        lambda hit, i: F.struct(F.get(parts["gaps"], i).alias("gap"), hit.alias("hit"), after(i).alias("after")),
+    )
 
-        def step(state: Column, x: Column) -> Column:
-            start = (state["pos"] + F.length(x["gap"])).cast("int")
-            before = (
-                F.right(F.concat(state["tail"], x["gap"]), F.lit(behind)) if behind else F.lit("")
-            )
-            tail = F.right(F.concat(before, x["hit"]), F.lit(behind)) if behind else F.lit("")
-            return F.struct(
+    def step(state: Column, x: Column) -> Column:
+        start = (state["pos"] + F.length(x["gap"])).cast("int")
+        before = F.right(F.concat(state["tail"], x["gap"]), F.lit(behind)) if behind else F.lit("")
+        tail = F.right(F.concat(before, x["hit"]), F.lit(behind)) if behind else F.lit("")
+        return F.struct(
+            F.struct((start + F.length(x["hit"])).cast("int").alias("pos"), tail.alias("tail")).alias("state"),
+            F.array(
                 F.struct(
-                    (start + F.length(x["hit"])).cast("int").alias("pos"), tail.alias("tail")
-                ).alias("state"),
-                F.array(
-                    F.struct(
-                        start.alias("start"),
-                        F.length(x["hit"]).alias("len"),
-                        x["hit"].alias("text"),
-                        before.alias("before"),
-                        x["after"].alias("after"),
-                    )
-                ).alias("out"),
-            )
+                    start.alias("start"),
+                    F.length(x["hit"]).alias("len"),
+                    x["hit"].alias("text"),
+                    before.alias("before"),
+                    x["after"].alias("after"),
+                )
+            ).alias("out"),
+        )
 
-        init = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"))
-        return let(items, lambda xs: fold_emit(xs, init, step, SPAN_TYPE))
+    init = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"))
+    return let(items, lambda xs: fold_emit(xs, init, step, SPAN_TYPE))
 
-    return let(
-        F.regexp_extract_all(text, pat, F.lit(0)),
-        lambda hits: F.when(F.size(hits) > 0, let(F.struct(F.split(text, pat, -1).alias("gaps"), hits.alias("hits")), build))
-        .otherwise(empty(SPAN_TYPE)),
-    )
+
+def spans(text: Column, pattern: str | Column, behind: int = 0, ahead: int = 0) -> Column:
+    """All non-overlapping matches as ``(start, len, text, before, after)``, start in characters.
+
+    ``before``/``after`` hold up to ``behind``/``ahead`` neighbouring characters.
+    """
+    parts = F.coalesce(match_parts(text, pattern), F.array().cast(f"array<struct<{PART_TYPE}>>"))
+    return F.flatten(F.transform(parts, lambda p: walk_parts(p, behind, ahead)))
 
 
 def digit_adjacent(span: Column) -> Column:
@@ -137,38 +151,6 @@ HIT_FIELDS = (
 HITS_TYPE = f"array<struct<{HIT_FIELDS}>>"
 
 
-def hit(
-    start: Column,
-    length: Column,
-    original: Column,
-    tag: Column | str,
-    pri: int | Column,
-    action: Column | str = "mask",
-    rule_id: str = "",
-    min_confirm: int = 1,
-    validated: bool = False,
-    locker_entry: Column | None = None,
-) -> Column:
-    """One detection.  The field order is the resolution order: start, longest, source order."""
-
-    def col(v):
-        return v if isinstance(v, Column) else F.lit(v)
-
-    return F.struct(
-        start.cast("int").alias("start"),
-        (-length).cast("int").alias("neg_len"),
-        col(pri).cast("int").alias("pri"),
-        length.cast("int").alias("len"),
-        col(tag).alias("tag"),
-        col(action).alias("action"),
-        F.lit(rule_id).alias("rule_id"),
-        F.lit(min_confirm).cast("int").alias("min_confirm"),
-        F.lit(validated).alias("validated"),
-        (locker_entry if locker_entry is not None else F.lit(None).cast("string")).alias("locker_entry"),
-        original.alias("original"),
-    )
-
-
 def resolve_overlaps(hits: Column) -> Column:
     """Sort by start, longest first, source order; keep a hit only if it starts past the last kept one."""
 

@@ -9,20 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
-from veilspark.functions.checks import id_card_ok, ipv4_ok, luhn_ok
-from veilspark.functions.spans import (
-    HITS_TYPE,
-    digit_adjacent,
-    empty,
-    hit,
-    let,
-    resolve_overlaps,
-    spans,
-    uni,
-)
-
-VALIDATORS = {"IDCARD": id_card_ok, "BANKCARD": luhn_ok, "IP": ipv4_ok}
-DIGIT_BOUND_TAGS = {"IDCARD", "PHONE", "BANKCARD"}
+from veilspark.functions.matching import Matcher, find
+from veilspark.functions.spans import compute_once, let, resolve_overlaps, spans, uni
+
+VALIDATORS = {"IDCARD", "BANKCARD", "IP"}
 
 
 @dataclass(frozen=True)
@@ -77,11 +67,8 @@ def preset_of(rules: list[Rule]) -> str:
     return "custom"
 
 
-DIGIT_RUN = r"(?=\p{Nd})\p{Nd}{11}"
-DOTTED_PAIR = r"(?=\p{Nd})\p{Nd}{1,3}\.\p{Nd}{1,3}\."
 BUILTIN_PATTERNS = {i: p for i, _, p, _ in fx.BUILTIN_RULES}
 
-
 # Same matches as the built-in e-mail pattern, but a search starts only where a run of local-part
 # characters starts (or where the last match ended), which keeps long words cheap.
 FAST_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -100,66 +87,36 @@ def _guard_key(rule: Rule) -> str:
     return {"EMAIL": "at", "APIKEY": "key", "IP": "dots"}.get(rule.tag, "digits")
 
 
-def _guard(key: str, text: Column) -> Column:
-    if key == "at":
-        return F.contains(text, F.lit("@"))
-    if key == "key":
-        return F.contains(text, F.lit("sk-")) | F.contains(text, F.lit("AKIA"))
-    return F.rlike(text, F.lit(DOTTED_PAIR if key == "dots" else DIGIT_RUN))
-
-
-def rule_hits(text: Column, rule: Rule, pri: int) -> Column:
-    """Hits of one rule: match, then validate, then reject fragments of longer digit runs."""
-    bound = rule.tag in DIGIT_BOUND_TAGS
-    found = spans(text, _java_pattern(rule), behind=1 if bound else 0, ahead=1 if bound else 0)
-    check = VALIDATORS.get(rule.tag)
-    if bound and check:
-        found = F.filter(found, lambda s: check(s["text"]) & ~digit_adjacent(s))
-    elif bound:
-        found = F.filter(found, lambda s: ~digit_adjacent(s))
-    elif check:
-        found = F.filter(found, lambda s: check(s["text"]))
-    return F.transform(
-        found,
-        lambda s: hit(
-            s["start"], s["len"], s["text"], rule.tag, pri, rule.action, rule.id, rule.min_confirm, rule.validated
-        ),
-    )
-
-
-def rules_hits(text: Column, rules: list[Rule]) -> list[Column]:
-    """Hits of all enabled rules.  A text that fails a shared guard skips that whole group of rules."""
-    groups: dict[str, list[Column]] = {}
-    for i, r in enumerate(rules):
-        if r.enabled:
-            groups.setdefault(_guard_key(r), []).append(rule_hits(text, r, i))
-    out = groups.pop("", [])
-    for key, hits in groups.items():
-        both = F.concat(*hits) if len(hits) > 1 else hits[0]
-        out.append(F.when(_guard(key, text), both).otherwise(empty(HITS_TYPE)))
-    return out
+def rule_matchers(rules: list[Rule]) -> list[Matcher]:
+    checks = {"IDCARD": "idcard", "PHONE": "phone", "BANKCARD": "bankcard", "IP": "ip"}
+    return [
+        Matcher(
+            _java_pattern(r), r.tag, i, check=checks.get(r.tag, ""), guard=_guard_key(r), action=r.action,
+            rule_id=r.id, min_confirm=r.min_confirm, validated=r.validated,
+        )
+        for i, r in enumerate(rules)
+        if r.enabled
+    ]
 
 
 def scan(text: Column, rules: list[Rule] | None = None, semantic=None, locker=None) -> Column:
     """Resolved hits of all sources for one text: rules, then semantic detectors, then locker values."""
-    from veilspark.operators.locker import locker_hits
-    from veilspark.operators.semantic import semantic_hits
+    from veilspark.operators.locker import locker_matchers
+    from veilspark.operators.semantic import semantic_matchers
 
-    sources = rules_hits(text, builtin_rules() if rules is None else rules)
+    matchers = rule_matchers(builtin_rules() if rules is None else rules)
     if semantic is not None:
-        sources += semantic_hits(text, semantic)
+        matchers += semantic_matchers(semantic)
     if locker:
-        sources.append(locker_hits(text, locker))
-    if not sources:
-        return empty(HITS_TYPE)
-    return resolve_overlaps(F.coalesce(F.concat(*sources), empty(HITS_TYPE)))
+        matchers += locker_matchers(locker)
+    return resolve_overlaps(find(text, matchers))
 
 
 def with_hits(
     messages: DataFrame, rules=None, semantic=None, locker=None, text: str = "body", out: str = "hits"
 ) -> DataFrame:
     """Add the resolved hit array; one narrow pass over the text, no shuffle."""
-    return messages.withColumn(out, scan(F.col(text), rules, semantic, locker))
+    return compute_once(messages, **{out: scan(F.col(text), rules, semantic, locker)})
 
 
 def hits_long(scanned: DataFrame, keys: list[str], hits: str = "hits", originals: bool = False) -> DataFrame:
@@ -167,16 +124,19 @@ def hits_long(scanned: DataFrame, keys: list[str], hits: str = "hits", originals
     names = ["start", "len", "tag", "action", "rule_id", "min_confirm", "validated", "locker_entry"]
     if originals:
         names.append("original")
-    return scanned.where(F.size(hits) > 0).select(*keys, F.explode(hits).alias("h")).select(
+    return scanned.select(*keys, F.explode(hits).alias("h")).select(
         *keys, *[F.col(f"h.{n}").alias(n) for n in names]
     )
 
 
 def detect(messages: DataFrame, rule: Rule, keys: list[str], text: str = "body") -> DataFrame:
     """Hit rows of one rule, whether or not it is switched on."""
-    rule = replace(rule, enabled=True)
-    scanned = messages.select(*keys, F.concat(*rules_hits(F.col(text), [rule])).alias("hits"))
-    return hits_long(scanned, keys)
+    return find_long(messages, rule_matchers([replace(rule, enabled=True)]), keys, text)
+
+
+def find_long(messages: DataFrame, matchers: list[Matcher], keys: list[str], text: str = "body") -> DataFrame:
+    """Hit rows of some matchers, overlaps included."""
+    return hits_long(compute_once(messages.select(*keys, text), hits=find(F.col(text), matchers)), keys)
 
 
 def regex_spans(messages: DataFrame, pattern: str, keys: list[str], text: str = "body") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
-from veilspark.functions.spans import HITS_TYPE, empty, hit, spans
+from veilspark.functions.matching import Matcher
+from veilspark.functions.spans import empty
 from veilspark.operators.semantic import _quote
 
 PRI_BASE = 20_000
@@ -57,33 +58,15 @@ def active_values(entries) -> list[LockerEntry]:
     return [e for e in entries if e.enabled and e.kind == "value"]
 
 
-def locker_hits(text: Column, entries) -> Column:
-    """Every occurrence (overlapping ones too) of every enabled value; tag LOCKER, action per entry."""
-    rows = [
-        F.struct(
-            F.lit(e.name).alias("name"),
-            F.lit(e.value).alias("value"),
-            F.lit("block" if e.action == "block" else "mask").alias("action"),
-            F.lit("(?s)(?=" + _quote(e.value) + ").").alias("pattern"),
-            F.lit(PRI_BASE + i).alias("pri"),
+def locker_matchers(entries) -> list[Matcher]:
+    """One matcher per enabled value.  The look-ahead finds overlapping occurrences too."""
+    return [
+        Matcher(
+            "(?s)(?=" + _quote(e.value) + ").", "LOCKER", PRI_BASE + i, rule_id="locker",
+            action="block" if e.action == "block" else "mask", needle=e.value, entry=e.name, value=e.value,
         )
         for i, e in enumerate(active_values(entries))
     ]
-    if not rows:
-        return empty(HITS_TYPE)
-    present = F.filter(F.array(*rows), lambda r: F.contains(text, r["value"]))
-    return F.flatten(
-        F.transform(
-            present,
-            lambda r: F.transform(
-                spans(text, r["pattern"]),
-                lambda s: hit(
-                    s["start"], F.length(r["value"]), r["value"], "LOCKER", r["pri"], r["action"], "locker",
-                    locker_entry=r["name"],
-                ),
-            ),
-        )
-    )
 
 
 def locker_entry_names(text: Column, entries) -> Column:

@@ -61,10 +61,8 @@ def resolve_tokens(tokens: DataFrame, vault: DataFrame) -> DataFrame:
     )
 
 
-def _pass(df: DataFrame, vault: DataFrame, keys: list[str], text: str, loose: bool, escape: str | None) -> DataFrame:
-    """One replacement pass over the rows that hold ``PII:``; adds to the counters of ``df``."""
-    has = F.contains(F.col(text), F.lit("PII:"))
-    rows = df.where(has)
+def _pass(rows: DataFrame, vault: DataFrame, keys: list[str], text: str, loose: bool, escape: str | None) -> DataFrame:
+    """One replacement pass; adds to the counters of ``rows``."""
     extra = [] if escape is None else [escape]
     tokens = _tokens(rows, keys + extra, text, fx.LOOSE_PLACEHOLDER if loose else fx.STRICT_PLACEHOLDER)
     if loose:
@@ -85,14 +83,13 @@ def _pass(df: DataFrame, vault: DataFrame, keys: list[str], text: str, loose: bo
     )
     out = rows.join(per, keys, "left")
     zero = F.lit(0)
-    out = (
+    return (
         out.withColumn(text, F.when(F.col("__edits").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("__edits"))))
         .withColumn("restored", F.col("restored") + F.coalesce("__restored", zero))
         .withColumn("unresolved", F.col("unresolved") + F.coalesce("__unresolved", zero))
         .withColumn("degraded", F.col("degraded") + F.coalesce("__degraded", zero))
         .drop("__edits", "__restored", "__unresolved", "__degraded")
     )
-    return out.unionByName(df.where(~has))
 
 
 def restore(
@@ -111,11 +108,12 @@ def restore(
     """
     v = suffix_index(vault)
     zero = F.lit(0).cast("long")
-    df = messages.withColumn(out, F.col(text))
-    for s in STAT_NAMES:
-        df = df.withColumn(s, zero)
-    df = _pass(df, v, keys, out, loose=False, escape=escape)
-    return _pass(df, v, keys, out, loose=True, escape=escape) if loose else df
+    df = messages.withColumn(out, F.col(text)).withColumns(dict.fromkeys(STAT_NAMES, zero))
+    has = F.contains(F.col(text), F.lit("PII:"))
+    rows = _pass(df.where(has), v, keys, out, loose=False, escape=escape)
+    if loose:
+        rows = _pass(rows, v, keys, out, loose=True, escape=escape)
+    return rows.unionByName(df.where(~has))
 
 
 def restore_stats(restored: DataFrame, by: list[str]) -> DataFrame:

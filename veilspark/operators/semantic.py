@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
 from veilspark.functions.checks import shannon_bits
-from veilspark.functions.spans import HITS_TYPE, empty, hit, let, spans, uni
+from veilspark.functions.matching import Matcher
+from veilspark.functions.spans import let
 
 PRI_BASE = 10_000
 HAN = "[一-龥]"
@@ -40,10 +41,6 @@ def _alt(words) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
-def _hits(found: Column, tag: str, pri: int) -> Column:
-    return F.transform(found, lambda s: hit(s["start"], s["len"], s["text"], tag, pri))
-
-
 def entropy_ok(t: Column) -> Column:
     """Mixed character classes, enough entropy, and neither a bare hex digest nor a UUID shape."""
     classes = sum(
@@ -58,102 +55,56 @@ def entropy_ok(t: Column) -> Column:
     )
 
 
-def entropy_hits(text: Column, pri: int = PRI_BASE) -> Column:
-    return _hits(F.filter(spans(text, fx.ENTROPY_TOKEN), lambda s: entropy_ok(s["text"])), "HIGH_ENTROPY", pri)
-
-
 PERSON_PATTERN = _alt([*fx.COMPOUND_SURNAMES, *fx.SINGLE_SURNAMES]) + HAN + "{1,2}"
 AREA_PATTERN = _alt(fx.REGIONS) + HAN + "{0,8}" + _alt(fx.AREA_UNITS)
 ORG_PATTERN = "[一-龥A-Za-z0-9]{2,14}" + _alt(fx.ORG_SUFFIXES)
 
 
-def person_hits(text: Column, pri: int = PRI_BASE + 1) -> Column:
-    """Surname plus one or two Han characters, with a title after or a context word before."""
-    found = spans(text, PERSON_PATTERN, behind=8, ahead=3)
-    return _hits(
-        F.filter(
-            found,
-            lambda s: ~s["text"].isin(*fx.PERSON_BLOCKLIST, *fx.REGIONS)
-            & (
-                F.rlike(s["after"], F.lit("^" + _alt(fx.TITLES_AFTER)))
-                | F.rlike(s["before"], F.lit(_alt(fx.CONTEXT_BEFORE)))
-            ),
-        ),
-        "PERSON",
-        pri,
+def person_ok(s: Column) -> Column:
+    """Not a common word or place; a title follows or a context word precedes."""
+    return ~s["text"].isin(*fx.PERSON_BLOCKLIST, *fx.REGIONS) & (
+        F.rlike(s["after"], F.lit("^" + _alt(fx.TITLES_AFTER))) | F.rlike(s["before"], F.lit(_alt(fx.CONTEXT_BEFORE)))
     )
 
 
-def org_hits(text: Column, pri: int = PRI_BASE + 2) -> Column:
-    def ok(s: Column) -> Column:
-        core = F.regexp_replace(
-            F.regexp_replace(s["text"], _alt(fx.ORG_SUFFIXES) + r"\z", ""), f"^[{fx.ORG_LEADING}]+", ""
-        )
-        return let(
-            core,
-            lambda c: (F.length(c) >= 2)
-            & ~F.rlike(c, F.lit(_alt(fx.ORG_BLOCKLIST)))
-            & ~F.rlike(c, F.lit("^[0-9]+$")),
-        )
+def org_ok(s: Column) -> Column:
+    """What is left without suffix and leading function words is a name of its own."""
+    core = F.regexp_replace(
+        F.regexp_replace(s["text"], _alt(fx.ORG_SUFFIXES) + r"\z", ""), f"^[{fx.ORG_LEADING}]+", ""
+    )
+    return let(
+        core,
+        lambda c: (F.length(c) >= 2) & ~F.rlike(c, F.lit(_alt(fx.ORG_BLOCKLIST))) & ~F.rlike(c, F.lit("^[0-9]+$")),
+    )
 
-    return _hits(F.filter(spans(text, ORG_PATTERN), ok), "ORG", pri)
 
-
-def address_hits(text: Column, pri: int = PRI_BASE + 3) -> Column:
-    area = F.filter(
-        spans(text, AREA_PATTERN, ahead=1),
-        lambda s: ~F.rlike(s["after"], F.lit(f"^[{fx.AREA_BAD_NEXT}]")) & ~F.endswith(s["text"], F.lit("区间")),
-    )
-    return F.concat(_hits(area, "ADDRESS", pri), _hits(spans(text, fx.STREET_PATTERN), "ADDRESS", pri + 1))
+def area_ok(s: Column) -> Column:
+    return ~F.rlike(s["after"], F.lit(f"^[{fx.AREA_BAD_NEXT}]")) & ~F.endswith(s["text"], F.lit("区间"))
 
 
 def _quote(word: str) -> str:
     return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def term_hits(text: Column, terms: tuple[str, ...], pri: int = PRI_BASE + 10) -> Column:
-    """Dictionary terms.  Only terms contained in the text get a span search."""
-    rows = []
+def term_matchers(terms) -> list[Matcher]:
+    """One matcher per dictionary term; plain words match whole words in any case."""
+    out = []
     for i, t in enumerate(clean_terms(terms)):
         word = t.isascii() and t.isalnum()
         pattern = f"(?iU)(?<![A-Za-z0-9]){_quote(t)}(?![A-Za-z0-9])" if word else _quote(t)
-        rows.append(
-            F.struct(
-                F.lit(t.lower() if word else t).alias("needle"),
-                F.lit(word).alias("word"),
-                F.lit(pattern).alias("pattern"),
-                F.lit(pri + i).alias("pri"),
-            )
-        )
-    if not rows:
-        return empty(HITS_TYPE)
-    present = F.filter(
-        F.array(*rows),
-        lambda r: F.contains(F.when(r["word"], F.lower(text)).otherwise(text), r["needle"]),
-    )
-    return F.flatten(
-        F.transform(
-            present,
-            lambda r: F.transform(
-                spans(text, r["pattern"]),
-                lambda s: hit(s["start"], s["len"], s["text"], "CUSTOM_TERM", r["pri"]),
-            ),
-        )
-    )
+        out.append(Matcher(pattern, "CUSTOM_TERM", PRI_BASE + 10 + i, needle=t.lower() if word else t, any_case=word))
+    return out
 
 
-def semantic_hits(text: Column, cfg: SemanticConfig) -> list[Column]:
-    han = F.rlike(text, F.lit(HAN))
-    none = empty(HITS_TYPE)
+def semantic_matchers(cfg: SemanticConfig) -> list[Matcher]:
     out = []
     if cfg.entropy:
-        out.append(entropy_hits(text))
+        out.append(Matcher(fx.ENTROPY_TOKEN, "HIGH_ENTROPY", PRI_BASE, check="entropy"))
     if cfg.person:
-        out.append(F.when(han, person_hits(text)).otherwise(none))
+        out.append(Matcher(PERSON_PATTERN, "PERSON", PRI_BASE + 1, check="person", guard="han"))
     if cfg.org:
-        out.append(F.when(han, org_hits(text)).otherwise(none))
+        out.append(Matcher(ORG_PATTERN, "ORG", PRI_BASE + 2, check="org", guard="han"))
     if cfg.address:
-        out.append(F.when(han, address_hits(text)).otherwise(none))
-    if cfg.terms:
-        out.append(term_hits(text, cfg.terms))
-    return out
+        out.append(Matcher(AREA_PATTERN, "ADDRESS", PRI_BASE + 3, check="area", guard="han"))
+        out.append(Matcher(fx.STREET_PATTERN, "ADDRESS", PRI_BASE + 4, guard="han"))
+    return out + term_matchers(cfg.terms)

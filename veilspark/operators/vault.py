@@ -150,8 +150,7 @@ def redact_with_vault(
         ).drop("__odd")
 
     edits = (
-        scanned.where(F.size("hits") > 0)
-        .select(key, "session", F.explode("hits").alias("h"))
+        scanned.select(key, "session", F.explode("hits").alias("h"))
         .where("h.action <> 'warn'")
         .select(key, "session", F.col("h.original").alias("original"), F.col("h.start").alias("start"), F.col("h.len").alias("len"))
         .join(vault.select("session", "original", "placeholder"), ["session", "original"])
@@ -168,8 +167,7 @@ def redact_with_vault(
 def session_hits(scanned: DataFrame) -> DataFrame:
     """Hit rows in the form the vault mint takes."""
     return (
-        scanned.where(F.size("hits") > 0)
-        .select("session", "seq", "msg_id", "ts", F.explode("hits").alias("h"))
+        scanned.select("session", "seq", "msg_id", "ts", F.explode("hits").alias("h"))
         .where("h.action <> 'warn'")
         .select("session", "seq", "msg_id", "ts", F.col("h.start").alias("start"), F.col("h.tag").alias("tag"),
                 F.col("h.original").alias("original"))

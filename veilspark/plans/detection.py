@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
-from veilspark.functions.spans import uni  # noqa: F401
 from veilspark.operators import detect as dt
 from veilspark.operators import semantic as sm
-from veilspark.operators.locker import LockerEntry, locker_clean, locker_entry_names, locker_hits
+from veilspark.operators.locker import LockerEntry, locker_clean, locker_entry_names, locker_matchers
 from veilspark.operators.redact import redact
 from veilspark.plans import seeded as sd
 from veilspark.plans.base import (
@@ -87,9 +86,7 @@ TICKET = dt.Rule("custom.order", " ticket ", r"order [0-9]{1,9}")
 register(
     "detect_custom",
     lambda s, sf: plain(
-        dt.hits_long(
-            msgs(s, sf).select("msg_id", F.concat(*dt.rules_hits(F.col("body"), [CUSTOM, TICKET])).alias("hits")), ["msg_id"]
-        ).select("msg_id", "start", "len", "tag", "rule_id", "min_confirm", "validated")
+        dt.find_long(msgs(s, sf), dt.rule_matchers([CUSTOM, TICKET]), ["msg_id"]).select("msg_id", "start", "len", "tag", "rule_id", "min_confirm", "validated")
     ),
     f"WITH {d_spans('a', SEEDS, '4[0-9]{15}', RULE_WHERE['BANKCARD'])}, {d_spans('b', SEEDS, 'order [0-9]{1,9}')} "
     "SELECT id AS msg_id, start, len, 'BANKCARD' AS tag, 'custom.token' AS rule_id, CAST(2 AS BIGINT) AS min_confirm, true AS validated FROM a "
@@ -99,10 +96,9 @@ register(
 # --- semantic detectors -------------------------------------------------------------------------------
 
 
-def _semantic_query(build, tag, src, key, sql_body):
+def _semantic_query(cfg, tag, src, key, sql_body):
     def fn(s, sf):
-        hits = build(F.col("body"))
-        return plain(dt.hits_long(src(s, sf).select(key, hits.alias("hits")), [key]).select(key, "start", "len", "tag"))
+        return plain(dt.find_long(src(s, sf), sm.semantic_matchers(cfg), [key]).select(key, "start", "len", "tag"))
 
     register(f"detect_{tag}", fn, sql_body)
 
@@ -116,7 +112,7 @@ D_ENTROPY = (
     " + CAST(regexp_matches(tok, '[0-9]') AS INT) + CAST(regexp_matches(tok, '[^A-Za-z0-9]') AS INT)) >= 3"
     f" AND NOT regexp_full_match(tok, '[0-9A-Fa-f]+') AND {D_BITS} >= 3.3"
 )
-_semantic_query(sm.entropy_hits, "entropy", msgs, "msg_id",
+_semantic_query(sm.SemanticConfig(entropy=True, address=False), "entropy", msgs, "msg_id",
                 f"WITH {d_spans('h', SEEDS, fx.ENTROPY_TOKEN, D_ENTROPY)} " + FOUND.format(key="msg_id", tag="HIGH_ENTROPY"))
 
 
@@ -132,22 +128,22 @@ D_PERSON = (
     f"tok NOT IN {_in(fx.PERSON_BLOCKLIST + fx.REGIONS)} AND (regexp_matches(substr(text, start + len + 1, 3), {q('^' + _alt(fx.TITLES_AFTER))})"
     f" OR regexp_matches(substr(text, greatest(start - 7, 1), least(start, 8)), {q(_alt(fx.CONTEXT_BEFORE))}))"
 )
-_semantic_query(sm.person_hits, "person", msgs, "msg_id",
+_semantic_query(sm.SemanticConfig(person=True, address=False), "person", msgs, "msg_id",
                 f"WITH {d_spans('h', SEEDS, sm.PERSON_PATTERN, D_PERSON)} " + FOUND.format(key="msg_id", tag="PERSON"))
 D_CORE = f"regexp_replace(regexp_replace(tok, {q(_alt(fx.ORG_SUFFIXES) + '$')}, ''), {q('^[' + fx.ORG_LEADING + ']+')}, '')"
 D_ORG = f"length({D_CORE}) >= 2 AND NOT regexp_matches({D_CORE}, {q(_alt(fx.ORG_BLOCKLIST))}) AND NOT regexp_full_match({D_CORE}, '[0-9]+')"
-_semantic_query(sm.org_hits, "org", msgs, "msg_id",
+_semantic_query(sm.SemanticConfig(org=True, address=False), "org", msgs, "msg_id",
                 f"WITH {d_spans('h', SEEDS, sm.ORG_PATTERN, D_ORG)} " + FOUND.format(key="msg_id", tag="ORG"))
 D_AREA = f"NOT contains('{fx.AREA_BAD_NEXT}', next) AND tok NOT LIKE '%区间' OR next = '' AND tok NOT LIKE '%区间'"
 _semantic_query(
-    sm.address_hits, "address", msgs, "msg_id",
+    sm.SemanticConfig(), "address", msgs, "msg_id",
     f"WITH {d_spans('h', SEEDS, sm.AREA_PATTERN, D_AREA)}, {d_spans('h2', SEEDS, fx.STREET_PATTERN)} "
     + FOUND.format(key="msg_id", tag="ADDRESS") + " UNION ALL SELECT id, start, len, 'ADDRESS' FROM h2",
 )
 TERMS = ("星舰计划", "atlas", " Atlas ", "")
 D_WORD = "NOT regexp_matches(prev, '[A-Za-z0-9]') AND NOT regexp_matches(next, '[A-Za-z0-9]')"
 _semantic_query(
-    lambda t: sm.term_hits(t, TERMS), "terms", msgs, "msg_id",
+    sm.SemanticConfig(address=False, terms=TERMS), "terms", msgs, "msg_id",
     f"WITH {d_spans('h', SEEDS, '(?i)atlas', D_WORD)}, {d_spans('h2', SEEDS, '星舰计划')} "
     + FOUND.format(key="msg_id", tag="CUSTOM_TERM") + " UNION ALL SELECT id, start, len, 'CUSTOM_TERM' FROM h2",
 )
@@ -169,8 +165,7 @@ D_LOCKER = (
 register(
     "detect_locker_values",
     lambda s, sf: plain(
-        dt.hits_long(msgs(s, sf).select("msg_id", locker_hits(F.col("body"), LOCKER).alias("hits")), ["msg_id"])
-        .select("msg_id", "start", "len", "action", "locker_entry")
+        dt.find_long(msgs(s, sf), locker_matchers(LOCKER), ["msg_id"]).select("msg_id", "start", "len", "action", "locker_entry")
     ),
     f"WITH {D_LOCKER} SELECT id AS msg_id, start, len, action, name AS locker_entry FROM lh",
 )
