@@ -102,7 +102,6 @@ def redact_json(
     )
 
 
-@F.pandas_udf("array<struct<path:string,value:string>>")
 def _leaf_paths(bodies: pd.Series) -> pd.Series:
     import json
 
@@ -129,7 +128,8 @@ def _leaf_paths(bodies: pd.Series) -> pd.Series:
 
 def json_string_leaves(messages: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     """One row per string leaf with its path.  Detection itself needs no paths and stays native."""
-    return messages.select(*keys, F.inline(_leaf_paths(F.col(body))))
+    paths = F.pandas_udf(_leaf_paths, "array<struct<path:string,value:string>>")
+    return messages.select(*keys, F.inline(paths(F.col(body))))
 
 
 def vtype(v: Column) -> Column:
