@@ -7,7 +7,9 @@ import re
 
 from veilspark import fixed_values as fx
 
-PARTIAL = re.compile(r"|P|PI|PII|PII:[A-Z0-9_]*(?::[0-9a-fA-F]{0,8})?")
+# The start of a placeholder without brackets and backslashes; after ``[[`` it may lack only its last bracket.
+PARTIAL = re.compile(r"|P|PI|PII|PII:[A-Za-z0-9_]*(?::[0-9a-fA-F]{0,8})?")
+ALMOST_CLOSED = re.compile(r"\[\[PII:[A-Za-z0-9_]{1,32}:[0-9a-fA-F]{8}\]")
 RUN = re.compile(r"[\[\\\]:_A-Za-z0-9]*\Z")
 BOUNDARY = re.compile(r"\r\n\r\n|\n\n")
 
@@ -20,7 +22,8 @@ def held_chars(text: str, limit: int = fx.PLACEHOLDER_MAX_LEN) -> int:
     bare = tail.replace("\\", "")
     if bare.startswith("[[") and bare.endswith("]]"):
         return 0
-    return len(tail) if PARTIAL.fullmatch(bare.replace("[", "")) else 0
+    partial = PARTIAL.fullmatch(bare.replace("[", "")) or ALMOST_CLOSED.fullmatch(bare)
+    return len(tail) if partial else 0
 
 
 class Tail:

@@ -103,6 +103,16 @@ def _slots_of(array: Column, build) -> Column:
 def text_slots(data: Column) -> Column:
     """Known text places of one event (a variant): path, channel, text, and whether it is JSON inside."""
 
+    none = F.array().cast(f"array<{SLOT}>")
+
+    def call_slot(base: Column, holder: str):
+        return lambda t, j: _slot(
+            F.concat(base, F.lit(f".{holder}.tool_calls["), j.cast("string"), F.lit("].function.arguments")),
+            _nr("args", F.coalesce(F.try_variant_get(t, "$.index", "bigint"), j.cast("bigint"))),
+            vstr(t, "$.function.arguments"),
+            True,
+        )
+
     def chat_choice(c: Column, i: Column) -> Column:
         base = F.concat(F.lit("choices["), i.cast("string"), F.lit("]"))
         out = [_slot(F.concat(base, F.lit(".text")), _nr("text", i), vstr(c, "$.text"))]
@@ -110,21 +120,7 @@ def text_slots(data: Column) -> Column:
             at = F.concat(base, F.lit("." + holder))
             for key, ch in (("content", "content"), ("reasoning_content", "reason"), ("reasoning", "reason")):
                 out.append(_slot(F.concat(at, F.lit("." + key)), _nr(ch, i), vstr(c, f"$.{holder}.{key}")))
-        calls = [
-            F.coalesce(
-                F.transform(
-                    varray(c, f"$.{holder}.tool_calls"),
-                    lambda t, j, h=holder: _slot(
-                        F.concat(base, F.lit(f".{h}.tool_calls["), j.cast("string"), F.lit("].function.arguments")),
-                        _nr("args", F.coalesce(F.try_variant_get(t, "$.index", "bigint"), j.cast("bigint"))),
-                        vstr(t, "$.function.arguments"),
-                        True,
-                    ),
-                ),
-                F.array().cast(f"array<{SLOT}>"),
-            )
-            for holder in ("delta", "message")
-        ]
+        calls = [F.coalesce(F.transform(varray(c, f"$.{h}.tool_calls"), call_slot(base, h)), none) for h in ("delta", "message")]
         first, second = out[:4], out[4:]
         return F.concat(F.array(*first), calls[0], F.array(*second), calls[1])
 

@@ -76,12 +76,22 @@ def _any_contains(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
+def _redacted(signal: str, severity: str, kind: str):
+    """Match to finding with kind, length and hash."""
+    return lambda m: finding(signal, severity, kind, redact_evidence(m, kind))
+
+
+def _quoted(signal: str, severity: str, kind: str, limit: int):
+    """Match to finding with the start of the match."""
+    return lambda m: finding(signal, severity, kind, F.concat(F.lit(kind + ": "), F.left(m, F.lit(limit))))
+
+
 def leak_credentials(hay: Column) -> Column:
     out = []
     for pattern, kind, severity in fx.LEAK_CREDENTIALS:
         snippets = F.transform(all_matches(hay, pattern), lambda m: F.left(m, F.lit(80)))
         kept = F.filter(snippets, lambda s: ~_any_contains(F.lower(s), fx.SELF_CHECK_MARKERS))
-        out.append(F.transform(kept, lambda s, k=kind, v=severity: finding("error_leak", v, k, redact_evidence(s, k))))
+        out.append(F.transform(kept, _redacted("error_leak", severity, kind)))
     return F.concat(*out)
 
 
@@ -108,12 +118,7 @@ def leak_env(hay: Column) -> Column:
 def leak_paths(hay: Column) -> Column:
     out = []
     for pattern, kind in fx.LEAK_PATHS:
-        out.append(
-            F.transform(
-                all_matches(hay, pattern),
-                lambda m, k=kind: finding("error_leak", "LOW", k, F.concat(F.lit(k + ": "), F.left(m, F.lit(60)))),
-            )
-        )
+        out.append(F.transform(all_matches(hay, pattern), _quoted("error_leak", "LOW", kind, 60)))
     return F.concat(*out)
 
 
@@ -318,9 +323,7 @@ def credential_echoes(text: Column, request_text: Column) -> Column:
         fresh = F.filter(
             all_matches(text, pattern), lambda m: ~F.contains(F.coalesce(request_text, F.lit("")), m)
         )
-        out.append(
-            F.transform(fresh, lambda m, k=kind: finding("response_poison", "MEDIUM", k, redact_evidence(m, k)))
-        )
+        out.append(F.transform(fresh, _redacted("response_poison", "MEDIUM", kind)))
     return F.concat(*out)
 
 
@@ -340,6 +343,11 @@ def _by_kind(rows) -> dict[str, list]:
     return kinds
 
 
+def _command_test(asked: Column, check: str | None):
+    """A match counts if its form check holds and the request did not contain it."""
+    return lambda m: _command_ok(m, check) & ((trim_space(m) == "") | ~F.contains(asked, trim_space(m)))
+
+
 def _command_ok(m: Column, check: str | None) -> Column:
     if check == "no_where":
         return ~F.contains(F.lower(m), F.lit("where"))
@@ -356,19 +364,10 @@ def dangerous_actions(text: Column, request_text: Column) -> Column:
     for kind, rows in _by_kind(fx.COMMANDS).items():
         firsts = []
         for pattern, _, desc, check in rows:
-            fresh = F.filter(
-                all_matches(text, pattern),
-                lambda m, c=check: _command_ok(m, c)
-                & ((trim_space(m) == "") | ~F.contains(asked, trim_space(m))),
-            )
-            first = F.get(fresh, F.lit(0))
-            firsts.append(F.concat(F.lit(desc + ": "), clip(first)))
-        out.append(
-            let(
-                F.coalesce(*firsts),
-                lambda ev, k=kind: F.when(ev.isNotNull(), finding("dangerous_action", "LOW", k, ev)),
-            )
-        )
+            fresh = F.filter(all_matches(text, pattern), _command_test(asked, check))
+            firsts.append(F.concat(F.lit(desc + ": "), clip(F.get(fresh, F.lit(0)))))
+        ev = F.coalesce(*firsts)
+        out.append(F.when(ev.isNotNull(), finding("dangerous_action", "LOW", kind, ev)))
     return F.when(F.rlike(text, F.lit(COMMAND_WORD)), F.array_compact(F.array(*out))).otherwise(none())
 
 

@@ -84,7 +84,7 @@ register(
     lambda s, sf: sg.sig_tool_echo(view(s, sf, ECHO), ["resp_id"]).select(*OUT),
     f"""SELECT resp_id, 'tool_call_rewrite' AS signal, CASE WHEN v = 'whitespace' THEN 'LOW' ELSE 'MEDIUM' END AS severity, 'tool_echo' AS kind,
     'expected=''' || substr(expected, 1, 40) || ''' actual=''' || substr(actual, 1, 40) || ''' verdict=' || v AS evidence
-    FROM (SELECT *, CASE WHEN resp_id % 6 IN (2, 3) THEN 'whitespace' WHEN resp_id % 6 = 4 THEN 'substituted' ELSE 'exact' END AS v FROM ({ECHO})) WHERE v <> 'exact' AND actual <> ''""",
+    FROM (SELECT *, CASE WHEN resp_id % 6 IN (1, 2, 3) THEN 'whitespace' WHEN resp_id % 6 = 4 THEN 'substituted' ELSE 'exact' END AS v FROM ({ECHO})) WHERE v <> 'exact' AND actual <> ''""",
 )
 
 # --- stream events -----------------------------------------------------------------------------------------
