@@ -7,12 +7,32 @@ Patterns must not match the empty string.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
+_BUILT: dict = {}
+
+
+def once_per_session(build):
+    """Build a large column expression once per Spark application and reuse it.
+
+    Columns are immutable descriptions; building one takes many calls into the JVM, which would
+    otherwise be the largest fixed cost of a small query.  Arguments must be hashable.
+    """
+
+    @functools.wraps(build)
+    def call(*args) -> Column:
+        key = (build.__module__, build.__qualname__, SparkContext.getOrCreate().applicationId, args)
+        if key not in _BUILT:
+            _BUILT[key] = build(*args)
+        return _BUILT[key]
+
+    return call
 
 SPAN_TYPE = "array<struct<start:int,len:int,text:string,before:string,after:string>>"
 

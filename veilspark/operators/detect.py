@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
 from veilspark.functions.matching import Matcher, find
-from veilspark.functions.spans import compute_once, let, resolve_overlaps, spans, uni
+from veilspark.functions.spans import compute_once, let, once_per_session, resolve_overlaps, spans, uni
 
 VALIDATORS = {"IDCARD", "BANKCARD", "IP"}
 
@@ -112,11 +112,22 @@ def scan(text: Column, rules: list[Rule] | None = None, semantic=None, locker=No
     return resolve_overlaps(find(text, matchers))
 
 
+@once_per_session
+def _scan_of(text: str, rules, semantic, locker) -> Column:
+    return scan(F.col(text), rules, semantic, locker)
+
+
+@once_per_session
+def _find_of(text: str, matchers) -> Column:
+    return find(F.col(text), list(matchers))
+
+
 def with_hits(
     messages: DataFrame, rules=None, semantic=None, locker=None, text: str = "body", out: str = "hits"
 ) -> DataFrame:
     """Add the resolved hit array; one narrow pass over the text, no shuffle."""
-    return compute_once(messages, **{out: scan(F.col(text), rules, semantic, locker)})
+    rules = None if rules is None else tuple(rules)
+    return compute_once(messages, **{out: _scan_of(text, rules, semantic, tuple(locker or ()))})
 
 
 def hits_long(scanned: DataFrame, keys: list[str], hits: str = "hits", originals: bool = False) -> DataFrame:
@@ -136,7 +147,7 @@ def detect(messages: DataFrame, rule: Rule, keys: list[str], text: str = "body")
 
 def find_long(messages: DataFrame, matchers: list[Matcher], keys: list[str], text: str = "body") -> DataFrame:
     """Hit rows of some matchers, overlaps included."""
-    return hits_long(compute_once(messages.select(*keys, text), hits=find(F.col(text), matchers)), keys)
+    return hits_long(compute_once(messages.select(*keys, text), hits=_find_of(text, tuple(matchers))), keys)
 
 
 def regex_spans(messages: DataFrame, pattern: str, keys: list[str], text: str = "body") -> DataFrame:
@@ -169,7 +180,7 @@ def preset_compare(messages: DataFrame, text: str = "body", presets=("conservati
     per = []
     for p in presets:
         hits = let(
-            scan(F.col(text), preset_rules(p)),
+            _scan_of(text, tuple(preset_rules(p)), None, ()),
             lambda hs: F.struct(
                 F.lit(p).alias("preset"), (F.size(hs) > 0).alias("hit"), block_gate(hs).alias("blocked")
             ),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
-from veilspark.functions.spans import spans
+from veilspark.functions.spans import once_per_session, spans
 from veilspark.functions.text import json_escape_inside
 from veilspark.operators.redact import EDIT_TYPE, splice
 
@@ -20,8 +20,13 @@ def suffix_index(vault: DataFrame) -> DataFrame:
     return vault.join(per, "suffix")
 
 
+@once_per_session
+def _token_spans(text: str, pattern: str):
+    return spans(F.col(text), pattern, behind=1, ahead=1)
+
+
 def _tokens(rows: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
-    tok = rows.select(*keys, "session", F.explode(spans(F.col(text), pattern, behind=1, ahead=1)).alias("s"))
+    tok = rows.select(*keys, "session", F.explode(_token_spans(text, pattern)).alias("s"))
     whole = F.col("s.text")
     bare = F.replace(whole, F.lit("\\"), F.lit(""))
     word = F.rlike(F.col("s.before"), F.lit("[A-Za-z0-9_]$")) | F.rlike(F.col("s.after"), F.lit("^[A-Za-z0-9_]"))

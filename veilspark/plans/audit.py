@@ -22,7 +22,7 @@ def register(name, fn, sql=None):
 
 
 def responses(s, sf):
-    return view(s, sf, sd.RESPONSES).withColumn("ts", F.timestamp_seconds(F.col("seq")))
+    return view(s, sf, sd.RESPONSES, "resp_id").withColumn("ts", F.timestamp_seconds(F.col("seq")))
 
 
 RESP = f"({sd.RESPONSES})"
@@ -157,7 +157,7 @@ text_query("sig_exfil_url", lambda: sg.exfil_urls(body()), D_EXFIL)
 PAGE_TEXT = "SELECT page_id, html || '<img src=\"' || url || '?payload=' || md5(url) || '\">' AS html FROM pages"
 register(
     "sig_exfil_url_pages",
-    lambda s, sf: sg.sig_text(view(s, sf, PAGE_TEXT), ["page_id"], sg.exfil_urls(F.col("html"))).select("page_id", "kind", "evidence"),
+    lambda s, sf: sg.sig_text(view(s, sf, PAGE_TEXT, "page_id"), ["page_id"], sg.exfil_urls(F.col("html"))).select("page_id", "kind", "evidence"),
     f"SELECT page_id, kind, evidence FROM ({d_exfil(f'SELECT page_id, html AS plain FROM ({PAGE_TEXT}) p', 'page_id')}) x",
 )
 D_ECHOES = " UNION ALL ".join(
@@ -229,7 +229,7 @@ TOOL_EV = {
 }
 register(
     "sig_tool_injection",
-    lambda s, sf: sg.sig_tool_injection(view(s, sf, sd.TOOL_BODIES), ["msg_id"]).select("msg_id", "severity", "kind", "evidence"),
+    lambda s, sf: sg.sig_tool_injection(view(s, sf, sd.TOOL_BODIES, "msg_id"), ["msg_id"]).select("msg_id", "severity", "kind", "evidence"),
     " UNION ALL ".join(
         f"SELECT msg_id, '{sev}' AS severity, '{kind}' AS kind, {ev} AS evidence FROM ({sd.TOOL_BODIES}) WHERE msg_id % 7 = {k}" for k, (sev, kind, ev) in TOOL_EV.items()
     )

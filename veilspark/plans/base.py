@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
 from veilspark.plans.seeded import _id_sum
+from veilspark.sources.messages import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -19,12 +20,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf: str, sql: str) -> DataFrame:
-    """Run shared SQL over the given tables; times become TIMESTAMP."""
+def view(spark: SparkSession, sf: str, sql: str, key: str | None = None) -> DataFrame:
+    """Run shared SQL over the given tables; times become TIMESTAMP.  ``key`` spreads small inputs."""
     for name in TABLES:
         if re.search(rf"\b{name}\b", sql):
             table(spark, sf, name).createOrReplaceTempView(name)
     df = spark.sql(sql)
+    if key:
+        df = spread(df, key)
     for name, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(name, F.col(name).cast("timestamp"))

@@ -10,6 +10,7 @@ from veilspark.operators import semantic as sm
 from veilspark.operators.locker import LockerEntry, locker_clean, locker_entry_names, locker_matchers
 from veilspark.operators.redact import redact
 from veilspark.plans import seeded as sd
+from veilspark.sources.messages import spread
 from veilspark.plans.base import (
     DEFAULT_TAGS, RULE_WHERE, RULES, d_resolve, d_rule, d_scan, d_spans, d_splice, plain, q, table, view,
 )
@@ -23,11 +24,11 @@ FOUND = "SELECT id AS {key}, start, len, '{tag}' AS tag FROM h"
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang", "source", F.col("text").alias("body"))
+    return spread(table(spark, sf, "documents").select("doc_id", "lang", "source", F.col("text").alias("body")), "doc_id")
 
 
 def msgs(spark, sf):
-    return view(spark, sf, sd.MESSAGES)
+    return view(spark, sf, sd.MESSAGES, "msg_id")
 
 
 def register(name, fn, sql=None):
@@ -75,7 +76,7 @@ PAGES = "SELECT page_id AS id, html AS text FROM pages"
 register(
     "detect_email_pages",
     lambda s, sf: plain(
-        dt.detect(table(s, sf, "pages").select("page_id", F.col("html").alias("body")), RULE["EMAIL"], ["page_id"])
+        dt.detect(spread(table(s, sf, "pages").select("page_id", F.col("html").alias("body")), "page_id"), RULE["EMAIL"], ["page_id"])
         .select("page_id", "start", "len", "tag")
     ),
     f"WITH {d_rule('h', PAGES, 'EMAIL')} " + FOUND.format(key="page_id", tag="EMAIL"),

@@ -190,25 +190,25 @@ register(
 D_LEAVES = f"SELECT msg_id, j.fullkey AS path, j.atom ->> '$' AS value FROM (SELECT msg_id, CAST(body AS JSON) AS body FROM ({sd.BODIES})) b, json_tree(b.body) j WHERE j.type = 'VARCHAR'"
 register(
     "json_string_leaves",
-    lambda s, sf: jt.json_string_leaves(view(s, sf, sd.BODIES), ["msg_id"]).select("msg_id", "path", "value"),
+    lambda s, sf: jt.json_string_leaves(view(s, sf, sd.BODIES, "msg_id"), ["msg_id"]).select("msg_id", "path", "value"),
     f"SELECT msg_id, replace(path, '\"', '') AS path, value FROM ({D_LEAVES})",
 )
 register(
     "json_leaves",
-    lambda s, sf: view(s, sf, sd.BODIES).select("msg_id", F.explode(jt.json_leaves(F.col("body"))).alias("value")),
+    lambda s, sf: view(s, sf, sd.BODIES, "msg_id").select("msg_id", F.explode(jt.json_leaves(F.col("body"))).alias("value")),
     f"SELECT msg_id, value FROM ({D_LEAVES})",
 )
 D_PLAIN = f"SELECT msg_id AS id, plain AS text FROM ({sd.BODIES})"
 register(
     "redact_json",
-    lambda s, sf: jt.redact_json(view(s, sf, sd.BODIES), dt.scan, _label).select("msg_id", "redacted", F.size("hits").cast("bigint").alias("hits")),
+    lambda s, sf: jt.redact_json(view(s, sf, sd.BODIES, "msg_id"), dt.scan, _label).select("msg_id", "redacted", F.size("hits").cast("bigint").alias("hits")),
     f"""WITH RECURSIVE {d_scan('h', D_PLAIN)}, {d_splice('r', D_PLAIN, LABEL_SQL)}
     SELECT b.msg_id, replace(b.body, '"content":"' || b.plain, '"content":"' || r.out) AS redacted, (SELECT count(*) FROM h WHERE h.id = b.msg_id) AS hits
     FROM ({sd.BODIES}) b JOIN r ON r.id = b.msg_id""",
 )
 register(
     "tool_result_texts",
-    lambda s, sf: jt.tool_result_texts(view(s, sf, sd.TOOL_BODIES), ["msg_id"]).select("msg_id", "slot", "text"),
+    lambda s, sf: jt.tool_result_texts(view(s, sf, sd.TOOL_BODIES, "msg_id"), ["msg_id"]).select("msg_id", "slot", "text"),
     f"""WITH b AS (SELECT msg_id, CAST(CASE WHEN json_valid(body) THEN body ELSE '{{}}' END AS JSON) AS j FROM ({sd.TOOL_BODIES})),
     m AS (SELECT msg_id, CAST(i AS BIGINT) AS i, j -> ('$.messages[' || i || ']') AS m FROM (SELECT msg_id, j, unnest(range(0, CAST(coalesce(json_array_length(j, '$.messages'), 0) AS BIGINT))) AS i FROM b)),
     c AS (SELECT msg_id, 'tool#' || i AS slot, m -> '$.content' AS c FROM m WHERE m ->> '$.role' IN ('tool', 'function')

@@ -25,7 +25,7 @@ def register(name, fn, sql=None):
 
 
 def messages(s, sf):
-    return view(s, sf, sd.MESSAGES).withColumn("ts", F.timestamp_seconds(F.col("seq")))
+    return view(s, sf, sd.MESSAGES, "msg_id").withColumn("ts", F.timestamp_seconds(F.col("seq")))
 
 
 def scanned(s, sf):

@@ -28,7 +28,13 @@ def json_gate(content_type: Column) -> Column:
     return F.contains(content_type, F.lit("application/json"))
 
 
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Redistribute rows of an input with too few row groups before costly text work."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute an input that has fewer scan partitions than the cluster has cores.
+
+    Text work is costly per row, so one small file should not keep a single core busy.  Inputs with
+    enough partitions stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores, *keys)
