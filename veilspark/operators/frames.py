@@ -217,7 +217,7 @@ def event_text(fields: DataFrame) -> DataFrame:
     df = fields.where("data IS NOT NULL").withColumn("v", F.try_parse_json("data")).where(vtype(F.col("v")) == "OBJECT")
     known = F.transform(text_slots(F.col("v")), lambda s: s["text"])
     skip = "|".join(fx.PROTOCOL_KEYS)
-    content = F.regexp_replace("data", rf'"(?:{skip})"\s*:\s*"(?:[^"\\]|\\.)*+"', '"_":0')
+    content = F.regexp_replace("data", rf'"(?:{skip})"\s*:\s*"[^"\\]*+(?:\\.[^"\\]*+)*+"', '"_":0')
     texts = F.when(F.size(known) > 0, known).otherwise(json_leaves(content))
     return df.select("conn", "frame_no", F.posexplode(texts).alias("slot_no", "text")).where("text <> ''")
 

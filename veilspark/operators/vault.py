@@ -86,7 +86,7 @@ def vault_mint(hit_rows: DataFrame, salt: str, width: int = SUFFIX_CHARS) -> Dat
 def mint_missing(hit_rows: DataFrame, vault: DataFrame, salt: str) -> DataFrame:
     """Vault rows for pairs the vault does not hold yet; suffixes already used in a session stay taken."""
     fresh = hit_rows.join(vault.select("session", "original"), ["session", "original"], "left_anti")
-    minted = vault_mint(fresh, salt)
+    minted = cut(vault_mint(fresh, salt))
     used = vault.select("session", "tag", "suffix", F.lit(True).alias("used"))
     clash = minted.join(used, ["session", "tag", "suffix"], "left")
     slices = F.transform(

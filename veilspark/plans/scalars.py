@@ -264,7 +264,9 @@ def blocked(s, sf):
 
 def decided(s, sf):
     df = pl.allowlist_match(blocked(s, sf), view(s, sf, ALLOW))
-    return pl.decide(dt.with_hits(df, dt.preset_rules("aggressive"), locker=LOCKER), ["relay3.example.com"])
+    rules = dt.preset_rules("aggressive")
+    scanned = jt.redact_json(df, lambda leaf: dt.scan(leaf, rules, None, LOCKER), _label)
+    return pl.decide(scanned, ["relay3.example.com"])
 
 
 register(

@@ -32,7 +32,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute an input that has fewer scan partitions than the cluster has cores.
 
     Text work is costly per row, so one small file should not keep a single core busy.  Inputs with
-    enough partitions stay as they are, without a shuffle.
+    enough partitions stay as they are, without a shuffle.  Meant for scans: counting the partitions of a
+    plan with joins would run part of it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:
