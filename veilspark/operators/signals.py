@@ -486,6 +486,25 @@ def sig_cross_request(responses: DataFrame, markers: DataFrame, keys: list[str])
     )
 
 
+def sig_cross_request_names(responses: DataFrame, nonces: list[str], keys: list[str]) -> DataFrame:
+    """Like ``sig_cross_request`` for markers of any form, given as the active registry, which is bounded."""
+    if len(nonces) > fx.MARKER_MAX:
+        raise ValueError(f"more than {fx.MARKER_MAX} markers")
+    if not nonces:
+        nonces = [""]
+    seen = F.filter(
+        F.array(*[F.lit(n) for n in nonces]),
+        lambda n: (n != "") & F.contains(F.col("body"), n) & ~F.array_contains(F.col("own_markers"), n),
+    )
+    found = F.transform(
+        seen,
+        lambda n: finding(
+            "cross_request_pollution", "HIGH", "prior_marker", F.concat(F.lit("prior_marker_recur: "), F.left(n, F.lit(40)))
+        ),
+    )
+    return findings_long(responses, keys, found)
+
+
 def signal_gate(findings: DataFrame, enabled: bool = True, switches: dict[str, bool] | None = None, floor: str = "MEDIUM") -> DataFrame:
     """Keep findings of switched-on signals at or above the severity floor."""
     on = [s for s, impl in fx.SIGNALS if (dict(fx.SIGNALS) | (switches or {}))[s]]
