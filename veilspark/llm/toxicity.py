@@ -14,20 +14,23 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import Words, cut
 
-ORDER, SPAN, DECAY = 3, 8, 0.6
+ORDER, SPAN, DECAY = 3, 6, 0.6
 SIZE = 64
 BEGIN = 37
+#: Bits that number the triples of one piece: at most 10 for each of 25 first characters.
+SHIFT = 9
 LONGEST = 24
 SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 EDGE = " \t\n\r.,;:!?\"'()[]{}<>|/\\*_~`=+-–—…«»„“”‘’"
-EMPTY = -3.0
 # Signs that are read as letters within a word.
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+LETTER_SIGNS = str.maketrans({k: v for k, v in LOOKS_LIKE.items() if not k.isalnum()})
 
 
 def _alphabet() -> np.ndarray:
@@ -69,30 +72,36 @@ class Kernel:
     def triples(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys of the triples of each row, and their weights scaled to a row of norm 1."""
         at, weight = self.plan(codes.shape[1])
-        c = codes.astype(np.int32)
-        key = np.zeros((len(c), len(at)), np.int32)
-        ok = np.ones(key.shape, bool)
-        for j in range(ORDER):
-            x = c[:, at[:, j]]
-            key = key * SIZE + x
-            ok &= x > 0
-        value = np.where(ok, weight, 0).astype(np.float32)
-        if not key.size:
-            return key, value
-        by = np.argsort(key, 1)
-        key, value = np.take_along_axis(key, by, 1), np.take_along_axis(value, by, 1)
+        n, m = len(codes), len(at)
+        if not m:
+            return np.zeros((n, 0), np.int32), np.zeros((n, 0), np.float32)
+        c = codes.astype(np.int32).T
+        packed = np.empty((m, n), np.int32)  # key and, in the low bits, which triple it is
+        for i, (x, y, z) in enumerate(at):
+            packed[i] = (((c[x] * SIZE + c[y]) * SIZE + c[z]) << SHIFT) | i
+        if (codes == 0).any():
+            for i, places in enumerate(at):
+                packed[i][(c[places] == 0).any(0)] = -1  # a gap is part of no triple
+        packed = np.sort(packed.T, axis=1)
+        value = np.append(weight, np.float32(0))[np.where(packed < 0, m, packed & ((1 << SHIFT) - 1))]
+        key = np.maximum(packed, 0) >> SHIFT
         new = np.ones(key.shape, bool)
         new[:, 1:] = key[:, 1:] != key[:, :-1]
         starts = np.flatnonzero(new.ravel())
         sums = np.add.reduceat(value.ravel(), starts)  # equal triples of a row count together
-        norm = np.sqrt(np.bincount(starts // key.shape[1], sums.astype(float) ** 2, len(key)))
+        norm = np.sqrt(np.bincount(starts // m, sums * sums, n))
         return key, value / np.maximum(norm, 1e-12)[:, None].astype(np.float32)
 
     def pieces(self, words: list[str]) -> dict[int, tuple[list[str], list[int]]]:
         """Words by length; a long one is cut into overlapping pieces."""
         by: dict = defaultdict(lambda: ([], []))
         for i, w in enumerate(words):
-            w = w.strip(EDGE)
+            w = plain(w)
+            if 2 <= len(w) <= LONGEST:
+                group = by[len(w)]
+                group[0].append(w)
+                group[1].append(i)
+                continue
             for lo in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2):
                 p = w[lo : lo + LONGEST]
                 if len(p) >= 2:
@@ -120,6 +129,14 @@ class Kernel:
         return out[:, :-1]
 
 
+def plain(word: str) -> str:
+    """A word without the signs around it and between its letters."""
+    word = word.strip(EDGE)
+    if word.isalnum():
+        return word
+    return "".join(filter(str.isalnum, word.translate(LETTER_SIGNS)))
+
+
 def units(text: str) -> list[str]:
     """Words in lower case, and runs of spaced single characters as one word."""
     low = text.lower()
@@ -136,7 +153,7 @@ class Machine:
         self.weight, self.bias, self.slope, self.shift = weight, bias, slope, shift
 
     def values(self, words: list[str], kernel: Kernel) -> np.ndarray:
-        out = np.full(len(words), EMPTY)
+        out = np.full(len(words), self.bias)
         for at, key, value in kernel.rows(words):
             np.maximum.at(out, at, np.einsum("ij,ij->i", self.weight[key], value).astype(float) + self.bias)
         return out
@@ -185,7 +202,7 @@ def calibrate(top: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve, towards softened targets so that clean separation stays finite."""
     n1, n0 = toxic.sum(), (~toxic).sum()
     target = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(toxic, len(toxic) / (2 * max(n1, 1)), len(toxic) / (2 * max(n0, 1)))
+    weight = np.where(toxic, np.sqrt(len(toxic) / (2 * max(n1, 1))), np.sqrt(len(toxic) / (2 * max(n0, 1))))
     x = np.stack([top, np.ones(len(top))], 1)
     w = np.array([1.0, 0.0])
     for _ in range(60):
@@ -203,7 +220,7 @@ def _unit_counts():
         for batch in batches:
             counts = (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[toxic].update({w for u in units(text or "") if 2 <= len(w := u.strip(EDGE)) <= LONGEST})
+                counts[toxic].update({w for u in units(text or "") if 2 <= len(w := plain(u)) <= LONGEST})
             names = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][w] for w in names], pa.int64()), pa.array([counts[0][w] for w in names], pa.int64())], schema=schema)
 
@@ -215,7 +232,7 @@ def _top(machine: Machine, with_unit: bool):
 
     def run(batches):
         kernel = Kernel()
-        memo = Words(lambda words: machine.values(words, kernel).tolist())
+        memo = Words(lambda words: machine.values(words, kernel).tolist(), 600_000)
         for batch in batches:
             texts = [units(t) if t else [] for t in batch.column(1).to_pylist()]
             top, unit = [], []
@@ -225,8 +242,8 @@ def _top(machine: Machine, with_unit: bool):
                 for ws in part:
                     if with_unit:
                         best = max(ws, key=memo.__getitem__, default="")
-                        unit.append(best.strip(EDGE)[:LONGEST])
-                    top.append(max(map(memo.__getitem__, ws), default=EMPTY))
+                        unit.append(plain(best)[:LONGEST])
+                    top.append(max(map(memo.__getitem__, ws), default=machine.bias))
             if with_unit:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top, pa.float64()), pa.array(unit, pa.string())], ["toxic", "top", "unit"])
             else:
@@ -235,14 +252,15 @@ def _top(machine: Machine, with_unit: bool):
     return run
 
 
-def witnesses(ratio: dict[str, float], texts: list[set[str]]) -> dict[str, float]:
+def witnesses(ratio: dict[str, float], texts: list[set[str]], least: int) -> dict[str, float]:
     """Words that account for the toxic texts, each with a weight.
 
-    The word that explains most texts is taken first and its texts are set aside, so that other words of the same texts, or of
-    copies of one text, gain nothing from them.  Words that are left with one text count only if nothing explains more.
+    The word that explains most texts is taken first and its texts are set aside, so that other words of the same texts
+    gain nothing from them; then all words that at least ``least`` texts hold are added.  Words that are left with
+    one text count only if hardly anything explains more.
     """
-    left = Counter(w for t in texts for w in t)
-    by: dict = defaultdict(list)
+    whole = Counter(w for t in texts for w in t)
+    left, by = Counter(whole), defaultdict(list)
     for i, t in enumerate(texts):
         for w in t:
             by[w].append(i)
@@ -252,23 +270,36 @@ def witnesses(ratio: dict[str, float], texts: list[set[str]]) -> dict[str, float
         n = left.pop(word)
         if n < 1 or (n < 2 and len(out) >= 20):
             break
-        out[word] = 1 + np.log(n)
+        out[word] = whole[word]
         for i in by[word]:
             if i in open_:
                 open_.discard(i)
                 for w in texts[i]:
                     if w in left:
                         left[w] -= 1
-    return out
+    out |= {w: n for w, n in whole.items() if n >= least}
+    return {w: 1 + float(np.log(n)) for w, n in sorted(out.items(), key=lambda x: (-x[1], x[0]))}
+
+
+def inserted(word: str, seed: int, times: int = 2) -> list[str]:
+    """Variants of a word with a letter put in between, which the machine is to take for the word."""
+    if len(word) < 5:
+        return []
+    draw = [xxhash.xxh32_intdigest(word, seed + i) for i in range(times)]
+    return [word[: (at := 1 + d % (len(word) - 1))] + chr(97 + d // 64 % 26) + word[at:] for d in draw]
 
 
 def _held(words: set[str]):
-    """The wanted words that a text holds."""
+    """The wanted words that a text holds, and the least hash of its word triples, which copies of a text share."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([sorted({w for u in units(t or "") if (w := u.strip(EDGE)) in words}) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["units"])
+            found, marks = [], []
+            for text in batch.column(0).to_pylist():
+                us = units(text or "")
+                found.append(sorted({w for u in us if (w := plain(u)) in words}))
+                marks.append(min(xxhash.xxh64_intdigest(" ".join(us[i : i + 3])) >> 1 for i in range(max(1, len(us) - 2))))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(marks, pa.int64())], ["units", "mark"])
 
     return run
 
@@ -305,10 +336,12 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives: in
     found = {r.unit: (r.p, r.ratio) for r in scored.where("ratio > 2").orderBy(F.desc("gain"), "unit").limit(words).collect()}
     common = stats.where("n > 0").where(ratio < 1)
     negative = [r.unit for r in common.orderBy(F.desc("n"), "unit").limit(words).collect()] + [r.unit for r in common.orderBy(F.xxhash64("unit"), "unit").limit(words).collect()]
-    held = sample.where("toxic = 1").mapInArrow(_held(set(found)), "units array<string>").limit(4 * positives).collect()
-    positive = witnesses({w: r for w, (_, r) in found.items()}, [set(r.units) for r in held])
+    held = sample.where("toxic = 1").mapInArrow(_held(set(found)), "units array<string>, mark bigint").limit(4 * positives).collect()
+    copies = {r.mark: set(r.units) for r in sorted(held, key=lambda r: (r.mark, r.units))}  # copies count once
+    positive = witnesses({w: r for w, (_, r) in found.items()}, list(copies.values()), max(4, n1 // 100))
     if not positive or not negative:
         return constant
+    positive |= {v: 0.25 * w for u, w in positive.items() for v in inserted(u, seed) if v not in found}
     kernel, hard = Kernel(), []
     machine = train(positive, negative, landmarks, kernel, seed)
     for step in range(rounds + 1):
