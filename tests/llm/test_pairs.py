@@ -98,6 +98,6 @@ def test_cap_recall_at_the_threshold():
     y -= (x * y).sum(1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     z = 0.931 * x + np.sqrt(1 - 0.931**2) * y
-    code = capfilter.ProductCode(64, 2048, 0.5, 4, 7)
+    code = capfilter.ProductCode(64, 4096, 0.54, 6, 7)
     met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x), code.decode(z), strict=True)]
     assert np.mean(met) >= 0.998, np.mean(met)

