@@ -128,39 +128,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # A repeated id with several texts would be ambiguous here; each of its texts is confirmed by its own set.
     sets = cut(narrow.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id bigint, hashes array<bigint>").distinct())
 
-    links = tested = labels = None
-    step = 0
+    labels, step = None, 0
     while True:
-        if labels is None:
-            here = members.withColumn("at", F.col("rep"))
-        else:
+        here = members.withColumn("at", F.col("rep"))
+        if labels is not None:
             here = members.join(labels, members.rep == labels.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("at"))
-            open_ = here.groupBy("bucket").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x <> y").select("bucket")
-            here = here.join(open_, "bucket")
-        order = F.col("rep") if step == 0 else F.xxhash64("rep", F.lit(step))
-        centre = here.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "at"), F.struct(order, "rep")).alias("c"))
+        # Later rounds draw several centres anew for each bucket that still holds more than one component.
+        orders = [F.struct("rep")] if step == 0 else [F.struct(F.xxhash64("rep", F.lit(step * 8 + i)), F.col("rep")) for i in range(4)]
+        centres = here.groupBy("bucket").agg(F.min("at").alias("x"), F.max("at").alias("y"), F.array(*(F.min_by(F.struct("rep", "n", "at"), o) for o in orders)).alias("cs")).where("x <> y")
         star = (
-            here.join(centre, "bucket").where("at <> c.at")
+            here.join(centres.select("bucket", "cs"), "bucket").select("rep", "n", "at", F.explode("cs").alias("c")).where("at <> c.at")
             .where(F.greatest("n", F.col("c.n")) * percent <= F.least("n", F.col("c.n")) * 100)
-            .select(F.greatest("rep", F.col("c.rep")).alias("a"), F.least("rep", F.col("c.rep")).alias("b")).distinct()
+            .groupBy(F.greatest("rep", F.col("c.rep")).alias("a"), F.least("rep", F.col("c.rep")).alias("b")).agg(F.first(F.array("at", "c.at")).alias("ends"))
         )
-        if tested is not None:
-            star = star.join(tested, ["a", "b"], "left_anti")
-        star = cut(star)
         full = (
             star.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
         )
         both = F.size(F.array_intersect("ha", "hb"))
         found = cut(
-            full.select("a", "b", both.alias("both"), (F.size("ha") + F.size("hb")).alias("all"))
-            .where(F.col("both") * 100 >= percent * (F.col("all") - F.col("both"))).select("a", "b").distinct()
+            full.select("ends", both.alias("both"), (F.size("ha") + F.size("hb")).alias("all"))
+            .where(F.col("both") * 100 >= percent * (F.col("all") - F.col("both"))).select(F.col("ends")[0].alias("a"), F.col("ends")[1].alias("b"))
         )
-        links = found if links is None else links.unionByName(found)
-        tested = star if tested is None else tested.unionByName(star)
         if found.isEmpty():
             break
-        labels = cut(components(links))
+        # New links join whole components, so only the components' names are searched anew.
+        merged = components(found)
+        if labels is None:
+            labels = merged
+        else:
+            names = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
+            moved = labels.join(names, labels.component == names.old, "left").select("node", F.coalesce("new", "component").alias("component"))
+            labels = cut(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")))
         step += 1
     out = signed.join(reps.where("copies > 1").select("d1", "d2", "rep"), ["d1", "d2"], "left")
     out = out.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
