@@ -21,6 +21,8 @@ LETTERS = r"[\p{L}\p{M}]"
 FIGURE = r"\p{N}+(?:[.,]\p{N}+)*"
 SIGNS = "[%$€£°]"
 NUMBER, UNIT, NAME = "#", "~", "@"
+#: Windows that begin in one piece of a text.
+PIECE = 256
 
 
 def tokens(text: Column) -> Column:
@@ -63,13 +65,16 @@ def _hashes(words: Column, width: int, step: int) -> Column:
 def _windows(texts: DataFrame, keep: list[str], width: int, literals: int) -> DataFrame:
     """``keep``, ``at``, ``h``, ``vals`` (the tokens) and ``kinds`` (the templates) of all windows with enough plain words.
 
-    Each step stands behind a generator, so that it is worked out once for a text and not once for a window.
+    A text is cut into overlapping pieces of bounded length first, so that no row holds more than the windows of one piece.
+    Each step stands behind a generator, so that it is worked out once for a piece and not once for a window.
     """
-    raw = texts.select(*keep, F.explode(F.array(tokens(F.col("text")))).alias("raw"))
-    shaped = raw.where(F.size("raw") >= width).select(*keep, "raw", F.explode(F.array(F.transform("raw", template))).alias("shape"))
-    at = shaped.select(*keep, "raw", "shape", F.explode(F.sequence(F.lit(1), F.size("raw") - (width - 1))).alias("at"))
-    kinds = F.slice("shape", F.col("at"), width)
-    out = at.select(*keep, "at", F.slice("raw", F.col("at"), width).alias("vals"), kinds.alias("kinds"), F.xxhash64(kinds).alias("h"))
+    raw = texts.select(*keep, F.explode(F.array(tokens(F.col("text")))).alias("all")).where(F.size("all") >= width)
+    pieces = F.transform(F.sequence(F.lit(0), F.size("all") - width, F.lit(PIECE)), lambda j: F.slice("all", j + 1, PIECE + width - 1))
+    cut_up = raw.select(*keep, F.posexplode(pieces).alias("piece", "raw"))
+    shaped = cut_up.select(*keep, "piece", "raw", F.explode(F.array(F.transform("raw", template))).alias("shape"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("raw") - (width - 1)), lambda i: F.struct(i.alias("i"), F.slice("raw", i, width).alias("vals"), F.slice("shape", i, width).alias("kinds")))
+    each = shaped.select(*keep, "piece", F.explode(windows).alias("w"))
+    out = each.select(*keep, (F.col("piece") * PIECE + F.col("w.i")).alias("at"), "w.vals", "w.kinds", F.xxhash64("w.kinds").alias("h"))
     return out.where(F.size(F.filter("kinds", lambda k: ~k.isin(NUMBER, UNIT, NAME))) >= literals)
 
 
