@@ -188,7 +188,6 @@ PROTOCOL_KEYS = [
     "stop_reason", "stop_sequence", "finish_reason",
 ]
 AUDIT_TEXT_BYTES = 256 * 1024
-AUDIT_EVENTS_MAX = 5000
 
 # --- fixed values: response poison -------------------------------------------------------------------------
 BIDI_CHARS = r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"
@@ -248,7 +247,6 @@ COMMANDS = [
     (r":\(\)\s*\{\s*:\|:*&\s*\}\s*;\s*:", "resource_abuse", "fork 炸弹", None),
 ]
 SNIPPET_CHARS = 120
-TOOL_RESULT_CHARS = 65536
 FORGED_LABELS = [
     r"(?i)<\|im_(?:start|end)\|>",
     r"(?i)<\|system\|>",

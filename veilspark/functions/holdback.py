@@ -27,15 +27,12 @@ def held_chars(text: str, limit: int = fx.PLACEHOLDER_MAX_LEN) -> int:
 
 
 class Tail:
-    """The held end of one channel.  A buffer over the limit is dropped and flagged."""
+    """The held end of one channel: never longer than the start of a placeholder, however long a piece is."""
 
-    def __init__(self, held: str = "", max_buffer: int = fx.CHANNEL_MAX_BUFFER):
-        self.held, self.max_buffer, self.overflowed = held, max_buffer, False
+    def __init__(self, held: str = ""):
+        self.held = held
 
     def push(self, text: str) -> str:
-        if len(self.held.encode()) + len(text.encode()) > self.max_buffer:
-            self.held, self.overflowed = "", True
-            return ""
         buf = self.held + text
         cut = len(buf) - held_chars(buf)
         self.held = buf[cut:]

@@ -178,12 +178,11 @@ def realign(pieces: DataFrame, keys: list[str], order: list[str], text: str = "t
         return {"tail": Tail(), "n": 0}
 
     def step(st, row):
-        st["tail"].overflowed = False
         out = st["tail"].push(row[text] or "")
         st["n"] += 1
-        if not out and not st["tail"].overflowed:
+        if not out:
             return []
-        return [(*(row[k] for k in keys), st["n"] - 1, out, st["tail"].overflowed)]
+        return [(*(row[k] for k in keys), st["n"] - 1, out, False)]
 
     def finish(st, key):
         rest = st["tail"].finish()
@@ -253,7 +252,7 @@ def response_context(fields: DataFrame, max_bytes: int = fx.AUDIT_TEXT_BYTES) ->
         .groupBy("conn")
         .agg(
             F.min_by(named, F.when(named.isNotNull(), F.col("frame_no"))).alias("response_model"),
-            F.least(F.count(F.lit(1)), F.lit(fx.AUDIT_EVENTS_MAX)).alias("events"),
+            F.count(F.lit(1)).alias("events"),
         )
     )
     return facts.join(text, "conn", "left").select(

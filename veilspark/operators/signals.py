@@ -89,8 +89,7 @@ def _quoted(signal: str, severity: str, kind: str, limit: int):
 def leak_credentials(hay: Column) -> Column:
     out = []
     for pattern, kind, severity in fx.LEAK_CREDENTIALS:
-        snippets = F.transform(all_matches(hay, pattern), lambda m: F.left(m, F.lit(80)))
-        kept = F.filter(snippets, lambda s: ~_any_contains(F.lower(s), fx.SELF_CHECK_MARKERS))
+        kept = F.filter(all_matches(hay, pattern), lambda s: ~_any_contains(F.lower(s), fx.SELF_CHECK_MARKERS))
         out.append(F.transform(kept, _redacted("error_leak", severity, kind)))
     return F.concat(*out)
 
@@ -197,7 +196,7 @@ def sig_tool_echo(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def event_facts(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Small facts per stream event ``(seq, event_type, data)``; the first events per reply only.
+    """Small facts per stream event ``(seq, event_type, data)``.
 
     The cap is part of the signal, and it also bounds what one reply can send to one task.
     """
@@ -218,8 +217,7 @@ def event_facts(events: DataFrame, keys: list[str]) -> DataFrame:
         tokens("output_tokens", "completion_tokens").alias("output"),
         F.coalesce(F.trim(vstr(v, "$.signature_delta")) == "", F.lit(False)).alias("blank_signature"),
     )
-    order = W.partitionBy(*keys).orderBy("seq")
-    return facts.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= fx.AUDIT_EVENTS_MAX).drop("rn")
+    return facts
 
 
 def sig_stream(events: DataFrame, keys: list[str], kinds=None) -> DataFrame:
@@ -373,7 +371,7 @@ def dangerous_actions(text: Column, request_text: Column) -> Column:
 
 def tool_injections(slot: Column, text: Column) -> Column:
     """Command shapes and forged chat labels inside one tool result."""
-    t = F.left(text, F.lit(fx.TOOL_RESULT_CHARS))
+    t = text
     out = []
 
     def first(pattern: str) -> Column:

@@ -12,11 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspark.operators.redact import replace_hits, splice
-from veilspark.sources.lineage import cut, fits
+from veilspark.sources.lineage import cut
 
 SUFFIX_CHARS = 8
 DIGEST_CHARS = 64
-BROADCAST_ROWS = 100_000
 
 
 def _digest(salt: str, session: Column, original: Column) -> Column:
@@ -122,46 +121,35 @@ def redact_with_vault(
     key: str = "msg_id",
     text: str = "body",
     out: str = "redacted",
-    max_rows: int = BROADCAST_ROWS,
+    complete: bool = False,
 ) -> DataFrame:
-    """Replace every hit by its placeholder.
+    """Replace every hit by its placeholder; a pair that the vault has under another placeholder keeps that one.
 
-    Nearly every placeholder is a function of (salt, session, original, tag) and is computed in place,
-    so texts are not shuffled.  Only the remapped vault rows (several tags, or a suffix clash) need a
-    lookup: a map per session while their count is within ``max_rows``, else a shuffled join.
+    Nearly every placeholder is a function of (salt, session, original, tag) and is computed in place, also for pairs the
+    vault lacks, so no original stays.  Only hits for which the vault's placeholder differs are looked up: their
+    pairs come back as one small map per message, and the join's kind is left to the run-time sizes.
+    ``complete`` says that the vault was minted from these very hits, so that only its remapped rows can differ.
     """
-    odd = vault.where("remapped").select("session", "original", "placeholder")
+    known = (vault.where("remapped") if complete else vault).select("session", "original", "placeholder")
 
     def local(h: Column) -> Column:
         return placeholder(h["tag"], suffix_of(salt, F.col("session"), h["original"]))
 
-    if fits(odd, max_rows):
-        maps = odd.groupBy("session").agg(
-            F.map_from_entries(F.collect_list(F.struct("original", "placeholder"))).alias("__odd")
-        )
-        joined = scanned.join(F.broadcast(maps), "session", "left")
-        return joined.withColumn(
-            out,
-            replace_hits(
-                F.col(text),
-                F.col("hits"),
-                lambda h: F.coalesce(F.try_element_at(F.col("__odd"), h["original"]), local(h)),
-            ),
-        ).drop("__odd")
-
-    edits = (
-        scanned.select(key, "session", F.explode("hits").alias("h"))
-        .where("h.action <> 'warn'")
-        .select(key, "session", F.col("h.original").alias("original"), F.col("h.start").alias("start"), F.col("h.len").alias("len"))
-        .join(vault.select("session", "original", "placeholder"), ["session", "original"])
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("start", "len", F.col("placeholder").alias("text")))).alias("__edits"))
+    if complete and known.isEmpty():
+        return scanned.withColumn(out, replace_hits(F.col(text), F.col("hits"), local))
+    hits = scanned.select(key, "session", F.explode("hits").alias("h")).where("h.action <> 'warn'")
+    hits = hits.select(key, "session", F.col("h.original").alias("original"), local(F.col("h")).alias("__local")).distinct()
+    kept = (
+        hits.join(known, ["session", "original"]).where("placeholder <> __local")
+        .groupBy("session", key, "original").agg(F.min("placeholder").alias("placeholder"))
+        .groupBy(F.col("session").alias("__session"), F.col(key).alias("__key"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("original", "placeholder"))).alias("__kept"))
     )
-    hit = scanned.where(F.size("hits") > 0).join(edits, key, "left")
-    hit = hit.withColumn(
-        out, F.when(F.col("__edits").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("__edits")))
-    ).drop("__edits")
-    return hit.unionByName(scanned.where(F.size("hits") == 0).withColumn(out, F.col(text)))
+    joined = scanned.join(kept, (F.col("session") == F.col("__session")) & F.col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.withColumn(
+        out,
+        replace_hits(F.col(text), F.col("hits"), lambda h: F.coalesce(F.try_element_at(F.col("__kept"), h["original"]), local(h))),
+    ).drop("__kept", "__session", "__key")
 
 
 def session_hits(scanned: DataFrame) -> DataFrame:
@@ -174,10 +162,10 @@ def session_hits(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact_sessions(scanned: DataFrame, salt: str, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def redact_sessions(scanned: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
     """Mint and redact: returns the redacted messages and the vault (checkpointed, as it is read twice)."""
     vault = cut(vault_mint(session_hits(scanned), salt))
-    return redact_with_vault(scanned, vault, salt, max_rows=max_rows), vault
+    return redact_with_vault(scanned, vault, salt, complete=True), vault
 
 
 def vault_purge(vault: DataFrame, sessions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

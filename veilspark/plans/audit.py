@@ -46,8 +46,8 @@ def d_dedupe(rows):
 
 HAY = f"(SELECT resp_id, body || chr(10) || headers AS hay FROM {RESP} WHERE status >= 400)"
 D_CRED = " UNION ALL ".join(
-    f"SELECT resp_id, 'error_leak' AS signal, '{sev}' AS severity, '{kind}' AS kind, {d_evidence('substr(tok, 1, 80)', kind)} AS evidence FROM ({d_matches(HAY, 'hay', p)}) m"
-    f" WHERE NOT ({' OR '.join(f'contains(lower(substr(tok, 1, 80)), {q(w)})' for w in fx.SELF_CHECK_MARKERS)})"
+    f"SELECT resp_id, 'error_leak' AS signal, '{sev}' AS severity, '{kind}' AS kind, {d_evidence('tok', kind)} AS evidence FROM ({d_matches(HAY, 'hay', p)}) m"
+    f" WHERE NOT ({' OR '.join(f'contains(lower(tok), {q(w)})' for w in fx.SELF_CHECK_MARKERS)})"
     for p, kind, sev in fx.LEAK_CREDENTIALS
 )
 # Values are looked up after each name, because they may overlap the next name.

@@ -55,7 +55,7 @@ register(
 )
 register(
     "redact_sessions_joined",
-    lambda s, sf: vt.redact_with_vault(scanned(s, sf), vt.vault_mint(vt.session_hits(scanned(s, sf)), SALT).withColumn("remapped", F.lit(True)), SALT, max_rows=0)
+    lambda s, sf: vt.redact_with_vault(scanned(s, sf), vt.vault_mint(vt.session_hits(scanned(s, sf)), SALT), SALT)
     .select("msg_id", "session", "redacted"),
     SQL["redact_sessions"],
 )

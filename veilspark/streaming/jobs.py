@@ -68,9 +68,9 @@ def realign_stream(pieces: DataFrame, keys: list[str]) -> DataFrame:
             text += tail.finish()
         st["held"], n = tail.held, st.get("n", 0)
         st["n"] = n + 1
-        if not text and not tail.overflowed:
+        if not text:
             return []
-        return [(*(row[k] for k in keys), n, text, tail.overflowed)]
+        return [(*(row[k] for k in keys), n, text, False)]
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", piece long, text string, overflowed boolean"
     return keyed_state(pieces, keys, ["seq"], step, schema)
