@@ -180,7 +180,7 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
 def _encode(model: dict, text_col: str, to: str, rows: int):
     def run(batches):
         viterbi = Viterbi(model)
-        find, memo = re.compile(WORD).findall, Words(viterbi.words)
+        find, memo = re.compile(WORD).findall, Words(viterbi.words, 200_000)
         for whole in batches:
             for lo in range(0, whole.num_rows, rows):
                 batch = whole.slice(lo, rows)
@@ -205,13 +205,13 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", to: str = "
     """
     kept = [c for c in docs.columns if c != to]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{to}` array<int>"])
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(_encode(load_pieces(model_file), text_col, to, 1000), schema)
+    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(_encode(load_pieces(model_file), text_col, to, 300), schema)
 
 
 def _decode(model: dict, ids_col: str, to: str):
     def run(batches):
         viterbi = Viterbi(model)
-        for batch in batches:
+        for batch in (whole.slice(lo, 300) for whole in batches for lo in range(0, whole.num_rows, 300)):
             texts = [None if ids is None else viterbi.decode(ids) for ids in _column(batch, ids_col).to_pylist()]
             yield _with(batch, to, pa.array(texts, pa.string()))
 

@@ -217,7 +217,7 @@ def _unit_counts():
     schema = pa.schema([("unit", pa.string()), ("p", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             counts = (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[toxic].update({w for u in units(text or "") if 2 <= len(w := plain(u)) <= LONGEST})
@@ -232,19 +232,14 @@ def _top(machine: Machine, with_unit: bool):
 
     def run(batches):
         kernel = Kernel()
-        memo = Words(lambda words: machine.values(words, kernel).tolist(), 600_000)
-        for batch in batches:
+        memo = Words(lambda words: machine.values(words, kernel).tolist(), 250_000)
+        # A few texts at a time: their words as objects take many times the text's size.
+        for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
             texts = [units(t) if t else [] for t in batch.column(1).to_pylist()]
-            top, unit = [], []
-            for lo in range(0, len(texts), 1000):
-                part = texts[lo : lo + 1000]
-                memo.ensure(w for ws in part for w in ws)
-                for ws in part:
-                    if with_unit:
-                        best = max(ws, key=memo.__getitem__, default="")
-                        unit.append(plain(best)[:LONGEST])
-                    top.append(max(map(memo.__getitem__, ws), default=machine.bias))
+            memo.ensure(w for ws in texts for w in ws)
+            top = [max(map(memo.__getitem__, ws), default=machine.bias) for ws in texts]
             if with_unit:
+                unit = [plain(max(ws, key=memo.__getitem__, default=""))[:LONGEST] for ws in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top, pa.float64()), pa.array(unit, pa.string())], ["toxic", "top", "unit"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top, pa.float64()), pa.array(machine.probability(np.array(top, float)))], ["doc_id", "top", "score"])
