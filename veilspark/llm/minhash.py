@@ -125,10 +125,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1").select("bucket")
     members = cut(members.join(shared, "bucket"))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    # A repeated id with several texts would be ambiguous here; each of its texts is confirmed by its own set.
-    sets = cut(narrow.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id bigint, hashes array<bigint>").distinct())
+    # A repeated id with several texts would be ambiguous here; each of its texts is confirmed by its own set.  Equal rows go before
+    # the hashes are made: a merge join has dealt the texts by id already, and texts are smaller to move than hashes.
+    sets = cut(narrow.join(wanted, "doc_id", "left_semi").distinct().mapInArrow(_sets(k), "doc_id bigint, hashes array<bigint>"))
 
-    labels, step = None, 0
+    labels, tested, step = None, None, 0
     while True:
         here = members.withColumn("at", F.col("rep"))
         if labels is not None:
@@ -141,6 +142,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             .where(F.greatest("n", F.col("c.n")) * percent <= F.least("n", F.col("c.n")) * 100)
             .groupBy(F.greatest("rep", F.col("c.rep")).alias("a"), F.least("rep", F.col("c.rep")).alias("b")).agg(F.first(F.array("at", "c.at")).alias("ends"))
         )
+        # A pair that an earlier round refused is not compared again; one that it confirmed is within a component.
+        star = cut(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
+        pairs = star.select("a", "b")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         full = (
             star.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
