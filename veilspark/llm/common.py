@@ -9,7 +9,21 @@ from pyspark.sql import functions as F
 
 from veilspark.sources.lineage import checkpoint_dir, cut
 
-__all__ = ["FirstSeen", "Words", "binary_column", "checkpoint_dir", "cut", "mix64", "table", "text_bytes"]
+__all__ = ["FirstSeen", "Words", "binary_column", "checkpoint_dir", "cut", "cut_dealt", "mix64", "table", "text_bytes"]
+
+
+def cut_dealt(df: DataFrame) -> DataFrame:
+    """A checkpoint that later joins on the same key read as it lies.
+
+    Adaptive plans don't tell how their result is dealt, so this one plan is made without.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set(key, before)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

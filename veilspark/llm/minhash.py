@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import FirstSeen, binary_column, cut, mix64
+from veilspark.llm.common import FirstSeen, binary_column, cut, cut_dealt, mix64
 from veilspark.llm.graph import components
 
 ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53,
@@ -88,7 +88,7 @@ def _sign(k: int, bands: int, rows: int):
 
 
 def _sets(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("_node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches):
         memo = word_hashes()
@@ -126,8 +126,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     members = cut(members.join(shared, "bucket"))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     # A repeated id with several texts would be ambiguous here; each of its texts is confirmed by its own set.  Equal rows go before
-    # the hashes are made: a merge join has dealt the texts by id already, and texts are smaller to move than hashes.
-    sets = cut(narrow.join(wanted, "doc_id", "left_semi").distinct().mapInArrow(_sets(k), "doc_id bigint, hashes array<bigint>"))
+    # the hashes are made.  The sets are dealt by id once, so that no round moves all of them again.
+    texts = narrow.join(wanted, "doc_id", "left_semi").distinct()
+    sets = cut_dealt(texts.mapInArrow(_sets(k), "_node bigint, hashes array<bigint>").repartition("_node"))
 
     labels, tested, step = None, None, 0
     while True:
@@ -140,20 +141,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         star = (
             here.join(centres.select("bucket", "cs"), "bucket").select("rep", "n", "at", F.explode("cs").alias("c")).where("at <> c.at")
             .where(F.greatest("n", F.col("c.n")) * percent <= F.least("n", F.col("c.n")) * 100)
-            .groupBy(F.greatest("rep", F.col("c.rep")).alias("a"), F.least("rep", F.col("c.rep")).alias("b")).agg(F.first(F.array("at", "c.at")).alias("ends"))
+            .groupBy(F.greatest("rep", F.col("c.rep")).alias("a"), F.least("rep", F.col("c.rep")).alias("b"))
+            .agg(F.max(F.col("c.rep") > F.col("rep")).alias("turned"), F.min(F.least("at", F.col("c.at"))).alias("low"), F.max(F.greatest("at", F.col("c.at"))).alias("high"))
         )
         # A pair that an earlier round refused is not compared again; one that it confirmed is within a component.
         star = cut(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
         pairs = star.select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        full = (
-            star.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
-        )
-        both = F.size(F.array_intersect("ha", "hb"))
+        # A row has few centres, so it meets its set where that lies; a centre may have very many rows, so the two sides are dealt anew.
+        sided = star.select("low", "high", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("m"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("c"))
+        left = sided.join(sets.select(F.col("_node").alias("m"), F.col("hashes").alias("hm")), "m")
+        right = cut(sets.join(sided.select(F.col("c").alias("_node")).distinct(), "_node", "left_semi").select(F.col("_node").alias("c"), F.col("hashes").alias("hc")))
+        both = F.size(F.array_intersect("hm", "hc"))
         found = cut(
-            full.select("ends", both.alias("both"), (F.size("ha") + F.size("hb")).alias("all"))
-            .where(F.col("both") * 100 >= percent * (F.col("all") - F.col("both"))).select(F.col("ends")[0].alias("a"), F.col("ends")[1].alias("b"))
+            left.join(right, "c").select("low", "high", both.alias("both"), (F.size("hm") + F.size("hc")).alias("all"))
+            .where(F.col("both") * 100 >= percent * (F.col("all") - F.col("both"))).select(F.col("high").alias("a"), F.col("low").alias("b"))
         )
         if found.isEmpty():
             break
