@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from veilspark.llm import capfilter, graph, minhash
+from veilspark.llm.common import cut_dealt
 
 
 def closure(nodes, links):
@@ -101,3 +102,12 @@ def test_cap_recall_at_the_threshold():
     code = capfilter.ProductCode(64, 4096, 0.54, 6, 7)
     met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x), code.decode(z), strict=True)]
     assert np.mean(met) >= 0.998, np.mean(met)
+
+
+def test_cut_dealt_keeps_how_rows_lie(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    held = cut_dealt(spark.range(100).selectExpr("id % 7 AS k", "id").repartition("k"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    counts = held.groupBy("k").count()
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sum(r["count"] for r in counts.collect()) == 100
