@@ -44,6 +44,20 @@ def test_near_duplicates(docs_frame, rng, k):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("block", [512, 100])
+def test_near_duplicates_in_a_family_of_alike_texts(docs_frame, rng, block):
+    """Texts that share a long passage, about 0.68 alike, hide pairs of 0.87; no text of the family but those is linked."""
+    passage = [f"p{i}" for i in range(140)]
+    tails = [[f"t{i}_{j}" for j in range(30)] for i in range(1000)]
+    order = rng.sample(range(1000), 40)
+    for a, b in zip(order[:20], order[20:], strict=True):
+        tails[b] = tails[a][:24] + tails[b][24:]
+    rows = [(i, " ".join(passage + t)) for i, t in enumerate(tails)]
+    want = closure(range(1000), list(zip(order[:20], order[20:], strict=True)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_frame(rows), k=4, block=block).collect()}
+    assert got == want
+
+
 def test_near_duplicates_odd_rows(docs_frame):
     assert minhash.near_duplicates(docs_frame([])).count() == 0
     rows = minhash.near_duplicates(docs_frame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (7, "A b c")])).collect()

@@ -50,6 +50,15 @@ def signature(s: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+def band_values(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    sig = sig.reshape(bands, rows)
+    with np.errstate(over="ignore"):
+        h = np.arange(bands, dtype=np.uint64) * np.uint64(ODD[-1])
+        for i in range(rows):
+            h = mix64(h + sig[:, i] * np.uint64(ODD[i]))
+    return h.view(np.int64)
+
+
 def word_hashes():
     return FirstSeen(lambda w: xxhash.xxh3_64_intdigest(w))
 
@@ -65,7 +74,6 @@ def _sign(k: int, bands: int, rows: int):
 
     def run(batches):
         memo = word_hashes()
-        salt = np.arange(bands, dtype=np.uint64)
         for batch in batches:
             out = [[], [], [], []]
             for text in binary_column(batch, 1):
@@ -73,12 +81,8 @@ def _sign(k: int, bands: int, rows: int):
                 out[0].append(len(s))
                 if len(s):
                     d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                    sig = signature(s, bands * rows).reshape(bands, rows)
-                    with np.errstate(over="ignore"):
-                        h = salt * np.uint64(ODD[-1])
-                        for i in range(rows):
-                            h = mix64(h + sig[:, i] * np.uint64(ODD[i]))
-                    out[1].append(int(d[0])), out[2].append(int(d[1])), out[3].append(h.view(np.int64))
+                    sig = signature(s, bands * rows)
+                    out[1].append(int(d[0])), out[2].append(int(d[1])), out[3].append(band_values(sig, bands, rows))
                 else:
                     out[1].append(None), out[2].append(None), out[3].append(None)
             yield pa.RecordBatch.from_arrays(
@@ -99,15 +103,173 @@ def _sets(k: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _prints(bands: int, rows: int):
+    """Band values and one byte of each bin, from a set."""
+    schema = pa.schema([("rep", pa.int64()), ("size", pa.int64()), ("bands", pa.binary()), ("bytes", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for hashes in batch.column(1):
+                s = hashes.values.to_numpy().view(np.uint64)
+                sig = signature(s, bands * rows)
+                out[0].append(len(s)), out[1].append(band_values(sig, bands, rows).tobytes()), out[2].append((sig & np.uint64(255)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], schema=schema)
+
+    return run
+
+
+def by_group(batches):
+    """Tables of the rows that agree in the first three columns; the rows come sorted by them."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        starts = np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)), [batch.num_rows]])
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            part = batch.slice(lo, hi - lo)
+            if held and any(held[0].column(i)[0] != part.column(i)[0] for i in range(3)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def agreement(x: np.ndarray) -> np.ndarray:
+    """In how many columns each two rows agree."""
+    if len(x) <= 64:
+        return (x[:, None, :] == x[None, :, :]).sum(2)
+    out = np.zeros((len(x), len(x)), np.int32)
+    for column in x.T:
+        out += column[:, None] == column[None, :]
+    return out
+
+
+def _promising(percent: int, bands: int, rows: int):
+    """The members of a group that some other one in it may be linked with and shares no earlier band with."""
+    schema = pa.schema([("bucket", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("rep", pa.int64()), ("at", pa.int64())])
+
+    def run(batches):
+        for t in by_group(batches):
+            at, size = t.column("at").to_numpy(), t.column("size").to_numpy()
+            names = np.frombuffer(b"".join(t.column("bands").to_pylist()), np.int64).reshape(-1, bands)
+            least = np.minimum(size[:, None], size[None, :])
+            ok = (at[:, None] != at[None, :]) & (np.maximum(size[:, None], size[None, :]) * percent <= least * 100)
+            column = int(np.flatnonzero((names == t.column("bucket")[0].as_py()).any(0))[0])
+            own = names[:, column] == t.column("bucket")[0].as_py()
+            ok &= own[:, None] & own[None, :]
+            if column and ok.any():
+                ok &= agreement(names[:, :column]) == 0
+            if ok.any():
+                few = agreement(np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(len(at), -1)) < bands * rows * (percent / 100 - 0.3)
+                ok &= ~(few & (least >= 2 * bands * rows))
+            keep = pa.array(np.flatnonzero(ok.any(1)))
+            if len(keep):
+                yield from t.select(schema.names).take(keep).cast(schema).to_batches()
+
+    return run
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each two sets."""
+    flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    useful = times > 1
+    place = np.where(useful, np.cumsum(useful) - 1, -1)[column]
+    by = np.argsort(place, kind="stable")
+    place, who = place[by], who[by]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for lo in range(0, int(useful.sum()), 2048):
+        a, b = np.searchsorted(place, [lo, lo + 2048])
+        inc = np.zeros((len(sets), 2048), np.float32)
+        inc[who[a:b], place[a:b] - lo] = 1
+        out += inc @ inc.T
+    return out
+
+
+def _linked(percent: int):
+    """Links between components of a group, on the full sets: each component to the least one it is linked with."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for t in by_group(batches):
+            at = t.column("at").to_numpy()
+            sets = [h.values.to_numpy() for h in t.column("hashes")]
+            size = np.array([len(s) for s in sets])
+            both = common(sets)
+            ok = (at[:, None] != at[None, :]) & (both * 100 >= percent * (size[:, None] + size[None, :] - both))
+            x, y = np.nonzero(ok)
+            if len(x):
+                # All links of the group, as pairs of components: there are at most as many as components that they join.
+                ends = np.unique(np.stack([np.maximum(at[x], at[y]), np.minimum(at[x], at[y])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], schema=schema)
+
+    return run
+
+
+def _rest(here: DataFrame, sets: DataFrame, percent: int, bands: int, rows: int, block: int, most: int) -> DataFrame:
+    """Links ``(a, b)`` of components, from all pairs that share a bucket and lie in different components.
+
+    A bucket is dealt in blocks of ``block`` members or ``most`` hashes, and two blocks meet in a group.  A component that fills blocks of
+    its own doesn't meet itself.  No pair is written out: a group first drops the members that have no partner left
+    by size and bins, then counts what the full sets of the others have in common.
+    """
+    cells = here.groupBy("bucket", "at").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    # A bucket of two was compared in the first round.
+    open_ = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all")).where("parts > 1 AND all > 2").select("bucket")
+    here = cut(here.join(open_, "bucket"))
+    if here.isEmpty():
+        return here.select(F.col("at").alias("a"), F.col("at").alias("b"))
+    large = F.when((F.col("c") > block) | (F.col("w") > most), F.col("at")).alias("own")
+    cells = here.groupBy("bucket", "at").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).select("bucket", "at", "c", "w", large)
+    parts = F.greatest(F.ceil(F.sum("c") / block), F.ceil(F.sum("w") / most)).cast("int")
+    dealt = cells.groupBy("bucket", "own").agg(parts.alias("parts"))
+    blocks = dealt.select("bucket", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("bucket", "own", F.xxhash64("own", "part").alias("part"))
+    other = blocks.select("bucket", F.col("own").alias("own2"), F.col("part").alias("part2"))
+    met = blocks.join(other, "bucket").where("part <= part2 AND NOT coalesce(own = own2, false)").select("bucket", F.col("part").alias("left"), F.col("part2").alias("right"))
+    met = met.withColumn("part", F.explode(F.array_distinct(F.array("left", "right"))))
+    # The few large cells and the pools of the others are joined on, so each member knows its block.
+    placed = here.join(cells.where("own IS NOT NULL").select("bucket", "at", "own"), ["bucket", "at"], "left")
+    same = (placed.bucket == dealt.bucket) & placed.own.eqNullSafe(dealt.own)
+    placed = placed.join(dealt, same).select(placed.bucket, "rep", "at", F.xxhash64(placed.own, F.expr("cast(pmod(xxhash64(rep), parts) as int)")).alias("part"))
+    key = ["bucket", "left", "right"]
+    prints = sets.join(here.select(F.col("rep").alias("_node")).distinct(), "_node", "left_semi").mapInArrow(_prints(bands, rows), "rep bigint, size bigint, bands binary, bytes binary")
+    grouped = placed.join(met, ["bucket", "part"]).select(*key, "rep", "at").join(prints, "rep").select(*key, "rep", "at", "size", "bands", "bytes")
+    chosen = cut(grouped.repartition(*key).sortWithinPartitions(*key).mapInArrow(_promising(percent, bands, rows), "bucket bigint, left bigint, right bigint, rep bigint, at bigint"))
+    full = chosen.distinct().join(sets.withColumnRenamed("_node", "rep"), "rep").select(*key, "rep", "at", "hashes")
+    return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_linked(percent), "a bigint, b bigint").distinct()
+
+
+def _placed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The members of buckets with the component each is in."""
+    if labels is None:
+        return members.withColumn("at", F.col("rep"))
+    return members.join(labels, members.rep == labels.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("at"))
+
+
+def _moved(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components after new links, which join whole components, so only the components' names are searched anew."""
+    merged = components(found)
+    if labels is None:
+        return merged
+    names = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    moved = labels.join(names, labels.component == names.old, "left").select("node", F.coalesce("new", "component").alias("component"))
+    return cut(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, block: int = 512, block_hashes: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
     Two texts are linked if ``100 * |A ∩ B| >= percent * |A ∪ B|`` for their sets of k-word shingles (words split at
     ASCII white space, A-Z lower-cased; a shorter text is one shingle).  Equal sets are one node.  A bucket (equal
     values of one band) proposes only edges to one centre, so pairs stay linear in the rows.  Each edge is
     confirmed on the full sets.  Then buckets that still hold several components propose again, with
-    another centre, until a round adds no link: a link is missed only if no bucket ever proposes it.  With the
-    defaults a pair of similarity 0.8 shares no bucket with probability 5e-8.
+    another centre, until a round adds no link.  Last, all pairs of the buckets that still hold several components are
+    compared in blocks (see ``_rest``), so every pair that shares a bucket is linked, or compared, or excluded.  With the
+    defaults a pair of similarity 0.8 shares no bucket with probability 5e-8, and one of large sets is excluded by its bins
+    with probability below 1e-8.
 
     A null or empty text, or one of white space, has no shingles and links with nothing.  A row without id links
     with nothing and is kept.  Repeated rows are nodes of their own that link as equal texts.  No other column is
@@ -132,9 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     labels, tested, step = None, None, 0
     while True:
-        here = members.withColumn("at", F.col("rep"))
-        if labels is not None:
-            here = members.join(labels, members.rep == labels.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("at"))
+        here = _placed(members, labels)
         # Later rounds draw several centres anew for each bucket that still holds more than one component.
         orders = [F.struct("rep")] if step == 0 else [F.struct(F.xxhash64("rep", F.lit(step * 8 + i)), F.col("rep")) for i in range(4)]
         centres = here.groupBy("bucket").agg(F.min("at").alias("x"), F.max("at").alias("y"), F.array(*(F.min_by(F.struct("rep", "n", "at"), o) for o in orders)).alias("cs")).where("x <> y")
@@ -159,15 +319,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         )
         if found.isEmpty():
             break
-        # New links join whole components, so only the components' names are searched anew.
-        merged = components(found)
-        if labels is None:
-            labels = merged
-        else:
-            names = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
-            moved = labels.join(names, labels.component == names.old, "left").select("node", F.coalesce("new", "component").alias("component"))
-            labels = cut(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")))
+        labels = _moved(labels, found)
         step += 1
+    found = cut(_rest(_placed(members, labels), sets, percent, bands, rows, block, block_hashes))
+    if not found.isEmpty():
+        labels = _moved(labels, found)
     out = signed.join(reps.where("copies > 1").select("d1", "d2", "rep"), ["d1", "d2"], "left")
     out = out.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     if labels is not None:
