@@ -27,6 +27,9 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z]+(?:[_/-][A-Za-z0-9]+)+|[0-9_/+=-]+|[A-Za-z][a-z]*(?:[A-Z][a-z]+)*[0-9]{0,4}"
+# Words as parts of identifiers, the length from which their tokens decide, and the least length of what is left.
+WORD = r"[A-Za-z][a-z]*(?:[A-Z][a-z]+)*[0-9]{0,4}|[A-Z]+[0-9]{0,4}"
+LONG_PART, LEAST_LEFT = 12, 16
 WINDOW = 4096
 
 
@@ -45,21 +48,45 @@ def known(string: str) -> bool:
     return bool(re.fullmatch(IDENTIFIER, string))
 
 
+def part_known(part: str, count, most: float) -> bool:
+    """True for the parts of identifiers that are words, numbers or digests; a part of some length must also be as short in tokens as words are."""
+    if re.fullmatch(r"[0-9+=]*", part) or (re.fullmatch(r"[0-9a-fA-F]+", part) and len(part) in DIGEST_LENGTHS):
+        return True
+    if len(part) < LONG_PART:
+        return bool(re.fullmatch(WORD, part))
+    return len(part) >= most * weight(part, count)
+
+
+def weight(s: str, count) -> int:
+    # A very long string is weighed in pieces, because merging is slower than linear in the length.
+    return sum(count(s[i : i + WINDOW]) for i in range(0, len(s), WINDOW))
+
+
+def dense(s: str, count, most: float) -> bool:
+    """True if a string, or what is left of it without its known parts, needs a token for each ``most`` characters or fewer."""
+    parts = [p for p in re.split("[_/-]", re.sub(UUID, "-", s)) if not part_known(p, count, most)]
+    left = sum(map(len, parts))
+    if left >= LEAST_LEFT and left < most * sum(weight(p, count) for p in parts):
+        return True
+    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or known(s) or re.search(UUID, s):
+        return False
+    return len(s) < most * weight(s, count)
+
+
 def dense_spans(text: str, count, most: float) -> list[tuple[int, int]]:
-    """Strings of 20 characters or more with letters and digits that need a token for each ``most`` characters or fewer."""
-    out = []
-    uuids = [m.span() for m in re.finditer(UUID, text)] if "-" in text else []
-    for m in re.finditer(CANDIDATE, text):
-        s = m[0]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or known(s):
-            continue
-        if any(a < m.end() and m.start() < b for a, b in uuids):
-            continue
-        # A very long string is weighed in pieces, because merging is slower than linear in the length.
-        tokens = sum(count(s[i : i + WINDOW]) for i in range(0, len(s), WINDOW))
-        if len(s) < most * tokens:
-            out.append(m.span())
-    return out
+    """Strings of 20 characters or more that are dense."""
+    return [m.span() for m in re.finditer(CANDIDATE, text) if dense(m[0], count, most)]
+
+
+def uncovered(span: tuple[int, int], taken) -> list[tuple[int, int]]:
+    """The parts of a span that no sorted span of ``taken`` covers."""
+    at, out = span[0], []
+    for a, b in taken:
+        if b > at and a < span[1]:
+            if a > at:
+                out.append((at, a))
+            at = b
+    return [*out, (at, span[1])] if at < span[1] else out
 
 
 def base_spans(text: str, shapes) -> list[tuple[int, int, int]]:
@@ -89,8 +116,7 @@ def _scan(vocabulary: bytes, token_pattern: str, most: float):
                 text = text or ""
                 base = base_spans(text, shapes)
                 taken = sorted((a, b) for a, _, b in base)
-                dense = [(a, 3, b) for a, b in dense_spans(text, count, most) if not any(x < b and a < y for x, y in taken)]
-                every = sorted(base + dense)
+                every = sorted(base + [(a, 3, b) for span in dense_spans(text, count, most) for a, b in uncovered(span, taken)])
                 kinds = [k for _, k, _ in every]
                 out.append({
                     "row": row, "n_assign": kinds.count(0), "n_access": kinds.count(1), "n_hex": kinds.count(2), "n_dense": kinds.count(3),
@@ -118,8 +144,8 @@ def scan_secrets(docs: DataFrame, vocabulary: bytes, token_pattern: str, most: f
     """``doc_id``, counts per kind, ``base_sha256``, ``spans`` and, with ``redact``, the masked text (null if nothing was found).
 
     The kinds assign, access and hex are fixed shapes.  Kind dense is the token-efficiency test: strings of at
-    least 20 characters with letters and digits, neither digests, UUIDs nor identifiers, whose characters per token
-    under the vocabulary lie below ``most``; spans that a fixed shape has are not repeated.  A null text is empty and an empty one has no span;
+    least 20 characters whose characters per token under the vocabulary lie below ``most``, whole or without those parts (cut at _ / -) that are
+    words, numbers, digests or UUIDs; of a string that a fixed shape covers in part the rest is dense.  A null text is empty and an empty one has no span;
     repeated rows give repeated rows; a null id stays null.  Texts are scanned whole; other columns are not read.
     """
     scan = _scan(vocabulary, token_pattern, most)
