@@ -50,3 +50,10 @@ def test_against_brute_force(docs_frame, rng, order):
 def test_empty_table_and_null_id(docs_frame):
     assert backoff.stupid_backoff(docs_frame([]), VOCAB, PATTERN).count() == 0
     assert backoff.stupid_backoff(docs_frame([(None, "a b")]), VOCAB, PATTERN).first().doc_id is None
+
+
+def test_trigrams_are_the_default(docs_frame):
+    rows = list(enumerate(["the of thand", "the of erened", "in the of thand", "not of thand"]))
+    for (i, _), (n, steps, score) in zip(rows, brute([t for _, t in rows], 3, 0.4), strict=True):
+        r = backoff.stupid_backoff(docs_frame(rows), VOCAB, PATTERN).where(f"doc_id = {i}").first()
+        assert (r.n_tokens, r.n_backoff) == (n, steps) and r.log_score == pytest.approx(score, abs=1e-6)
