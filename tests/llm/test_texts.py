@@ -155,6 +155,16 @@ def test_templates(spark, docs_frame):
     assert decontam.template_leaks(docs_frame(docs), bench.limit(0)).count() == 0
 
 
+def test_short_folded_and_partial_copies_are_leaks(docs_frame, spark):
+    eight, five, sums = "we walk along the quiet river every morning", "who wrote this old book", "What is 12 + 30 + 4 + 5 + 6 + 7 + 8 + 9"
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59))
+    bench = spark.createDataFrame([(1, eight), (2, five), (3, sums), (4, ITEM), (5, long)], "item_id bigint, text string")
+    docs = [(i, "x " * i + eight + " y z") for i in range(4)] + [(10, f"he asked who wrote this old book again {'a ' * i}") for i in range(2)]
+    docs += [(20, "first. " + sums), (21, ITEM.lower()), (22, ITEM.upper()), (23, "a b " + " ".join(long.split()[9:39]) + " c d"), (24, " ".join(long.split()[9:24])), (25, "who wrote this new book")]
+    got = sorted((r.doc_id, r.item_id) for r in decontam.template_leaks(docs_frame(docs), bench).collect())
+    assert got == [(0, 1), (1, 1), (2, 1), (3, 1), (10, 2), (20, 3), (21, 4), (22, 4), (23, 5)]
+
+
 def test_inconsistent_slots_are_no_leak(docs_frame, spark):
     item = "take 5 red cups then take 5 blue cups then take 5 green cups then take 5 large cups and go home with all of the cups"
     bad = item
