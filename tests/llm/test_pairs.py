@@ -104,6 +104,21 @@ def test_cap_links(spark, block):
     assert capfilter.cap_links(frame.limit(0)).count() == 0
 
 
+def test_cap_links_of_short_vectors(spark):
+    rng = np.random.default_rng(8)
+    data = []
+    for dim in (4, 16, 32):
+        for _ in range(20):
+            centre = rng.standard_normal(dim)
+            data += [centre + 0.25 * rng.standard_normal(dim) for _ in range(3)]
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(data)], "vec_id bigint, embedding array<double>, label int")
+    near = lambda a, b: len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.93
+    links = [(i, j) for i in range(len(data)) for j in range(i) if near(data[i], data[j])]
+    want = closure(range(len(data)), links)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in capfilter.cap_links(frame, block=16).collect()}
+    assert got == {i: (sum(i in e for e in links), want[i]) for i in want}
+
+
 def test_cap_recall_at_the_threshold():
     """Pairs of a cosine just above the threshold share a filter."""
     rng = np.random.default_rng(3)

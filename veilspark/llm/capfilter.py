@@ -12,6 +12,10 @@ from veilspark.llm.common import cut
 from veilspark.llm.graph import components
 
 
+#: Below so many components caps at this scale hold few filters or none: all vectors of a label are compared.
+LEAST_DIM = 64
+
+
 class ProductCode:
     """Filter directions (c_i, c_j) / sqrt(2): all pairs of ``words`` unit vectors in the two halves of a rotated space.
 
@@ -34,6 +38,8 @@ class ProductCode:
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """All filters that each vector exceeds.  Only code words that can still reach the cap are combined."""
+        if unit.shape[1] < LEAST_DIM:
+            return [np.zeros(1, np.int64) for _ in unit]
         out: list[list] = [[] for _ in unit]
         for t, (turn, left, right) in enumerate(self.codes):
             x = (unit @ turn).astype(np.float32)
@@ -155,7 +161,7 @@ def cap_links(vectors: DataFrame, least: float = 0.93, words: int = 4096, cap: f
     it shares, so pairs are never written out.  A filter with more than ``block`` vectors is
     dealt in blocks, and each pair of blocks is a group of its own.  Equal directions are one node
     with a count, so copies don't meet at all.  ``cap`` is the least inner product in 64 dimensions and is scaled
-    for others; it fixes the number of filters a vector has, whatever the number of vectors.  With the defaults that is about 200
+    for more; shorter vectors are all in one filter, which is exact and quadratic in the vectors of a label and length.  It fixes the number of filters a vector has, whatever the number of vectors.  With the defaults that is about 200
     in 64 dimensions, and a pair of cosine 0.93 shares none of them with probability below 1e-4.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers, or whose label is null, link with nothing and are
