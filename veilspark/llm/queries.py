@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import backoff, capfilter, decontam, minhash, secrets, sentpiece, sharding, toxicity, warczip, wordpieces
+from veilspark.llm import backoff, capfilter, decontam, minhash, replytrees, secrets, sentpiece, sharding, toxicity, veccodes, warczip, wordpieces
 from veilspark.llm.common import table
 
 
@@ -68,8 +68,20 @@ def op10_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return backoff.stupid_backoff(table(spark, sf, "documents"), *bpe())
 
 
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return veccodes.compress(table(spark, sf, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_chat_trees(spark: SparkSession, sf: str) -> DataFrame:
+    saying = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(saying).alias("text"))
+    talks = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return replytrees.read_turns(replytrees.format_trees(replytrees.chains(talks))).drop("rank")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_token_counts, op3_minhash, op4_warc, op5_sentencepiece, op6_embedding_caps, op7_decontamination, op8_secrets, op9_sharding, op10_lm_scoring)}
+    op1_toxicity, op2_token_counts, op3_minhash, op4_warc, op5_sentencepiece, op6_embedding_caps, op7_decontamination, op8_secrets, op9_sharding, op10_lm_scoring,
+    op12_vector_codes, op13_chat_trees)}
 
 # Distinct shingles, pairs by shared shingles, then all ids that links reach.
 OP3 = r"""
@@ -115,4 +127,28 @@ f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1
 o AS (SELECT *, row_number() OVER (ORDER BY part, source, h, doc_id) - 1 AS place, count(*) OVER () AS n FROM f)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 40 // n AS INT) AS shard, place - ((place * 40 // n) * n + 39) // 40 AS slot, CAST(NULL AS INT) AS grown_shard FROM o"""
 
-SQL = {"op3_minhash": OP3, "op4_warc": OP4, "op6_embedding_caps": OP6, "op9_sharding": OP9}
+# Parts of four components; each assignment takes the least distance, then the least index, packed into one number.
+OP12_START = """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, i AS part, v[i * 4 + 1] AS x0, v[i * 4 + 2] AS x1, v[i * 4 + 3] AS x2, v[i * 4 + 4] AS x3, row_number() OVER (PARTITION BY i ORDER BY vec_id) - 1 AS place FROM e, (SELECT unnest(range(16)) AS i)),
+b0 AS (SELECT part, place AS entry, x0, x1, x2, x3 FROM p WHERE place < 64)"""
+OP12_ASSIGN = """,
+a{k} AS (SELECT p.vec_id, p.part, min(((p.x0 - b.x0) ** 2 + (p.x1 - b.x1) ** 2 + (p.x2 - b.x2) ** 2 + (p.x3 - b.x3) ** 2)::BIGINT * 64 + entry) AS best FROM p JOIN b{k} b ON b.part = p.part GROUP BY ALL)"""
+OP12_MOVE = """,
+m{k} AS (SELECT p.part, best % 64 AS entry, floor(sum(x0)::DOUBLE / count(*)) AS y0, floor(sum(x1)::DOUBLE / count(*)) AS y1, floor(sum(x2)::DOUBLE / count(*)) AS y2, floor(sum(x3)::DOUBLE / count(*)) AS y3
+  FROM p JOIN a{k} a ON a.vec_id = p.vec_id AND a.part = p.part GROUP BY ALL),
+b{n} AS (SELECT b.part, b.entry, coalesce(y0, x0)::BIGINT AS x0, coalesce(y1, x1)::BIGINT AS x1, coalesce(y2, x2)::BIGINT AS x2, coalesce(y3, x3)::BIGINT AS x3 FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry)"""
+OP12 = OP12_START + OP12_ASSIGN.format(k=0) + OP12_MOVE.format(k=0, n=1) + OP12_ASSIGN.format(k=1) + OP12_MOVE.format(k=1, n=2) + OP12_ASSIGN.format(k=2) + """,
+c AS (SELECT vec_id, string_agg(printf('%02x', (best % 64)::INT), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN e USING (vec_id), h"""
+
+OP13 = r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+s AS (SELECT *, length(role) + 3 + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|\||/?tool_call>|/?think>)', '\1\\\2\3', 'g')) + 5 AS chars FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars FROM s GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+SQL = {"op12_vector_codes": OP12, "op13_chat_trees": OP13, "op3_minhash": OP3, "op4_warc": OP4, "op6_embedding_caps": OP6, "op9_sharding": OP9}
