@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import backoff, capfilter, decontam, minhash, replytrees, secrets, sentpiece, sharding, toxicity, veccodes, warczip, wordpieces
+from veilspark.llm import backoff, capfilter, decontam, minhash, phrases, replytrees, secrets, sentpiece, sharding, toxicity, veccodes, warczip, wordpieces
 from veilspark.llm.common import table
 
 
@@ -68,6 +68,10 @@ def op10_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return backoff.stupid_backoff(table(spark, sf, "documents"), *bpe())
 
 
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     return veccodes.compress(table(spark, sf, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
@@ -81,7 +85,7 @@ def op13_chat_trees(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_token_counts, op3_minhash, op4_warc, op5_sentencepiece, op6_embedding_caps, op7_decontamination, op8_secrets, op9_sharding, op10_lm_scoring,
-    op12_vector_codes, op13_chat_trees)}
+    op11_phrases, op12_vector_codes, op13_chat_trees)}
 
 # Distinct shingles, pairs by shared shingles, then all ids that links reach.
 OP3 = r"""
@@ -127,6 +131,22 @@ f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1
 o AS (SELECT *, row_number() OVER (ORDER BY part, source, h, doc_id) - 1 AS place, count(*) OVER () AS n FROM f)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 40 // n AS INT) AS shard, place - ((place * 40 // n) * n + 39) // 40 AS slot, CAST(NULL AS INT) AS grown_shard FROM o"""
 
+OP11 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+i AS (SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a AS longer FROM c WHERE k = 3),
+m AS (SELECT lang, phrase, max(longer) AS longer FROM i GROUP BY ALL),
+s AS (SELECT c.lang, c.phrase, c.a, cut, array_to_string(ws[1:cut], ' ') AS first, array_to_string(ws[cut + 1:], ' ') AS rest FROM c, (SELECT unnest([1, 2]) AS cut) WHERE cut < k),
+v AS (SELECT s.lang, s.phrase, s.a, cut, l.a AS l, r.a AS r, (1000000::HUGEINT * s.a * s.a // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM s JOIN f l ON l.lang = s.lang AND l.phrase = first JOIN f r ON r.lang = s.lang AND r.phrase = rest),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * b.a)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000"""
+
 # Parts of four components; each assignment takes the least distance, then the least index, packed into one number.
 OP12_START = """
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
@@ -151,4 +171,4 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars FROM s GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
 
-SQL = {"op12_vector_codes": OP12, "op13_chat_trees": OP13, "op3_minhash": OP3, "op4_warc": OP4, "op6_embedding_caps": OP6, "op9_sharding": OP9}
+SQL = {"op11_phrases": OP11, "op12_vector_codes": OP12, "op13_chat_trees": OP13, "op3_minhash": OP3, "op4_warc": OP4, "op6_embedding_caps": OP6, "op9_sharding": OP9}
