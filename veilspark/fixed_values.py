@@ -94,12 +94,9 @@ ENTROPY_MIN_BITS = 3.3
 ENTROPY_MIN_CLASSES = 3
 
 # --- fixed values: terms and protected values ---------------------------------------------
-TERM_MAX_CHARS = 64
-TERM_MAX_COUNT = 500
-LOCKER_MAX_ENTRIES = 200
 LOCKER_NAME_MAX = 64
-LOCKER_VALUE_CHARS = (8, 4096)
-LOCKER_PATH_CHARS = (2, 1024)
+LOCKER_VALUE_MIN_CHARS = 8
+LOCKER_PATH_MIN_CHARS = 2
 
 # --- fixed values: placeholders -------------------------------------------------------------
 STRICT_PLACEHOLDER = r"(?:\\{0,3}\[){2}PII:([A-Za-z0-9_]{1,32}):([0-9a-fA-F]{8})(?:\\{0,3}\]){2}"

@@ -24,14 +24,18 @@ class LockerEntry:
     kind: str = "value"
 
 
-def locker_clean(entries: DataFrame) -> DataFrame:
+def _first(chars: int | None) -> Column:
+    return F.col("value") if chars is None else F.left("value", F.lit(chars))
+
+
+def locker_clean(entries: DataFrame, max_value: int | None = None, max_path: int | None = None, max_entries: int | None = None) -> DataFrame:
     """Clean an entry table ``(pos, name, value, action, enabled, kind)``.
 
-    Trim, drop short values and unnamed values, cut long ones, name a path by its last segment,
-    force paths to ``mask``, keep the first entry per name and at most the allowed number.
+    Trim, drop short values and unnamed values, name a path by its last segment, force paths to ``mask``, keep the
+    first entry per name.  Values and paths are cut and entries beyond a number dropped only if asked for: the rest of a cut value
+    would stay in clear.  Tables of any size are searched by ``operators.dictionary``.
     """
-    vmin, vmax = fx.LOCKER_VALUE_CHARS
-    pmin, pmax = fx.LOCKER_PATH_CHARS
+    vmin, pmin = fx.LOCKER_VALUE_MIN_CHARS, fx.LOCKER_PATH_MIN_CHARS
     is_path = F.col("kind") == "path"
     value = F.trim("value")
     tail = F.element_at(F.filter(F.split("value", r"[\\/]"), lambda s: s != ""), -1)
@@ -39,7 +43,7 @@ def locker_clean(entries: DataFrame) -> DataFrame:
         entries.withColumn("kind", F.when(is_path, "path").otherwise("value"))
         .withColumn("value", value)
         .where(F.length("value") >= F.when(is_path, pmin).otherwise(vmin))
-        .withColumn("value", F.left("value", F.when(is_path, pmax).otherwise(vmax)))
+        .withColumn("value", F.when(is_path, _first(max_path)).otherwise(_first(max_value)))
         .withColumn("name", F.trim("name"))
         .withColumn("name", F.when((F.col("name") == "") & is_path, F.coalesce(tail, "value")).otherwise(F.col("name")))
         .where("name <> ''")
@@ -51,7 +55,7 @@ def locker_clean(entries: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("pos", "value", "action", "enabled", "kind"), "pos").alias("e"))
         .select(F.col("e.pos"), "name", F.col("e.value"), F.col("e.action"), F.col("e.enabled"), F.col("e.kind"))
     )
-    return first.orderBy("pos").limit(fx.LOCKER_MAX_ENTRIES)
+    return first if max_entries is None else first.orderBy("pos").limit(max_entries)
 
 
 def active_values(entries) -> list[LockerEntry]:

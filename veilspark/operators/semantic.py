@@ -27,14 +27,18 @@ class SemanticConfig:
     terms: tuple[str, ...] = field(default_factory=tuple)
 
 
-def clean_terms(terms) -> tuple[str, ...]:
-    """Trim, drop blanks and over-long terms, keep the first of equal (case-insensitive) terms."""
+def clean_terms(terms, max_chars: int | None = None, max_count: int | None = None) -> tuple[str, ...]:
+    """Trim, drop blanks, keep the first of equal (case-insensitive) terms.
+
+    Longer terms and terms beyond a number are dropped only if asked for.  A long list belongs in a table
+    (``operators.dictionary``): each term given here is a pattern in the plan.
+    """
     seen: dict[str, str] = {}
     for raw in terms:
         t = raw.strip()
-        if t and len(t) <= fx.TERM_MAX_CHARS:
+        if t and (max_chars is None or len(t) <= max_chars):
             seen.setdefault(t.lower(), t)
-    return tuple(list(seen.values())[: fx.TERM_MAX_COUNT])
+    return tuple(list(seen.values())[:max_count])
 
 
 def _alt(words) -> str:

@@ -189,12 +189,12 @@ register(
     ),
     f"""WITH t AS (SELECT pos, trim(name) AS name, trim(value) AS value, action, kind = 'path' AS is_path FROM ({LOCKER_TABLE})),
     u AS (SELECT pos, CASE WHEN name = '' AND is_path THEN regexp_extract(value, '[^/\\\\]+$') ELSE name END AS name,
-      substr(value, 1, CASE WHEN is_path THEN 1024 ELSE 4096 END) AS value, action, is_path
+      value, action, is_path
       FROM t WHERE length(value) >= CASE WHEN is_path THEN 2 ELSE 8 END),
     f AS (SELECT name, min(pos) AS pos FROM u WHERE name <> '' GROUP BY name)
     SELECT u.pos, u.name, CAST(length(value) AS BIGINT) AS chars, sha256(value) AS digest,
       CASE WHEN NOT is_path AND action = 'block' THEN 'block' ELSE 'mask' END AS action, CASE WHEN is_path THEN 'path' ELSE 'value' END AS kind
-    FROM u JOIN f USING (name, pos) ORDER BY u.pos LIMIT 200""",
+    FROM u JOIN f USING (name, pos)""",
 )
 
 # --- all sources, overlaps, redaction ---------------------------------------------------------------------
