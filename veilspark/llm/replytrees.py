@@ -42,8 +42,9 @@ def _jumps(nodes: DataFrame) -> list[DataFrame]:
     while 1 << (len(tables) - 1) < largest:
         now = tables[-1]
         far = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("gain").alias("_gain"), F.col("steps").alias("_steps"))
-        tables.append(cut(now.join(far, ["tree", "up"], "left").select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("gain") + F.coalesce("_gain", F.lit(0.0))).alias("gain"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))))
+        gone = now.where("up IS NOT NULL").join(far, ["tree", "up"]).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("gain") + F.col("_gain")).alias("gain"), (F.col("steps") + F.col("_steps")).alias("steps"))
+        tables.append(cut(gone.unionByName(now.where("up IS NULL"))))
         if tables[-1].where("up IS NOT NULL").isEmpty():
             break
     return tables
