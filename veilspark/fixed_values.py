@@ -303,7 +303,7 @@ FEEDBACK_WINDOW_SECONDS = 30 * 86400
 RETENTION_DAYS = {"passthrough": 1, "mask": 30, "block": 90}
 AUDIT_RETENTION_DAYS = 7
 BYPASS_SCAN_BYTES = 1 << 20
-JSON_RESTORE_DEPTH = 24
+JSON_TEXT_KEYS = ["arguments", "partial_json"]
 
 # --- fixed values: probe steps -----------------------------------------------------------------------------------
 PROBE_STEPS = ["step3_seed", "step3_verify", "step8_toolcall", "step9_error", "step10_stream", "step11_web3"]

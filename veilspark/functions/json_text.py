@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,8 +91,13 @@ def redact_json(
     replacement: Callable[[Column], Column],
     body: str = "body",
 ) -> DataFrame:
-    """Add ``hits`` (over all leaves) and ``redacted``; a body that is not JSON passes unchanged."""
-    found = F.when(is_json(F.col(body)), scan_leaves(F.col(body), scanner)).otherwise(F.array().cast(LEAF_TYPE))
+    """Add ``hits`` (over all leaves) and ``redacted``; a body that is not JSON passes unchanged.
+
+    A body nested too deep for the parser is walked all the same.
+    """
+    from veilspark.functions.json_walk import json_form
+
+    found = F.when(json_form(F.col(body)).isin("json", "deep"), scan_leaves(F.col(body), scanner)).otherwise(F.array().cast(LEAF_TYPE))
     return (
         compute_once(messages, __leaves=found)
         .withColumn("hits", leaf_hits(F.col("__leaves")))
@@ -102,34 +106,18 @@ def redact_json(
     )
 
 
-def _leaf_paths(bodies: pd.Series) -> pd.Series:
-    import json
-
-    def walk(node, path, out):
-        if isinstance(node, str):
-            out.append({"path": path, "value": node})
-        elif isinstance(node, list):
-            for i, child in enumerate(node):
-                walk(child, f"{path}[{i}]", out)
-        elif isinstance(node, dict):
-            for k, child in node.items():
-                walk(child, f"{path}.{k}", out)
+def json_string_leaves(messages: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """One row per string leaf with its path; bodies that are no JSON have none and are named by :func:`json_problems`."""
+    from veilspark.functions.json_walk import json_nodes
 
-    def one(body):
-        out: list = []
-        try:
-            walk(json.loads(body), "$", out)
-        except (TypeError, ValueError, RecursionError):
-            return []
-        return out
+    return compute_once(messages.select(*keys, body), __nodes=json_nodes(F.col(body))).select(*keys, F.inline("__nodes")).select(*keys, "path", F.col("leaf").alias("value"))
 
-    return bodies.map(one)
 
+def json_problems(messages: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """``keys, form`` of bodies that aren't plain JSON: ``text``, ``deep`` or ``none`` (see ``json_walk.json_form``)."""
+    from veilspark.functions.json_walk import json_form
 
-def json_string_leaves(messages: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
-    """One row per string leaf with its path.  Detection itself needs no paths and stays native."""
-    paths = F.pandas_udf(_leaf_paths, "array<struct<path:string,value:string>>")
-    return messages.select(*keys, F.inline(paths(F.col(body))))
+    return compute_once(messages.select(*keys, body), form=json_form(F.col(body))).select(*keys, "form").where("form <> 'json'")
 
 
 def vtype(v: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilspark import fixed_values as fx
 from veilspark.operators import detect as dt
 from veilspark.operators import frames as fr
+from veilspark.operators.json_restore import restore_json
 from veilspark.operators import restore as rs
 from veilspark.operators import vault as vt
 from veilspark.plans import seeded as sd
@@ -202,3 +203,32 @@ register(
     lambda s, sf: rs.leftover_audit(view(s, sf, sd.REPLIES), view(s, sf, sd.VAULT), ["msg_id"]),
     f"WITH {D_STRICT} SELECT session, count(*) AS leftover, count(*) - count(exact) AS unknown FROM sr GROUP BY session",
 )
+
+# Replies inside JSON bodies: in a list, 30 containers deep, and as arguments that are JSON text themselves; every ninth body is broken.
+QUOTED_VAULT = f"SELECT session, original || chr(34) || chr(92) AS original, tag, placeholder, suffix FROM ({sd.VAULT})"
+
+
+def json_bodies(s, sf):
+    """Bodies around the replies; quoting by the same functions that the oracle has."""
+    q1 = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    rows = view(s, sf, sd.REPLIES).withColumn("t", q1(F.col("body")))
+    plain_body = F.concat(F.lit('{"a":[1,{"text":'), "t", F.lit('}],"deep":' + '{"d":' * 30), "t", F.lit("}" * 30 + ', "n" : 2.50}'))
+    sent = F.concat(F.lit('{"to":'), q1(F.concat(F.lit("see "), F.regexp_extract("body", r"\[\[PII:NAME:[0-9a-f]{8}\]\]", 0))), F.lit("}"))
+    call = F.concat(F.lit('{"tool":[{"arguments":'), q1(sent), F.lit("}]}"))
+    kind = F.col("msg_id") % 9
+    return rows.select("msg_id", "session", F.when(kind == 0, F.concat(F.lit("{broken "), "body")).when(kind == 1, call).otherwise(plain_body).alias("body"))
+
+
+D_QUOTED = D_VAULT.replace(f"({sd.VAULT})", f"({QUOTED_VAULT})")
+D_Q = D_STRICT.replace(D_VAULT, D_QUOTED) + ", " + D_LOOSE
+register(
+    "restore_json",
+    lambda s, sf: restore_json(json_bodies(s, sf), view(s, sf, QUOTED_VAULT), ["msg_id"]).select("msg_id", "form", "restored_body"),
+    f"""WITH {D_Q}, b AS (SELECT s2.id AS msg_id, s2.out AS text, r.body AS sent, r.session FROM s2 JOIN ({sd.REPLIES}) r ON r.msg_id = s2.id),
+    c AS (SELECT b.*, regexp_extract(sent, '\[\[PII:NAME:[0-9a-f]{{8}}\]\]', 0) AS ph FROM b),
+    d AS (SELECT c.*, coalesce(v.original, f.original, ph) AS put FROM c LEFT JOIN vault v ON v.session = c.session AND v.placeholder = c.ph
+      LEFT JOIN (SELECT x.* FROM vault x JOIN uq USING (suffix)) f ON v.original IS NULL AND f.session = c.session AND '[[PII:NAME:' || f.suffix || ']]' = c.ph)
+    SELECT msg_id, CASE WHEN msg_id % 9 = 0 THEN 'text' ELSE 'json' END AS form, CASE msg_id % 9 WHEN 0 THEN '{{broken ' || text
+      WHEN 1 THEN '{{"tool":[{{"arguments":' || CAST(to_json('{{"to":' || CAST(to_json('see ' || put) AS VARCHAR) || '}}') AS VARCHAR) || '}}]}}'
+      ELSE '{{"a":[1,{{"text":' || CAST(to_json(text) AS VARCHAR) || '}}],"deep":' || repeat('{{"d":', 30) || CAST(to_json(text) AS VARCHAR) || repeat('}}', 30) || ', "n" : 2.50}}' END AS restored_body FROM d""",
+)
