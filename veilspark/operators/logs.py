@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
-from veilspark.functions.holdback import Cooldown
 from veilspark.functions.text import host_from_session, severity_rank
-from veilspark.functions.walk import ordered_walk
+from veilspark.operators.anchored import counted, notices
+from veilspark.sources.lineage import cut
 
 
 def log_stats(log: DataFrame) -> DataFrame:
@@ -276,18 +276,8 @@ def usage_cooldown(uses: DataFrame, cooldown: float = fx.USAGE_COOLDOWN_SECONDS)
     This is an anchored cooldown, not a session window.  Equal times are counted together first.
     """
     per = uses.groupBy("path", "entry", F.unix_micros("ts").alias("us")).agg(F.count(F.lit(1)).alias("n"))
-
-    def step(st, row):
-        return [
-            (row["path"], row["entry"], c, int(first), int(at))
-            for c, first, at in st.use(row["us"], int(row["n"]))
-        ]
-
-    notices = ordered_walk(
-        per, ["path", "entry"], ["us"], lambda: Cooldown(cooldown * 1_000_000), step, lambda st, key: [],
-        "path string, entry string, count long, first_us long, notice_us long",
-    )
-    return notices.select(
+    found = notices(per, ["path", "entry"], int(cooldown * 1_000_000))
+    return found.select(
         "path", "entry", "count", F.timestamp_micros("first_us").alias("first_ts"), F.timestamp_micros("notice_us").alias("notice_ts")
     )
 
@@ -326,21 +316,13 @@ def alert_throttle(events: DataFrame, floor: str = "HIGH", gap: int = fx.ALERT_I
         events.groupBy("batch")
         .agg(F.max("ts").alias("ts"), F.max(rank).alias("top"), F.count(F.lit(1)).alias("events"))
         .where(F.col("top") >= need)
-        .select(F.lit(1).alias("k"), F.unix_micros("ts").alias("us"), "batch", "top", "events")
+        .select(F.unix_micros("ts").alias("us"), "batch", "top", "events")
     )
-
-    def start():
-        return {"last": None}
-
-    def step(st, row):
-        if st["last"] is not None and row["us"] - st["last"] < gap * 1_000_000:
-            return []
-        st["last"] = row["us"]
-        return [(row["batch"], row["us"], int(row["top"]), int(row["events"]))]
-
-    out = ordered_walk(tops, ["k"], ["us", "batch"], start, step, lambda st, key: [],
-                       "batch long, us long, top int, events long")
-    return out.select("batch", F.timestamp_micros("us").alias("ts"), "top", "events")
+    tops = cut(tops)
+    # Of batches at one time the first raises the alert.
+    first = tops.groupBy("us").agg(F.min("batch").alias("batch"), F.min_by(F.struct("top", "events"), "batch").alias("b"))
+    alerts = first.join(counted(tops.select("us"), [], gap * 1_000_000), "us")
+    return alerts.select("batch", F.timestamp_micros("us").alias("ts"), F.col("b.top").alias("top"), F.col("b.events").alias("events"))
 
 
 def request_for_response(responses: DataFrame, requests: DataFrame, limit: int = fx.REQUEST_CONTEXT_SECONDS) -> DataFrame:
