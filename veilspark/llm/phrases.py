@@ -85,15 +85,30 @@ class Prints:
         a, b = ((s[stop] - s[start]) * inv[start] for s, inv in zip(sums, self.inverse, strict=True))
         return mix64(a) >> self.drop, (mix64(b) >> np.uint64(32)).astype(np.uint32)
 
-    def ngrams(self, raw: np.ndarray, own: int):
-        """For each n: text, sums, first word and span of all n-grams that begin before byte ``own`` and lie in one piece."""
+    def ngrams(self, raw: np.ndarray, own: int, often=None):
+        """For each n: text, place, span and fingerprints of all n-grams that begin before byte ``own`` and lie in one piece.
+
+        ``often`` tells by fingerprint which words and pairs may be frequent; then only n-grams made of such are given.
+        """
         text, start, stop, place, piece = self.words(raw)
         sums = self.sums(text)
         count = int(np.searchsorted(place, own))
+        good = None
         for n in range(1, self.longest + 1):
-            first = np.arange(max(0, min(count, len(start) - n + 1)))
+            first = np.arange(max(0, len(start) - n + 1))
             first = first[piece[first] == piece[first + n - 1]]
-            yield n, text, place[first], start[first], stop[first + n - 1], *self.spans(sums, start[first], stop[first + n - 1])
+            if good is not None:
+                first = first[good[first] & good[first + 1]]
+            fp, check = self.spans(sums, start[first], stop[first + n - 1])
+            if often is not None:
+                keep = often(fp) if n <= 2 else np.ones(len(fp), bool)
+                first, fp, check = first[keep], fp[keep], check[keep]
+                # What a longer n-gram begins and goes on with.
+                good = np.zeros(len(start), bool)
+                good[first] = True
+            mine = first < count
+            first, fp, check = first[mine], fp[mine], check[mine]
+            yield n, text, place[first], start[first], stop[first + n - 1], fp, check
 
 
 def segments(raw: bytes, size: int, longest: int):
@@ -158,8 +173,8 @@ def _same_as_first(text: np.ndarray, start: np.ndarray, stop: np.ndarray, group:
     return same
 
 
-def _entries(prints: Prints, rows) -> list[np.ndarray]:
-    """Counted n-grams of a block for each n.
+def _entries(prints: Prints, rows, often) -> list[np.ndarray]:
+    """Counted n-grams of a block for each n, made of words and pairs that may be frequent.
 
     Occurrences of one fingerprint are compared with each other's text; one that differs from the first of its group
     is an entry of its own and meets its like later.
@@ -167,7 +182,7 @@ def _entries(prints: Prints, rows) -> list[np.ndarray]:
     raw, begins, until = _joined(rows)
     keys = np.array([r[0] for r in rows], np.int64)
     out = []
-    for _n, text, place, start, stop, fp, check in prints.ngrams(raw, len(raw)):
+    for _n, text, place, start, stop, fp, check in prints.ngrams(raw, len(raw), often):
         doc = np.searchsorted(begins, place, side="right") - 1
         mine = place < until[doc]
         start, stop, fp, check, doc = start[mine], stop[mine], fp[mine], check[mine], doc[mine]
@@ -217,7 +232,97 @@ def _merged(entries: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count(longest: int, parts: int, size: int, hold: int, bits: int):
+def _summed(fp: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint once with its count, at most ``most``."""
+    order = np.argsort(fp, kind="stable")
+    fp, n = fp[order], n[order]
+    new = np.ones(len(fp), bool)
+    new[1:] = fp[1:] != fp[:-1]
+    first = np.flatnonzero(new)
+    return fp[first], np.minimum(np.add.reduceat(n.astype(np.int64), first), most).astype(np.uint32) if len(first) else n[:0]
+
+
+def _prints_only(longest: int, parts: int, size: int, hold: int, bits: int, least: int):
+    """Counts of the words' and pairs' fingerprints by language and part, no higher than the threshold, and the number of words."""
+    schema = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("words", pa.int64()), ("packed", pa.binary())])
+
+    def run(batches):
+        prints = Prints(min(longest, 2), bits)
+        held: dict[str, list] = {}
+        words: dict[str, int] = {}
+        total = 0
+
+        def flush():
+            for lang, pairs in held.items():
+                fp, n = _summed(np.concatenate([f for f, _ in pairs]), np.concatenate([c for _, c in pairs]), least)
+                part = (mix64(fp) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                fp, n, part = fp[order], n[order], part[order]
+                edges = np.searchsorted(part, np.arange(parts + 1))
+                some = np.flatnonzero(edges[1:] > edges[:-1])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array([words.pop(lang, 0)] + [0] * (len(some) - 1), pa.int64()),
+                    pa.array([fp[edges[p] : edges[p + 1]].tobytes() + n[edges[p] : edges[p + 1]].tobytes() for p in some], pa.binary())], schema=schema)
+            held.clear()
+
+        for lang, rows in _blocks(batches, size, longest):
+            raw, begins, until = _joined(rows)
+            for n, _text, place, _start, _stop, fp, _check in prints.ngrams(raw, len(raw)):
+                fp = fp[place < until[np.searchsorted(begins, place, side="right") - 1]]
+                if n == 1:
+                    words[lang] = words.get(lang, 0) + len(fp)
+                if len(fp):
+                    held.setdefault(lang, []).append(_summed(fp, np.ones(len(fp), np.uint32), least))
+                    total += len(held[lang][-1][0])
+            if total >= hold:
+                # Put together what is held; it leaves only if that doesn't make it small.
+                for k, pairs in held.items():
+                    held[k] = [_summed(np.concatenate([f for f, _ in pairs]), np.concatenate([c for _, c in pairs]), least)]
+                total = sum(len(v[0][0]) for v in held.values())
+                if total >= hold * 3 // 4:
+                    yield from flush()
+                    total = 0
+        yield from flush()
+
+    return run
+
+
+def _frequent_prints(least: int):
+    """Fingerprints of a part with ``least`` occurrences (place in a bitmap from 0 on), and the number of words in a row with null."""
+    names = ("lang", "print", "words")
+
+    def run(key, table):
+        packed = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("packed")]
+        fp = np.concatenate([x[: len(x) // 12 * 8].view(np.uint64) for x in packed])
+        n = np.concatenate([x[len(x) // 12 * 8 :].view(np.uint32) for x in packed])
+        fp, n = _summed(fp, n, least)
+        fp = fp[n >= least]
+        words = sum(table.column("words").to_pylist())
+        return pa.table([pa.array([key[0].as_py()] * (len(fp) + 1), pa.string()), pa.array([None, *fp.view(np.int64).tolist()], pa.int64()), pa.array([words] + [0] * len(fp), pa.int64())], names=names)
+
+    return run
+
+
+class Often:
+    """Tells which fingerprints may be frequent: a bitmap of bounded size.  Where it is too full it lets more pass, never less."""
+
+    def __init__(self, frequent: DataFrame, max_bits: int = 1 << 27):
+        rows = frequent.where("print IS NOT NULL")
+        self.bits, goal = 1 << 15, min(16 * rows.count(), max_bits)
+        while self.bits < goal:
+            self.bits *= 2
+        at = F.col("print").bitwiseAND(self.bits - 1) + 1
+        maps = rows.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
+        self.map = np.zeros(self.bits // 8, np.uint8)
+        for r in maps:
+            self.map[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.map, np.uint8)
+
+    def __call__(self, fp: np.ndarray) -> np.ndarray:
+        at = (fp & np.uint64(self.bits - 1)).astype(np.int64)
+        return (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _count(longest: int, parts: int, size: int, hold: int, bits: int, often: Often):
     schema = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())])
 
     def run(batches):
@@ -227,7 +332,7 @@ def _count(longest: int, parts: int, size: int, hold: int, bits: int):
 
         def flush():
             for lang, by_n in held.items():
-                for n in range(longest):
+                for n in (n for n in range(longest) if by_n[n]):
                     entries = _merged(np.concatenate(by_n[n]))
                     by_n[n] = []
                     part = (mix64(entries["print"]) % np.uint64(parts)).astype(np.int32)
@@ -243,40 +348,39 @@ def _count(longest: int, parts: int, size: int, hold: int, bits: int):
 
         for lang, rows in _blocks(batches, size, longest):
             by_n = held.setdefault(lang, [[] for _ in range(longest)])
-            for n, entries in enumerate(_entries(prints, rows)):
+            for n, entries in enumerate(_entries(prints, rows, often)):
                 by_n[n].append(entries)
                 total += len(entries)
             if total >= hold:
-                yield from flush()
-                total = 0
+                for parts_of in held.values():
+                    parts_of[:] = [[_merged(np.concatenate(x))] if x else [] for x in parts_of]
+                total = sum(len(x[0]) for parts_of in held.values() for x in parts_of if x)
+                if total >= hold * 3 // 4:
+                    yield from flush()
+                    total = 0
         yield from flush()
 
     return run
 
 
 def _frequent(least: int):
-    """Entries of a part whose fingerprint occurs ``least`` times, and the part's count of all words as ``n`` = 0."""
+    """Entries of a part whose fingerprint occurs ``least`` times."""
     names = ("lang", "n", "print", "check", "times", "key")
 
-    def rows(lang, n, e):
-        return pa.table([pa.array([lang] * len(e), pa.string()), pa.array(np.full(len(e), n, np.int32)), pa.array(e["print"].astype(np.int64)),
-                         pa.array(e["check"].astype(np.int64)), pa.array(e["n"].astype(np.int64)), pa.array(e["key"].astype(np.int64))], names=names)
-
     def run(key, table):
         lang = key[0].as_py()
         order = np.asarray(table.column("n"))
         packed = [x.as_buffer() for x in table.column("packed")]
-        out = [rows(lang, 0, np.zeros(0, ENTRY))]
+        out = []
         for n in np.unique(order):
             entries = _merged(np.concatenate([np.frombuffer(packed[i], ENTRY) for i in np.flatnonzero(order == n)]))
-            if n == 1:
-                words = int(entries["n"].astype(np.int64).sum())
-                out.append(pa.table([pa.array([lang]), pa.array([0], pa.int32()), *(pa.array([v], pa.int64()) for v in (0, 0, words, 0))], names=names))
             new = np.ones(len(entries), bool)
             new[1:] = entries["print"][1:] != entries["print"][:-1]
             # All entries of a fingerprint count towards the threshold: with a collision that is more than any one phrase has.
-            often = np.add.reduceat(entries["n"].astype(np.int64), np.flatnonzero(new)) >= least
-            out.append(rows(lang, n, entries[often[np.cumsum(new) - 1]]))
+            some = np.add.reduceat(entries["n"].astype(np.int64), np.flatnonzero(new)) >= least
+            e = entries[some[np.cumsum(new) - 1]]
+            out.append(pa.table([pa.array([lang] * len(e), pa.string()), pa.array(np.full(len(e), n, np.int32)), pa.array(e["print"].astype(np.int64)),
+                                 pa.array(e["check"].astype(np.int64)), pa.array(e["n"].astype(np.int64)), pa.array(e["key"].astype(np.int64))], names=names))
         return pa.concat_tables(out)
 
     return run
@@ -328,25 +432,28 @@ def _materialise(longest: int, size: int, bits: int):
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, lang_col: str = "lang", text_col: str = "text", parts: int | None = None, block_bytes: int = 2_000_000, hold: int = 4_000_000, bits: int = 64) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, lang_col: str = "lang", text_col: str = "text", parts: int | None = None, block_bytes: int = 1_000_000, hold: int = 3_000_000, bits: int = 64) -> DataFrame:
     """``lang, n, phrase, times``: all phrases of 1 to ``longest`` words that occur at least ``least`` times in their language, and a row with ``n`` = 0, null ``phrase`` and all word occurrences.
 
-    Each task fingerprints all its n-grams, compares the occurrences of a fingerprint with each other's text and sends one packed entry per
-    n-gram and part of the fingerprints' space: fingerprint, second fingerprint, count, and the key of a text that holds it.  Entries meet
-    their like by part; those of frequent fingerprints alone are read from the text they point to, and are counted by their text.
-    Phrases that share a fingerprint differ in the second one and stay apart; two different phrases from different tasks count as one only if both
-    agree, 96 bits (chance about 1e-29 for a pair).
+    First the fingerprints of all words and pairs are counted, bare; those of frequent ones become a bitmap of bounded size.
+    Then each task fingerprints its n-grams again, keeps those all of whose pairs may be frequent, compares the occurrences of a fingerprint
+    with each other's text, and sends one packed entry per n-gram and part of the fingerprints' space: fingerprint, second fingerprint, count, and the key of a
+    text that holds it.  Entries meet their like by part; those of frequent fingerprints alone are read from the text they point to,
+    and are counted by their text.  Phrases that share a fingerprint differ in the second one and stay apart; two different phrases from
+    different tasks count as one only if both agree, 96 bits (chance about 1e-29 for a pair).
     """
     key = F.xxhash64(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col).cast("string"))
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if parts is None:
-        # About 20 bytes of entries for each 4 bytes of text, 48 MB a part.
+        # About 1.3 bytes of bare counts for a byte of text, 32 MB a part.
         bytes_of_text = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-        parts = max(8, -(-bytes_of_text * 5 // 48_000_000))
-    packed = texts.mapInArrow(_count(longest, parts, block_bytes, hold, bits), "lang string, part int, n int, packed binary")
+        parts = max(8, -(-bytes_of_text * 13 // 320_000_000))
+    bare = texts.mapInArrow(_prints_only(longest, parts, block_bytes, hold, bits, least), "lang string, part int, words bigint, packed binary")
+    frequent = cut(bare.groupBy("lang", "part").applyInArrow(_frequent_prints(least), "lang string, print bigint, words bigint"))
+    words = frequent.groupBy("lang").agg(F.sum("words").alias("times")).select("lang", F.lit(0).alias("n"), F.lit(None).cast("string").alias("phrase"), "times")
+    packed = texts.mapInArrow(_count(longest, parts, block_bytes, hold // 2, bits, Often(frequent)), "lang string, part int, n int, packed binary")
     often = cut(packed.groupBy("lang", "part").applyInArrow(_frequent(least), "lang string, n int, print bigint, check bigint, times bigint, key bigint"))
-    words = often.where("n = 0").groupBy("lang").agg(F.sum("times").alias("times")).select("lang", F.lit(0).alias("n"), F.lit(None).cast("string").alias("phrase"), "times")
-    wanted = often.where("n > 0").groupBy("lang", "key").agg(F.collect_list(F.struct("n", "print", "check", "times")).alias("wanted"))
+    wanted = often.groupBy("lang", "key").agg(F.collect_list(F.struct("n", "print", "check", "times")).alias("wanted"))
     # A text with very many copies is one row of each task before it moves; texts that share a key answer together.
     sent = texts.groupBy("lang", "key").agg(F.array_join(F.collect_set("text"), "\n").alias("text"))
     asked = sent.join(wanted, ["lang", "key"]).select("lang", "key", "text", "wanted")
