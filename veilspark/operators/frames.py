@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
-from veilspark.functions.holdback import Frames, Tail, Utf8
+from veilspark.functions.holdback import Frames, Tail
 from veilspark.functions.json_text import json_leaves, varray, vget, vstr, vtype
 from veilspark.functions.text import trim_space
 from veilspark.functions.walk import ordered_walk
+from veilspark.operators.cutting import cut_frames, decode
 from veilspark.operators.restore import restore
 
 SLOT = "struct<path:string,channel:string,text:string,escape:boolean>"
@@ -17,25 +18,17 @@ SLOT = "struct<path:string,channel:string,text:string,escape:boolean>"
 
 def decode_chunks(chunks: DataFrame) -> DataFrame:
     """``(conn, seq, chunk BINARY)`` to ``(conn, seq, text)``; the rest of a reply gets the next seq."""
+    return decode(chunks)
 
-    def start():
-        return {"utf8": Utf8(), "seq": -1}
-
-    def step(st, row):
-        st["seq"] = row["seq"]
-        return [(row["conn"], row["seq"], st["utf8"].push(bytes(row["chunk"] or b"")))]
 
-    def finish(st, key):
-        rest = st["utf8"].finish()
-        return [(key[0], st["seq"] + 1, rest)] if rest else []
-
-    return ordered_walk(
-        chunks.select("conn", "seq", "chunk"), ["conn"], ["seq"], start, step, finish, "conn string, seq long, text string"
-    )
+def frames(chunks: DataFrame, max_backlog: int | None = None) -> DataFrame:
+    """``(conn, seq, text)`` to ``(conn, frame_no, raw, forced)``.
 
-
-def frames(chunks: DataFrame, max_backlog: int = fx.CHANNEL_MAX_BUFFER) -> DataFrame:
-    """``(conn, seq, text)`` to ``(conn, frame_no, raw, forced)``."""
+    Frames may be of any length.  With ``max_backlog`` bytes an unfinished frame beyond them is forced out after the chunk that
+    passes them; that depends on every chunk before, so each reply is then read by one task.
+    """
+    if max_backlog is None:
+        return cut_frames(chunks).withColumn("forced", F.lit(False))
 
     def start():
         return {"cut": Frames(max_backlog), "n": 0}
@@ -202,8 +195,21 @@ def restore_pieces(pieces: DataFrame, vault: DataFrame, keys: list[str], order:
     return restore(cut, vault, [*keys, "piece"])
 
 
-def channel_text(rows: DataFrame, by: list[str], order: list[str], text: str = "text") -> DataFrame:
-    """The text of each reply channel."""
+def snapshots(fields: DataFrame) -> DataFrame:
+    """``conn, channel, frame_no`` of the last event that gives a channel's text as a whole."""
+    kind = vstr(F.try_parse_json("data"), "$.type")
+    table = F.create_map(*[F.lit(x) for pair in fx.SNAPSHOT_CHANNELS.items() for x in pair])
+    rows = fields.where("data IS NOT NULL").withColumn("channel", F.try_element_at(table, kind)).where("channel IS NOT NULL")
+    return rows.groupBy("conn", "channel").agg(F.max("frame_no").alias("frame_no"))
+
+
+def channel_text(rows: DataFrame, by: list[str], order: list[str], text: str = "text", resets: DataFrame | None = None) -> DataFrame:
+    """The text of each reply channel.
+
+    With ``resets`` (see :func:`snapshots`) a channel begins anew with its last whole text: what came before, also a held end, is stale.
+    """
+    if resets is not None:
+        rows = rows.join(resets.withColumnRenamed("frame_no", "_from"), ["conn", "channel"], "left").where("_from IS NULL OR frame_no >= _from").drop("_from")
     return rows.groupBy(*by).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda s: s[text]), ""

@@ -225,7 +225,7 @@ register(
     "restore_json",
     lambda s, sf: restore_json(json_bodies(s, sf), view(s, sf, QUOTED_VAULT), ["msg_id"]).select("msg_id", "form", "restored_body"),
     f"""WITH {D_Q}, b AS (SELECT s2.id AS msg_id, s2.out AS text, r.body AS sent, r.session FROM s2 JOIN ({sd.REPLIES}) r ON r.msg_id = s2.id),
-    c AS (SELECT b.*, regexp_extract(sent, '\[\[PII:NAME:[0-9a-f]{{8}}\]\]', 0) AS ph FROM b),
+    c AS (SELECT b.*, regexp_extract(sent, '\\[\\[PII:NAME:[0-9a-f]{{8}}\\]\\]', 0) AS ph FROM b),
     d AS (SELECT c.*, coalesce(v.original, f.original, ph) AS put FROM c LEFT JOIN vault v ON v.session = c.session AND v.placeholder = c.ph
       LEFT JOIN (SELECT x.* FROM vault x JOIN uq USING (suffix)) f ON v.original IS NULL AND f.session = c.session AND '[[PII:NAME:' || f.suffix || ']]' = c.ph)
     SELECT msg_id, CASE WHEN msg_id % 9 = 0 THEN 'text' ELSE 'json' END AS form, CASE msg_id % 9 WHEN 0 THEN '{{broken ' || text

@@ -60,6 +60,29 @@ register(
     lambda s, sf: fr.channel_text(fr.slots(fields(s, sf)), ["conn", "channel"], ["frame_no", "slot_no"]),
     f"WITH {D_SLOTS} SELECT conn, channel, string_agg(text, '' ORDER BY frame_no, slot_no) AS body FROM sl GROUP BY conn, channel",
 )
+# Some replies give the text of a channel as a whole now and then; the delta before a snapshot is stale.
+SNAPSHOTS = f"""
+SELECT conn, seq, CASE seq % 7 WHEN 3 THEN '{{"type":"response.output_text.done","text":"whole ' || CAST(seq AS STRING) || '"}}'
+  WHEN 5 THEN '{{"type":"response.function_call_arguments.delta","delta":"a' || CAST(seq AS STRING) || '"}}'
+  WHEN 6 THEN '{{"type":"response.function_call_arguments.done","arguments":"b"}}' ELSE '{{"type":"response.output_text.delta","delta":"piece ' || CAST(seq AS STRING) || ' "}}' END AS data
+FROM ({sd.STREAM_EVENTS}) e
+"""
+
+
+def snapshot_text(s, sf):
+    f = fr.frame_fields(fr.frames(view(s, sf, f"SELECT conn, seq, 'data: ' || data || chr(10) || chr(10) AS text FROM ({SNAPSHOTS}) x")))
+    return fr.channel_text(fr.slots(f), ["conn", "channel"], ["frame_no", "slot_no"], resets=fr.snapshots(f))
+
+
+register(
+    "channel_text_snapshots",
+    snapshot_text,
+    f"""WITH e AS (SELECT conn, seq, json_extract_string(data, '$.type') AS kind, coalesce(json_extract_string(data, '$.delta'), json_extract_string(data, '$.text')) AS text FROM ({SNAPSHOTS}) x),
+    c AS (SELECT *, CASE WHEN kind LIKE '%function_call_arguments%' THEN 'args:0' ELSE 'content:0' END AS channel FROM e),
+    l AS (SELECT conn, channel, max(seq) AS last FROM c WHERE kind LIKE '%.done' GROUP BY ALL)
+    SELECT c.conn, c.channel, string_agg(text, '' ORDER BY seq) AS body FROM c LEFT JOIN l ON l.conn = c.conn AND l.channel = c.channel
+    WHERE text IS NOT NULL AND (last IS NULL OR seq >= last) GROUP BY ALL""",
+)
 register(
     "response_context",
     lambda s, sf: plain(fr.response_context(fields(s, sf))),
