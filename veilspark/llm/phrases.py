@@ -304,22 +304,30 @@ def _frequent_prints(least: int):
 
 
 class Often:
-    """Tells which fingerprints may be frequent: a bitmap of bounded size.  Where it is too full it lets more pass, never less."""
+    """Tells which fingerprints may be frequent: a filter of three bits each in a bitmap of bounded size.
+
+    Of others one in 200 passes while the bitmap has room (16 bits each, 8 million fingerprints); beyond that more pass, never less.
+    """
+
+    SHIFTS = (0, 18, 36)
 
     def __init__(self, frequent: DataFrame, max_bits: int = 1 << 27):
         rows = frequent.where("print IS NOT NULL")
         self.bits, goal = 1 << 15, min(16 * rows.count(), max_bits)
         while self.bits < goal:
             self.bits *= 2
-        at = F.col("print").bitwiseAND(self.bits - 1) + 1
+        at = F.explode(F.array(*(F.shiftrightunsigned("print", k).bitwiseAND(self.bits - 1) + 1 for k in self.SHIFTS)))
         maps = rows.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
         self.map = np.zeros(self.bits // 8, np.uint8)
         for r in maps:
             self.map[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.map, np.uint8)
 
     def __call__(self, fp: np.ndarray) -> np.ndarray:
-        at = (fp & np.uint64(self.bits - 1)).astype(np.int64)
-        return (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        out = np.ones(len(fp), bool)
+        for k in self.SHIFTS:
+            at = ((fp >> np.uint64(k)) & np.uint64(self.bits - 1)).astype(np.int64)
+            out &= (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
 
 
 def _count(longest: int, parts: int, size: int, hold: int, bits: int, often: Often):
