@@ -20,8 +20,43 @@ _BREAKS[[0x20, 0x09]] = 1
 _BREAKS[list(PIECE_ENDS)] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Entries of packed n-grams: fingerprint, second fingerprint, count, key of a text that holds the n-gram.
+#: Entries of n-grams: fingerprint, second fingerprint, count, key of a text that holds the n-gram.
 ENTRY = np.dtype([("print", "<u8"), ("check", "<u4"), ("n", "<u4"), ("key", "<i8")])
+#: Bytes of a fingerprint where only its count matters, and of the key of a text; what shares them is told apart later.
+SHORT, KEY_BYTES = 6, 5
+
+
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The ``size`` low bytes of unsigned numbers, byte by byte: planes of zeros vanish in the shuffle's compression."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def _unplanes(raw: np.ndarray, size: int, count: int) -> np.ndarray:
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :size] = raw.reshape(size, count).T
+    return out.view("<u8")[:, 0]
+
+
+def _pack(sorted_prints: np.ndarray, n: np.ndarray, *columns: tuple[np.ndarray, int]) -> bytes:
+    """Fingerprints as steps from one to the next, then the other columns, in planes."""
+    steps = np.diff(sorted_prints, prepend=np.uint64(0))
+    return _planes(steps, 8) + _planes(n, 4) + b"".join(_planes(c, size) for c, size in columns)
+
+
+def _unpack(packed, *sizes: int) -> list[np.ndarray]:
+    raw = np.frombuffer(packed.as_buffer(), np.uint8)
+    widths = (8, 4, *sizes)
+    count = len(raw) // sum(widths)
+    at = np.cumsum((0, *widths)) * count
+    out = [_unplanes(raw[a:b], w, count) for a, b, w in zip(at, at[1:], widths)]
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+def _parts(prints: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Edges of the parts in sorted fingerprints of ``bits`` bits: equal ranges of a power of two of parts."""
+    step = np.uint64(bits - (parts.bit_length() - 1))
+    return np.searchsorted(prints >> step if parts > 1 else np.zeros(len(prints), np.uint64), np.arange(parts + 1).astype(np.uint64))
 
 
 class Prints:
@@ -101,7 +136,7 @@ class Prints:
                 first = first[good[first] & good[first + 1]]
             fp, check = self.spans(sums, start[first], stop[first + n - 1])
             if often is not None:
-                keep = often(fp) if n <= 2 else np.ones(len(fp), bool)
+                keep = often(fp >> np.uint64(64 - 8 * SHORT)) if n <= 2 else np.ones(len(fp), bool)
                 first, fp, check = first[keep], fp[keep], check[keep]
                 # What a longer n-gram begins and goes on with.
                 good = np.zeros(len(start), bool)
@@ -255,20 +290,17 @@ def _prints_only(longest: int, parts: int, size: int, hold: int, bits: int, leas
         def flush():
             for lang, pairs in held.items():
                 fp, n = _summed(np.concatenate([f for f, _ in pairs]), np.concatenate([c for _, c in pairs]), least)
-                part = (mix64(fp) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                fp, n, part = fp[order], n[order], part[order]
-                edges = np.searchsorted(part, np.arange(parts + 1))
+                edges = _parts(fp, 8 * SHORT, parts)
                 some = np.flatnonzero(edges[1:] > edges[:-1])
                 yield pa.RecordBatch.from_arrays([
                     pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array([words.pop(lang, 0)] + [0] * (len(some) - 1), pa.int64()),
-                    pa.array([fp[edges[p] : edges[p + 1]].tobytes() + n[edges[p] : edges[p + 1]].tobytes() for p in some], pa.binary())], schema=schema)
+                    pa.array([_pack(fp[edges[p] : edges[p + 1]], n[edges[p] : edges[p + 1]]) for p in some], pa.binary())], schema=schema)
             held.clear()
 
         for lang, rows in _blocks(batches, size, longest):
             raw, begins, until = _joined(rows)
             for n, _text, place, _start, _stop, fp, _check in prints.ngrams(raw, len(raw)):
-                fp = fp[place < until[np.searchsorted(begins, place, side="right") - 1]]
+                fp = fp[place < until[np.searchsorted(begins, place, side="right") - 1]] >> np.uint64(64 - 8 * SHORT)
                 if n == 1:
                     words[lang] = words.get(lang, 0) + len(fp)
                 if len(fp):
@@ -292,10 +324,8 @@ def _frequent_prints(least: int):
     names = ("lang", "print", "words")
 
     def run(key, table):
-        packed = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("packed")]
-        fp = np.concatenate([x[: len(x) // 12 * 8].view(np.uint64) for x in packed])
-        n = np.concatenate([x[len(x) // 12 * 8 :].view(np.uint32) for x in packed])
-        fp, n = _summed(fp, n, least)
+        packed = [_unpack(x) for x in table.column("packed")]
+        fp, n = _summed(np.concatenate([x[0] for x in packed]), np.concatenate([x[1] for x in packed]), least)
         fp = fp[n >= least]
         words = sum(table.column("words").to_pylist())
         return pa.table([pa.array([key[0].as_py()] * (len(fp) + 1), pa.string()), pa.array([None, *fp.view(np.int64).tolist()], pa.int64()), pa.array([words] + [0] * len(fp), pa.int64())], names=names)
@@ -309,14 +339,15 @@ class Often:
     Of others one in 200 passes while the bitmap has room (16 bits each, 8 million fingerprints); beyond that more pass, never less.
     """
 
-    SHIFTS = (0, 18, 36)
+    SHIFTS = (0, 10, 21)
 
-    def __init__(self, frequent: DataFrame, max_bits: int = 1 << 27):
-        rows = frequent.where("print IS NOT NULL")
+    def __init__(self, numbers: DataFrame, max_bits: int = 1 << 27):
+        """``numbers`` has one column ``at`` of numbers from 0 on."""
+        rows = numbers.where("at IS NOT NULL")
         self.bits, goal = 1 << 15, min(16 * rows.count(), max_bits)
         while self.bits < goal:
             self.bits *= 2
-        at = F.explode(F.array(*(F.shiftrightunsigned("print", k).bitwiseAND(self.bits - 1) + 1 for k in self.SHIFTS)))
+        at = F.explode(F.array(*(F.shiftrightunsigned("at", k).bitwiseAND(self.bits - 1) + 1 for k in self.SHIFTS)))
         maps = rows.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
         self.map = np.zeros(self.bits // 8, np.uint8)
         for r in maps:
@@ -324,6 +355,7 @@ class Often:
 
     def __call__(self, fp: np.ndarray) -> np.ndarray:
         out = np.ones(len(fp), bool)
+        fp = fp.astype(np.uint64)
         for k in self.SHIFTS:
             at = ((fp >> np.uint64(k)) & np.uint64(self.bits - 1)).astype(np.int64)
             out &= (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -343,15 +375,12 @@ def _count(longest: int, parts: int, size: int, hold: int, bits: int, often: Oft
                 for n in (n for n in range(longest) if by_n[n]):
                     entries = _merged(np.concatenate(by_n[n]))
                     by_n[n] = []
-                    part = (mix64(entries["print"]) % np.uint64(parts)).astype(np.int32)
-                    order = np.argsort(part, kind="stable")
-                    entries, part = entries[order], part[order]
-                    edges = np.searchsorted(part, np.arange(parts + 1))
+                    edges = _parts(entries["print"], 64, parts)
                     some = np.flatnonzero(edges[1:] > edges[:-1])
                     if len(some):
                         yield pa.RecordBatch.from_arrays([
                             pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array([n + 1] * len(some), pa.int32()),
-                            pa.array([entries[edges[p] : edges[p + 1]].tobytes() for p in some], pa.binary())], schema=schema)
+                            pa.array([_pack(e["print"], e["n"], (e["check"], 4), (e["key"], KEY_BYTES)) for e in (entries[edges[p] : edges[p + 1]] for p in some)], pa.binary())], schema=schema)
             held.clear()
 
         for lang, rows in _blocks(batches, size, longest):
@@ -371,6 +400,21 @@ def _count(longest: int, parts: int, size: int, hold: int, bits: int, often: Oft
     return run
 
 
+def _entry(prints, n, check, key) -> np.ndarray:
+    out = np.empty(len(prints), ENTRY)
+    out["print"], out["n"], out["check"], out["key"] = prints, n, check, key
+    return out
+
+
+def _wanted_only(wanted: Often):
+    """Lets texts pass whose key may be asked for."""
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(wanted(np.asarray(batch.column(1)))))
+
+    return run
+
+
 def _frequent(least: int):
     """Entries of a part whose fingerprint occurs ``least`` times."""
     names = ("lang", "n", "print", "check", "times", "key")
@@ -378,10 +422,10 @@ def _frequent(least: int):
     def run(key, table):
         lang = key[0].as_py()
         order = np.asarray(table.column("n"))
-        packed = [x.as_buffer() for x in table.column("packed")]
+        packed = table.column("packed")
         out = []
         for n in np.unique(order):
-            entries = _merged(np.concatenate([np.frombuffer(packed[i], ENTRY) for i in np.flatnonzero(order == n)]))
+            entries = _merged(np.concatenate([_entry(*_unpack(packed[int(i)], 4, KEY_BYTES)) for i in np.flatnonzero(order == n)]))
             new = np.ones(len(entries), bool)
             new[1:] = entries["print"][1:] != entries["print"][:-1]
             # All entries of a fingerprint count towards the threshold: with a collision that is more than any one phrase has.
@@ -440,7 +484,7 @@ def _materialise(longest: int, size: int, bits: int):
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, lang_col: str = "lang", text_col: str = "text", parts: int | None = None, block_bytes: int = 1_000_000, hold: int = 3_000_000, bits: int = 64) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, lang_col: str = "lang", text_col: str = "text", parts: int | None = None, block_bytes: int = 1_000_000, hold: int = 2_500_000, bits: int = 64) -> DataFrame:
     """``lang, n, phrase, times``: all phrases of 1 to ``longest`` words that occur at least ``least`` times in their language, and a row with ``n`` = 0, null ``phrase`` and all word occurrences.
 
     First the fingerprints of all words and pairs are counted, bare; those of frequent ones become a bitmap of bounded size.
@@ -450,20 +494,22 @@ def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, lang_col:
     and are counted by their text.  Phrases that share a fingerprint differ in the second one and stay apart; two different phrases from
     different tasks count as one only if both agree, 96 bits (chance about 1e-29 for a pair).
     """
-    key = F.xxhash64(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col).cast("string"))
+    key = F.xxhash64(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col).cast("string")).bitwiseAND((1 << 8 * KEY_BYTES) - 1)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if parts is None:
-        # About 1.3 bytes of bare counts for a byte of text, 32 MB a part.
+        # About half a byte for a byte of text, 16 MB a part; as numbers in memory four times that.
         bytes_of_text = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-        parts = max(8, -(-bytes_of_text * 13 // 320_000_000))
+        parts = max(8, -(-bytes_of_text // 32_000_000))
+    parts = 1 << (parts - 1).bit_length()
     bare = texts.mapInArrow(_prints_only(longest, parts, block_bytes, hold, bits, least), "lang string, part int, words bigint, packed binary")
     frequent = cut(bare.groupBy("lang", "part").applyInArrow(_frequent_prints(least), "lang string, print bigint, words bigint"))
     words = frequent.groupBy("lang").agg(F.sum("words").alias("times")).select("lang", F.lit(0).alias("n"), F.lit(None).cast("string").alias("phrase"), "times")
-    packed = texts.mapInArrow(_count(longest, parts, block_bytes, hold // 2, bits, Often(frequent)), "lang string, part int, n int, packed binary")
+    packed = texts.mapInArrow(_count(longest, parts, block_bytes, hold, bits, Often(frequent.select(F.col("print").alias("at")))), "lang string, part int, n int, packed binary")
     often = cut(packed.groupBy("lang", "part").applyInArrow(_frequent(least), "lang string, n int, print bigint, check bigint, times bigint, key bigint"))
     wanted = often.groupBy("lang", "key").agg(F.collect_list(F.struct("n", "print", "check", "times")).alias("wanted"))
     # A text with very many copies is one row of each task before it moves; texts that share a key answer together.
-    sent = texts.groupBy("lang", "key").agg(F.array_join(F.collect_set("text"), "\n").alias("text"))
+    asked_for = texts.mapInArrow(_wanted_only(Often(often.select(F.col("key").alias("at")).distinct())), "lang string, key bigint, text string")
+    sent = asked_for.groupBy("lang", "key").agg(F.array_join(F.collect_set("text"), "\n").alias("text"))
     asked = sent.join(wanted, ["lang", "key"]).select("lang", "key", "text", "wanted")
     read = asked.mapInArrow(_materialise(longest, block_bytes, bits), "lang string, n int, phrase string, times bigint")
     counts = read.groupBy("lang", "n", "phrase").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
