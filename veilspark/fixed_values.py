@@ -117,7 +117,6 @@ deepseek.com openai.com anthropic.com generativelanguage.googleapis.com moonshot
 dashscope.aliyuncs.com mistral.ai bigmodel.cn lingyiwanwu.com baichuan-ai.com chatgpt.com
 claude.ai chatglm.cn tongyi.com yiyan.baidu.com doubao.com yuanbao.tencent.com
 """.split()
-CUSTOM_HOST_MAX = 64
 CUSTOM_HOST_MAX_CHARS = 253
 
 # --- fixed values: session derivation ------------------------------------------------------------
@@ -168,7 +167,6 @@ LEAK_PATHS = [
     (r"\bat\s+[\w$.<>/\\-]+\s*\([^)\n]*:\d+(?::\d+)?\)", "stack_trace"),
     (r"\bgoroutine\s+\d+\s*\[", "stack_trace"),
 ]
-HEADER_SCAN_BYTES = 8 * 1024
 
 # --- fixed values: stream events ------------------------------------------------------------------------
 KNOWN_STREAM_EVENTS = [
@@ -207,7 +205,6 @@ CREDENTIAL_ECHOES = [
 ]
 MARKER_PATTERN = r"MARK_\d+_[0-9a-f]{8}"
 MARKER_TTL_SECONDS = 3600
-MARKER_MAX = 500
 
 # --- fixed values: destructive command shapes (pattern, kind, description, check) ------------------------------
 COMMANDS = [
@@ -292,17 +289,14 @@ REPORT_OTHER_TARGET_CHARS = 300
 
 # --- fixed values: time and count limits -------------------------------------------------------------------------
 REQUEST_CONTEXT_SECONDS = 600
-REQUEST_SAMPLE_BYTES = 64 * 1024
 SESSION_IDLE_SECONDS = 1800
 PIN_HARD_LIMIT_SECONDS = 900
 USAGE_COOLDOWN_SECONDS = 600
-USAGE_PENDING_MAX = 16
 ALERT_INTERVAL_SECONDS = 3
 RECENT_EVENTS = 8
 FEEDBACK_WINDOW_SECONDS = 30 * 86400
 RETENTION_DAYS = {"passthrough": 1, "mask": 30, "block": 90}
 AUDIT_RETENTION_DAYS = 7
-BYPASS_SCAN_BYTES = 1 << 20
 JSON_TEXT_KEYS = ["arguments", "partial_json"]
 
 # --- fixed values: probe steps -----------------------------------------------------------------------------------

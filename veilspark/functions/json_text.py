@@ -90,14 +90,16 @@ def redact_json(
     scanner: Callable[[Column], Column],
     replacement: Callable[[Column], Column],
     body: str = "body",
+    only: Column | None = None,
 ) -> DataFrame:
     """Add ``hits`` (over all leaves) and ``redacted``; a body that is not JSON passes unchanged.
 
-    A body nested too deep for the parser is walked all the same.
+    A body nested too deep for the parser is walked all the same.  Where ``only`` is false the body isn't read.
     """
     from veilspark.functions.json_walk import json_form
 
-    found = F.when(json_form(F.col(body)).isin("json", "deep"), scan_leaves(F.col(body), scanner)).otherwise(F.array().cast(LEAF_TYPE))
+    asked = F.lit(True) if only is None else only
+    found = F.when(asked & json_form(F.col(body)).isin("json", "deep"), scan_leaves(F.col(body), scanner)).otherwise(F.array().cast(LEAF_TYPE))
     return (
         compute_once(messages, __leaves=found)
         .withColumn("hits", leaf_hits(F.col("__leaves")))

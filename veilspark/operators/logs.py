@@ -48,26 +48,30 @@ def requests_filtered(log: DataFrame, action=None, from_ts=None, to_ts=None) ->
     return df
 
 
-def requests_page(log: DataFrame, offset: int, limit: int, action=None, from_ts=None, to_ts=None):
-    """One page, newest first, and a one-row frame with the filtered total.
+def _page(limit: int, most: int | None) -> int:
+    return max(limit, 1) if most is None else min(max(limit, 1), most)
+
+
+def requests_page(log: DataFrame, offset: int, limit: int, action=None, from_ts=None, to_ts=None, most: int | None = None):
+    """One page of ``limit`` rows, newest first, and a one-row frame with the filtered total; ``most`` bounds the page.
 
     ``offset`` reads everything before the page; ``requests_after`` pages by key instead.
     """
     df = requests_filtered(log, action, from_ts, to_ts)
-    page = df.orderBy(F.desc("id")).offset(max(offset, 0)).limit(min(max(limit, 1), 100))
+    page = df.orderBy(F.desc("id")).offset(max(offset, 0)).limit(_page(limit, most))
     return page, df.agg(F.count(F.lit(1)).alias("total"))
 
 
-def requests_after(log: DataFrame, last_id: int | None, limit: int, action=None, from_ts=None, to_ts=None) -> DataFrame:
+def requests_after(log: DataFrame, last_id: int | None, limit: int, action=None, from_ts=None, to_ts=None, most: int | None = None) -> DataFrame:
     """The page of rows older than ``last_id``: a filtered top-k whatever the depth."""
     df = requests_filtered(log, action, from_ts, to_ts)
     if last_id is not None:
         df = df.where(F.col("id") < last_id)
-    return newest(df, min(max(limit, 1), 100))
+    return newest(df, _page(limit, most))
 
 
-def audit_since(events: DataFrame, since: int, limit: int, floor: str | None = None, signal: str | None = None) -> DataFrame:
-    """The newest rows after ``since`` that pass the filters, oldest first."""
+def audit_since(events: DataFrame, since: int, limit: int, floor: str | None = None, signal: str | None = None, most: int | None = None) -> DataFrame:
+    """The newest ``limit`` rows after ``since`` that pass the filters, oldest first; ``most`` bounds their number."""
     df = events.where(F.col("id") > since)
     rank = {s: i + 1 for i, s in enumerate(fx.SEVERITIES)}.get((floor or "").strip().upper(), 0)
     if rank:
@@ -76,7 +80,7 @@ def audit_since(events: DataFrame, since: int, limit: int, floor: str | None = N
         df = df.where(row_rank >= rank)
     if signal and signal.strip():
         df = df.where(F.col("signal_type") == signal)
-    return newest(df, min(max(limit, 1), 1000)).orderBy("id")
+    return newest(df, _page(limit, most)).orderBy("id")
 
 
 def audit_recent(events: DataFrame, limit: int) -> DataFrame:
@@ -253,17 +257,16 @@ def posture_summary(log: DataFrame, events: DataFrame, vault: DataFrame, now: Co
     )
 
 
-def markers_active(registrations: DataFrame, now: Column) -> DataFrame:
-    """Marker registry: newest time per nonce, alive within the time limit, newest ones only."""
-    return (
+def markers_active(registrations: DataFrame, now: Column, most: int | None = None) -> DataFrame:
+    """Marker registry: newest time per nonce, alive within the time limit; with ``most`` only that many of the newest."""
+    alive = (
         registrations.withColumn("nonce", F.trim("nonce"))
         .where("nonce <> ''")
         .groupBy("nonce")
         .agg(F.max("ts").alias("ts"))
         .where(F.unix_timestamp(now) - F.unix_timestamp("ts") < fx.MARKER_TTL_SECONDS)
-        .orderBy(F.desc("ts"), F.desc("nonce"))
-        .limit(fx.MARKER_MAX)
     )
+    return alive if most is None else alive.orderBy(F.desc("ts"), F.desc("nonce")).limit(most)
 
 
 def severity_floor(df: DataFrame, floor: str = "MEDIUM") -> DataFrame:

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
+from veilspark.functions.spans import compute_once, let
 from veilspark.functions.text import _strip_port, guarded_host_class, host_suffixes, normalize_host
 from veilspark.operators.detect import block_gate
+from veilspark.sources.lineage import fits
 
 
-def clean_hosts(hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clean a host table ``(pos, host)`` into ``(pos, host)`` and a reject table ``(pos, host, reason)``."""
+def clean_hosts(hosts: DataFrame, max_hosts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clean a host table ``(pos, host)`` into ``(pos, host)`` and a reject table ``(pos, host, reason)``.
+
+    All hosts are kept unless ``max_hosts`` is given.
+    """
     n = hosts.select("pos", normalize_host(F.col("host")).alias("host")).where("host <> ''")
     reason = (
         F.when(F.length("host") > fx.CUSTOM_HOST_MAX_CHARS, "too_long")
@@ -19,10 +24,9 @@ def clean_hosts(hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(~F.contains("host", F.lit(".")), "no_dot")
     )
     n = n.withColumn("reason", reason)
-    good = (
-        n.where("reason IS NULL").groupBy("host").agg(F.min("pos").alias("pos")).select("pos", "host")
-        .orderBy("pos").limit(fx.CUSTOM_HOST_MAX)
-    )
+    good = n.where("reason IS NULL").groupBy("host").agg(F.min("pos").alias("pos")).select("pos", "host")
+    if max_hosts is not None:
+        good = good.orderBy("pos").limit(max_hosts)
     return good, n.where("reason IS NOT NULL")
 
 
@@ -54,12 +58,65 @@ def _process_hits(exes: DataFrame, entries: DataFrame) -> DataFrame:
     return keys.join(pats, "key").drop("key")
 
 
-def blocklist_match(requests: DataFrame, blocklist: DataFrame, matched_entry: bool = False) -> DataFrame:
+#: Lists of at most so many entries are searched within the row; longer ones are joined.
+LIST_IN_ROW = 100_000
+
+
+def _found(table: Column, key: Column) -> Column:
+    """The value of ``key`` in an array of ``(key, value)`` sorted by key, by bisection."""
+    def halve(s: Column, _i: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        less = F.get(table, mid)["key"] < key
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & less, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~less, mid).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(table) + 1)).cast("int"))
+    at = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(table).alias("hi")), halve, lambda s: s["lo"])
+    return let(F.get(table, at), lambda e: F.when(e["key"] == key, e["value"]))
+
+
+def _least(table: Column, keys: Column) -> Column:
+    """The least value of all ``keys`` that the table has, null if none."""
+    hits = F.filter(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: _found(table, k)), lambda v: v.isNotNull())
+    return F.array_min(hits)
+
+
+def _in_row(entries: DataFrame, value: Column) -> tuple[Column, Column]:
+    """Domain and process entries as sorted arrays, each one constant of the plan: requests meet them without moving.
+
+    The caller has checked the number of entries.
+    """
+    kind = entries.select(value.alias("value")).schema["value"].dataType.simpleString()
+
+    def table(name: str, key: Column) -> Column:
+        rows = entries.where(F.col("kind") == name).select(key.alias("key"), value.alias("value")).where("key <> ''")
+        least = rows.groupBy("key").agg(F.min("value").alias("value")).select("key", F.to_json(F.struct("key", "value"), {"ignoreNullFields": "false"}).alias("entry")).collect()
+        text = "[" + ",".join(r.entry for r in sorted(least, key=lambda r: r.key.encode())) + "]"
+        return F.from_json(F.lit(text), f"array<struct<key:string,value:{kind}>>")
+
+    return table("domain", F.lower(F.trim("pattern"))), table("process", F.regexp_replace(F.lower(F.trim("pattern")), r"[\\/]+$", ""))
+
+
+def _lookups(requests: DataFrame, entries: DataFrame, value: Column) -> DataFrame:
+    """Adds ``_domain`` and ``_process``: the least value of the domain and the process entries that match."""
+    domain, process = _in_row(entries, value)
+    return compute_once(requests, _domain=_least(domain, host_suffixes(_strip_port(F.col("host")))), _process=_least(process, _exe_keys(F.col("exe"))))
+
+
+def blocklist_match(requests: DataFrame, blocklist: DataFrame, matched_entry: bool = False, in_row: int = LIST_IN_ROW) -> DataFrame:
     """Add ``block_action``: first matching domain entry in list order, else the process action.
 
     A process match yields the action of the first process entry of the list, as observed in the
-    engine this follows; ``matched_entry=True`` uses the entry that matched.
+    engine this follows; ``matched_entry=True`` uses the entry that matched.  Up to ``in_row`` entries the list is searched within the
+    row, so no request moves.
     """
+    if fits(blocklist, in_row):
+        rows = _lookups(requests, blocklist, F.struct("pos", "action"))
+        process = F.col("_process")["action"]
+        if not matched_entry:
+            lead = F.lit(blocklist.where("kind = 'process'").agg(F.min_by("action", "pos")).first()[0])
+            process = F.when(F.col("_process").isNotNull(), lead)
+        return rows.withColumn("block_action", F.coalesce(F.col("_domain")["action"], process)).drop("_domain", "_process")
     domain = _domain_hits(requests, blocklist).groupBy("host").agg(F.min_by("action", "pos").alias("domain_action"))
     proc = _process_hits(requests, blocklist)
     if matched_entry:
@@ -75,12 +132,23 @@ def blocklist_match(requests: DataFrame, blocklist: DataFrame, matched_entry: bo
     )
 
 
-def allowlist_match(requests: DataFrame, allowlist: DataFrame, matched_entry: bool = False) -> DataFrame:
+def allowlist_match(requests: DataFrame, allowlist: DataFrame, matched_entry: bool = False, in_row: int = LIST_IN_ROW) -> DataFrame:
     """Add ``allowed`` and ``allow_scrub``.
 
     ``allow_scrub`` is true if any entry of a kind that matched asks for scrubbing (or, with
-    ``matched_entry=True``, any entry that matched itself).
+    ``matched_entry=True``, any entry that matched itself).  Lists are searched as in :func:`blocklist_match`.
     """
+    if fits(allowlist, in_row):
+        # The least of the negated flag is false if any matching entry scrubs.
+        rows = _lookups(requests, allowlist, ~F.col("scrub"))
+        def scrub(side: str) -> Column:
+            if matched_entry:
+                return ~F.col(f"_{side}")
+            return F.when(F.col(f"_{side}").isNotNull(), F.lit(bool(allowlist.where(F.col("kind") == side).agg(F.bool_or("scrub")).first()[0])))
+
+        rows = rows.withColumn("allowed", F.col("_domain").isNotNull() | F.col("_process").isNotNull())
+        asks = F.coalesce(scrub("domain"), F.lit(False)) | F.coalesce(scrub("process"), F.lit(False))
+        return rows.withColumn("allow_scrub", ~F.col("allowed") | asks).drop("_domain", "_process")
     by_kind = allowlist.groupBy("kind").agg(F.bool_or("scrub").alias("kind_scrub"))
 
     def side(hits: DataFrame, key: str, out: str) -> DataFrame:
@@ -103,6 +171,13 @@ def allowlist_match(requests: DataFrame, allowlist: DataFrame, matched_entry: bo
     )
 
 
+def needs_scan(custom_hosts: list[str] | None = None) -> Column:
+    """True where a decision depends on the hits of the body; other bodies need not be read."""
+    listed = F.coalesce(F.col("block_action") == "block", F.lit(False))
+    free = F.col("block_action").isNull() & F.col("allowed") & ~F.col("allow_scrub")
+    return (guarded_host_class(F.col("host"), custom_hosts) == "exact") & ~listed & ~free & F.coalesce(F.contains("content_type", F.lit("application/json")), F.lit(False))
+
+
 def decide(requests: DataFrame, custom_hosts: list[str] | None = None) -> DataFrame:
     """Add ``host_class``, ``decision`` and ``kinds``.
 
@@ -153,14 +228,17 @@ def hit_summary(scanned: DataFrame, keys: list[str], hits: str = "hits") -> Data
     )
 
 
-def passthrough_credentials(decided: DataFrame, entries, keys: list[str]) -> DataFrame:
-    """Allow-listed bodies passed through unchanged that carry protected values in clear."""
+def passthrough_credentials(decided: DataFrame, entries, keys: list[str], max_bytes: int | None = None) -> DataFrame:
+    """Allow-listed bodies passed through unchanged that carry protected values in clear.
+
+    ``entries`` is a short list or a cleaned entry table of any size.  ``max_bytes`` skips longer bodies; off by default.
+    """
+    from veilspark.operators.dictionary import entry_names
     from veilspark.operators.locker import locker_entry_names
 
-    return (
-        decided.where(
-            (F.col("decision") == "passthrough") & F.col("allowed") & ~F.col("allow_scrub")
-            & (F.octet_length("body") <= fx.BYPASS_SCAN_BYTES)
-        )
-        .select(*keys, F.explode(locker_entry_names(F.col("body"), entries)).alias("entry"))
-    )
+    rows = decided.where((F.col("decision") == "passthrough") & F.col("allowed") & ~F.col("allow_scrub"))
+    if max_bytes is not None:
+        rows = rows.where(F.octet_length("body") <= max_bytes)
+    if isinstance(entries, DataFrame):
+        return entry_names(rows, entries, keys)
+    return rows.select(*keys, F.explode(locker_entry_names(F.col("body"), entries)).alias("entry"))

@@ -461,6 +461,25 @@ def sig_text(responses: DataFrame, keys: list[str], findings: Column, dedupe: bo
     return dedupe_findings(rows, keys) if dedupe else rows
 
 
+def _recurs() -> list[Column]:
+    return [F.lit(0).alias("pos"), F.lit("cross_request_pollution").alias("signal"), F.lit("HIGH").alias("severity"), F.lit("prior_marker").alias("kind"),
+            F.concat(F.lit("prior_marker_recur: "), F.left("nonce", F.lit(40))).alias("evidence")]
+
+
+def _registered_before(found: DataFrame, markers: DataFrame) -> DataFrame:
+    """Rows ``nonce, ts`` for which the marker was registered before, within the time limit.
+
+    Time is cut into slots as long as the limit; of a marker's registrations in a slot only the first and the last matter, so a reply
+    meets two rows however often the marker was registered.
+    """
+    ttl = fx.MARKER_TTL_SECONDS
+    slot = F.floor(F.unix_timestamp("ts") / ttl).cast("bigint")
+    per = markers.select("nonce", "ts").groupBy("nonce", slot.alias("slot")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    both = found.withColumn("slot", F.explode(F.array(slot, slot - 1))).withColumn("own_slot", F.col("slot") == slot)
+    in_time = F.when(F.col("own_slot"), F.col("first") < F.col("ts")).otherwise(F.unix_timestamp("ts") - F.unix_timestamp("last") < ttl)
+    return both.join(per, ["nonce", "slot"]).where(in_time)
+
+
 def sig_cross_request(responses: DataFrame, markers: DataFrame, keys: list[str]) -> DataFrame:
     """Markers registered by earlier requests that turn up in a reply.
 
@@ -471,23 +490,23 @@ def sig_cross_request(responses: DataFrame, markers: DataFrame, keys: list[str])
         *keys, "ts", "own_markers",
         F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(fx.MARKER_PATTERN), F.lit(0)))).alias("nonce"),
     )
-    reg = markers.select("nonce", F.col("ts").alias("marker_ts"))
-    hit = found.join(reg, "nonce").where(
-        (F.col("marker_ts") < F.col("ts"))
-        & (F.unix_timestamp("ts") - F.unix_timestamp("marker_ts") < fx.MARKER_TTL_SECONDS)
-        & ~F.array_contains("own_markers", F.col("nonce"))
-    )
-    return hit.groupBy(*keys, "nonce").agg(F.lit(1).alias("one")).select(
-        *keys, F.lit(0).alias("pos"), F.lit("cross_request_pollution").alias("signal"), F.lit("HIGH").alias("severity"),
-        F.lit("prior_marker").alias("kind"),
-        F.concat(F.lit("prior_marker_recur: "), F.left("nonce", F.lit(40))).alias("evidence"),
-    )
+    hit = _registered_before(found.where(~F.array_contains("own_markers", F.col("nonce"))), markers)
+    return hit.groupBy(*keys, "nonce").agg(F.lit(1).alias("one")).select(*keys, *_recurs())
+
+
+def sig_cross_request_any(responses: DataFrame, markers: DataFrame, keys: list[str]) -> DataFrame:
+    """Like ``sig_cross_request`` for markers of any form and number: they are searched as a dictionary."""
+    from veilspark.operators.dictionary import occurrences
+
+    names = markers.select(F.trim("nonce").alias("value")).where("value <> ''").distinct().withColumn("word", F.lit(False))
+    found = occurrences(responses, names, keys, "body").select(*keys, F.col("value").alias("nonce")).distinct()
+    facts = found.join(responses.select(*keys, "ts", "own_markers"), keys).where(~F.array_contains("own_markers", F.col("nonce")))
+    hit = _registered_before(facts, markers.withColumn("nonce", F.trim("nonce")))
+    return hit.groupBy(*keys, "nonce").agg(F.lit(1).alias("one")).select(*keys, *_recurs())
 
 
 def sig_cross_request_names(responses: DataFrame, nonces: list[str], keys: list[str]) -> DataFrame:
-    """Like ``sig_cross_request`` for markers of any form, given as the active registry, which is bounded."""
-    if len(nonces) > fx.MARKER_MAX:
-        raise ValueError(f"more than {fx.MARKER_MAX} markers")
+    """Like ``sig_cross_request`` for a short list of active markers of any form; a table of them goes to ``sig_cross_request_any``."""
     if not nonces:
         nonces = [""]
     seen = F.filter(
@@ -521,9 +540,14 @@ def run_audit(
     paths=(),
     switches: dict[str, bool] | None = None,
     floor: str = "MEDIUM",
+    tool_body: str | None = None,
+    expected: str | None = None,
 ) -> DataFrame:
     """All signals over request and reply pairs, gated.
 
+    ``tool_body`` names the request body whose tool results are searched, ``expected`` the command that a probe's
+    reply should repeat.
+
     ``pairs``: keys and ``status, headers, body, req_text, req_model, resp_model, ts, own_markers``.
     Replies with an error status are searched for leaks, the others for the text signals.
     """
@@ -538,4 +562,8 @@ def run_audit(
         out = out.unionByName(sig_stream(events, keys))
     if markers is not None:
         out = out.unionByName(sig_cross_request(good, markers, keys))
+    if tool_body is not None:
+        out = out.unionByName(sig_tool_injection(pairs, keys, tool_body))
+    if expected is not None:
+        out = out.unionByName(sig_tool_echo(good.select(*keys, F.col(expected).alias("expected"), F.trim("body").alias("actual")), keys))
     return signal_gate(out, switches=switches, floor=floor)

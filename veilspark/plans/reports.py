@@ -165,7 +165,7 @@ REGISTRATIONS = "SELECT CASE WHEN event_id % 50 = 0 THEN ' ' ELSE ' MARK_' || CA
 register(
     "markers_active",
     lambda s, sf: plain(lg.markers_active(view(s, sf, REGISTRATIONS), F.expr("TIMESTAMP '2024-01-12 08:00:00'"))),
-    f"SELECT trim(nonce) AS nonce, epoch_us(max(ts)) AS ts FROM ({REGISTRATIONS}) WHERE trim(nonce) <> '' GROUP BY 1 HAVING floor(epoch(TIMESTAMP '2024-01-12 08:00:00')) - floor(epoch(max(ts))) < 3600 ORDER BY 2 DESC, 1 DESC LIMIT 500",
+    f"SELECT trim(nonce) AS nonce, epoch_us(max(ts)) AS ts FROM ({REGISTRATIONS}) WHERE trim(nonce) <> '' GROUP BY 1 HAVING floor(epoch(TIMESTAMP '2024-01-12 08:00:00')) - floor(epoch(max(ts))) < 3600",
 )
 
 # --- folds over time --------------------------------------------------------------------------------------------

@@ -47,7 +47,7 @@ r AS (SELECT pos, host, CASE WHEN length(host) > 253 THEN 'too_long' WHEN NOT re
 register(
     "clean_hosts",
     lambda s, sf: plain(pl.clean_hosts(view(s, sf, HOST_LIST))[0]),
-    f"WITH {D_CLEAN} SELECT min(pos) AS pos, host FROM r WHERE reason IS NULL GROUP BY host ORDER BY 1 LIMIT 64",
+    f"WITH {D_CLEAN} SELECT min(pos) AS pos, host FROM r WHERE reason IS NULL GROUP BY host",
 )
 register(
     "clean_hosts_rejects",
@@ -265,7 +265,7 @@ def blocked(s, sf):
 def decided(s, sf):
     df = pl.allowlist_match(blocked(s, sf), view(s, sf, ALLOW))
     rules = dt.preset_rules("aggressive")
-    scanned = jt.redact_json(df, lambda leaf: dt.scan(leaf, rules, None, LOCKER), _label)
+    scanned = jt.redact_json(df, lambda leaf: dt.scan(leaf, rules, None, LOCKER), _label, only=pl.needs_scan(["relay3.example.com"]))
     return pl.decide(scanned, ["relay3.example.com"])
 
 

@@ -164,10 +164,10 @@ def stream_usage_cooldown(uses: DataFrame, cooldown: float = fx.USAGE_COOLDOWN_S
     )
 
 
-def stream_usage_ledger(marks: DataFrame) -> DataFrame:
+def stream_usage_ledger(marks: DataFrame, most_paths: int | None = None) -> DataFrame:
     """Settle staged uses at the next reply of the client.
 
-    ``marks``: ``client, ts, is_reply, path, entry``.  At most the allowed number of paths wait per client;
+    ``marks``: ``client, ts, is_reply, path, entry``.  With ``most_paths`` so many paths wait per client;
     beyond that the oldest one that is not ``plaintext`` goes.
     """
 
@@ -177,7 +177,7 @@ def stream_usage_ledger(marks: DataFrame) -> DataFrame:
             slot = next((w for w in waiting if w["path"] == row["path"]), None)
             if slot is None:
                 waiting.append({"path": row["path"], "ts": t, "entries": [row["entry"]]})
-                if len(waiting) > fx.USAGE_PENDING_MAX:
+                if most_paths is not None and len(waiting) > most_paths:
                     drop = next((i for i, w in enumerate(waiting) if w["path"] != "plaintext"), 0)
                     waiting.pop(drop)
             elif row["entry"] not in slot["entries"]:
