@@ -534,20 +534,21 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
     def run(first, size):
         return F.array_join(F.slice("words", first, size), " ")
 
-    candidates = counts.where("n > 1").withColumn("words", words)
+    covered = counts.where("n > 2").withColumn("words", words)
+    subs = F.flatten(F.transform(F.sequence(F.lit(2), F.col("n") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("n") - m + 1), lambda i: run(i, m))))
+    longer = covered.select("lang", "times", F.explode(F.array_distinct(subs)).alias("phrase")).groupBy("lang", "phrase").agg(F.max("times").alias("longer"))
+    # What a longer phrase covers needs no score.
+    free = counts.where("n > 1").join(longer, ["lang", "phrase"], "left").where(f"longer IS NULL OR 100 * longer < {inside} * times")
+    candidates = free.select("lang", "phrase", "n", F.col("times").alias("a"), words.alias("words"))
     sides = F.flatten(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda k: F.array(
         F.struct(k.alias("k"), F.lit("l").alias("side"), run(F.lit(1), k).alias("part")),
         F.struct(k.alias("k"), F.lit("r").alias("side"), run(k + 1, F.col("n") - k).alias("part")))))
-    split = candidates.select("lang", "phrase", F.col("times").alias("a"), F.explode(sides).alias("s")).select("lang", "phrase", "a", "s.*").join(table, ["lang", "part"])
+    split = candidates.select("lang", "phrase", "a", F.explode(sides).alias("s")).select("lang", "phrase", "a", "s.*").join(table, ["lang", "part"])
     # One row a phrase: its cuts with both counts, then the lowest score.
     cuts = split.groupBy("lang", "phrase", "a").agg(F.array_sort(F.collect_list(F.struct("k", "side", "found"))).alias("c"))
     value = "cast((cast(1000000 as decimal(7,0)) * cast(a as decimal(16,0)) * cast(a as decimal(16,0))) div (cast(c[2 * i].found as decimal(19,0)) * cast(c[2 * i + 1].found as decimal(19,0))) as bigint)"
     scored = cuts.withColumn("best", F.expr(f"array_min(transform(sequence(0, size(c) div 2 - 1), i -> struct({value} as score, i as at, c[2 * i].found as l, c[2 * i + 1].found as r)))"))
-    covered = counts.where("n > 2").withColumn("words", words)
-    subs = F.flatten(F.transform(F.sequence(F.lit(2), F.col("n") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("n") - m + 1), lambda i: run(i, m))))
-    longer = covered.select("lang", "times", F.explode(F.array_distinct(subs)).alias("phrase")).groupBy("lang", "phrase").agg(F.max("times").alias("longer"))
-    free = scored.join(longer, ["lang", "phrase"], "left").where(f"longer IS NULL OR 100 * longer < {inside} * a")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = free.select("lang", "phrase", "a", "best.l", "best.r", "best.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = scored.select("lang", "phrase", "a", "best.l", "best.r", "best.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     n = counts.where("n = 0").select("lang", F.col("times").alias("n"))
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
