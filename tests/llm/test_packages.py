@@ -8,6 +8,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from veilspark.llm import sharding, warczip
 
 
@@ -101,3 +103,34 @@ def test_stages_take_odd_rows(spark, sf, docs_frame):
                 assert {r.text for r in rows if r.doc_id == 4} == {"[secret] x"}
             elif frame is odd:
                 assert len(rows) == 7, name
+
+
+def test_no_unique_text_is_lost_to_a_shared_id(spark, docs_frame, sf):
+    import corpus_pipeline
+
+    a, b, c = "the first text of some eight words here", "another text that nothing else is near to at all", "a third one without any id of its own here"
+    left = corpus_pipeline.drop_near_duplicates(spark, docs_frame([(1, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, a), (7, None), (8, "")]), sf)
+    assert sorted((str(r.doc_id), r.text) for r in left.select("doc_id", "text").where("text <> ''").collect()) == [("1", a), ("5", b), ("None", c)]
+    assert left.where("text IS NULL OR text = ''").count() == 2
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs_frame([(3, a), (2, a), (4, b)]), sf).collect()) == [2, 4]
+    assert corpus_pipeline.drop_near_duplicates(spark, docs_frame([]), sf).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, docs_frame, sf):
+    import corpus_pipeline
+
+    names = ("_row", "_row_", "redacted", "pieces", "restored", "decoded", "_masked", "predicted", "kept", "n")
+    rows = [(1, "token = abcdef0123 and more"), (2, None), (2, "plain words in a row"), (None, "")]
+    docs = docs_frame(rows)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        rows_out = out.collect()
+        assert len(rows_out) == 4, name
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+        for n in names:
+            if name != "sentencepiece" or n not in ("pieces", "restored"):
+                assert {r[n] for r in rows_out} == {n}, (name, n)
+    assert out.columns.count("pieces") == 1 and all(r.restored for r in rows_out)
