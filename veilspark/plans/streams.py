@@ -15,7 +15,7 @@ from veilspark.plans.scalars import SQL as SCALAR_SQL
 from veilspark.plans.scalars import decided
 from veilspark.sources import sinks
 from veilspark.sources.lineage import checkpoint_dir
-from veilspark.streaming import jobs
+from veilspark.streaming import expiring, jobs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -133,7 +133,7 @@ register("stream_usage_cooldown", cooled, rp.SQL["usage_cooldown"])
 def paired(s, sf):
     marks = view(s, sf, rp.REQ).select("client", "ts", F.lit(False).alias("is_reply"), F.col("req_id").alias("id")).unionByName(
         view(s, sf, rp.RESP).select("client", "ts", F.lit(True).alias("is_reply"), F.col("resp_id").alias("id")))
-    return run(jobs.stream_request_response(as_stream(s, marks, 3, "ts"), 14400), s)
+    return run(expiring.latest_requests(as_stream(s, marks, 3, "ts").withWatermark("ts", "0 seconds"), 14400), s)
 
 
 register("stream_request_response", paired, rp.SQL["request_for_response"])
@@ -142,7 +142,7 @@ register("stream_request_response", paired, rp.SQL["request_for_response"])
 def settled(s, sf):
     marks = view(s, sf, rp.STAGED).withColumn("is_reply", F.lit(False)).unionByName(
         view(s, sf, rp.REPLIED).withColumn("is_reply", F.lit(True)), allowMissingColumns=True)
-    return run(jobs.stream_usage_ledger(as_stream(s, marks, 3, "ts")), s)
+    return run(expiring.settled_uses(as_stream(s, marks, 3, "ts").withWatermark("ts", "0 seconds")), s)
 
 
 register(
@@ -155,14 +155,32 @@ register(
 )
 
 
+ACTIVITY = "SELECT 'u' || CAST(user_id AS STRING) AS session, ts, event_id, CASE event_type WHEN 'error' THEN 'unpin' WHEN 'view' THEN 'pin' ELSE 'touch' END AS kind FROM events"
+TTL, HARD = 2 * 3600, 3 * 3600
+
+
 def purged(s, sf):
-    """Activity per user with a 6 h limit: a session is purged when the stream has moved past its limit."""
-    act = view(s, sf, "SELECT 'u' || CAST(user_id AS STRING) AS session, ts, CASE event_type WHEN 'error' THEN 'unpin' WHEN 'view' THEN 'pin' ELSE 'touch' END AS kind FROM events")
-    out = jobs.stream_session_ttl(as_stream(s, act, 6, "ts").withWatermark("ts", "0 seconds"), 6 * 3600)
-    return run(out, s).select("session", F.round("last_touch", 3).alias("last_touch"))
+    """Sessions that ended by idling beyond two hours, or three hours after a pin."""
+    act = view(s, sf, ACTIVITY).drop("event_id")
+    out = expiring.session_ends(as_stream(s, act, 6, "ts").withWatermark("ts", "0 seconds"), TTL, HARD)
+    return run(out, s).select("session", F.round(F.col("last_touch") * 1_000_000).cast("bigint").alias("last_touch"))
 
 
-register("stream_session_ttl", purged)
+# State after each row of a session: last touch and pin; a row at or after the limit ends what was before it.
+UNTIL = f"greatest(touch + {TTL}000000, coalesce(pin + {HARD}000000, 0))"
+register(
+    "stream_session_ttl",
+    purged,
+    f"""WITH RECURSIVE e AS (SELECT session, epoch_us(ts) AS us, kind, row_number() OVER (PARTITION BY session ORDER BY ts) AS rn FROM ({ACTIVITY})),
+    w AS (
+      SELECT session, rn, CASE WHEN kind <> 'unpin' THEN us END AS touch, CASE WHEN kind = 'pin' THEN us END AS pin, CAST(NULL AS BIGINT) AS ended FROM e WHERE rn = 1
+      UNION ALL
+      SELECT session, rn, CASE WHEN kind <> 'unpin' THEN us WHEN gone THEN NULL ELSE touch END, CASE WHEN kind = 'pin' THEN us WHEN kind = 'unpin' OR gone THEN NULL ELSE pin END, CASE WHEN gone THEN touch END
+      FROM (SELECT e.session, e.rn, e.us, e.kind, w.touch, w.pin, w.touch IS NOT NULL AND {UNTIL} <= e.us AS gone FROM w JOIN e ON e.session = w.session AND e.rn = w.rn + 1)),
+    n AS (SELECT session, max(rn) AS rn FROM e GROUP BY session)
+    SELECT session, ended AS last_touch FROM w WHERE ended IS NOT NULL
+    UNION ALL SELECT w.session, touch FROM w JOIN n ON n.session = w.session AND n.rn = w.rn WHERE touch IS NOT NULL AND {UNTIL} < (SELECT max(epoch_us(ts)) FROM events)""",
+)
 
 
 def markers(s, sf):

@@ -90,33 +90,6 @@ def stream_restore(pieces: DataFrame, vault_path_or_df, keys: list[str], out_pat
     return _start(cut, checkpoint, each, once)
 
 
-def stream_session_ttl(activity: DataFrame, ttl: int = fx.SESSION_IDLE_SECONDS) -> DataFrame:
-    """Sessions to purge: idle beyond the limit and not pinned, or pinned beyond the hard limit.
-
-    ``activity``: ``session, ts, kind`` with kind ``touch``, ``pin`` or ``unpin``, and a watermark on ``ts``.
-    """
-
-    def step(st: dict, row: dict) -> list[tuple]:
-        t = row["ts"].timestamp()
-        if row["kind"] == "unpin":
-            st["pin"] = None
-        else:
-            st["touch"] = max(t, st.get("touch", 0))
-            if row["kind"] == "pin":
-                st["pin"] = t
-        return []
-
-    def timer(st: dict) -> int:
-        idle = st.get("touch", 0) + ttl
-        held = (st["pin"] + fx.PIN_HARD_LIMIT_SECONDS) if st.get("pin") else 0
-        return int(max(idle, held) * 1000) + 1
-
-    return keyed_state(
-        activity, ["session"], ["ts"], step, "session string, last_touch double",
-        on_timeout=lambda st, key: [(key[0], st.get("touch", 0.0))], timer=timer,
-    )
-
-
 def stream_markers(registrations: DataFrame, path: str, checkpoint: str, once: bool = True):
     """The marker registry as one small snapshot per batch: newest time per nonce, expired and excess ones gone."""
 
@@ -133,23 +106,6 @@ def stream_markers(registrations: DataFrame, path: str, checkpoint: str, once: b
     return _start(registrations, checkpoint, each, once)
 
 
-def stream_request_response(marks: DataFrame, limit: int = fx.REQUEST_CONTEXT_SECONDS) -> DataFrame:
-    """Pair each reply with the latest request of its client.
-
-    ``marks``: ``client, ts, is_reply, id`` (requests and replies as one stream, so order is by time).
-    """
-
-    def step(st: dict, row: dict) -> list[tuple]:
-        t = row["ts"].timestamp()
-        if not row["is_reply"]:
-            st["id"], st["at"] = int(row["id"]), t
-            return []
-        fresh = "id" in st and t - st["at"] < limit
-        return [(row["client"], int(row["id"]), st["id"] if fresh else -1)]
-
-    return keyed_state(marks, ["client"], ["ts", "is_reply", "id"], step, "client string, resp_id long, req_id long")
-
-
 def stream_usage_cooldown(uses: DataFrame, cooldown: float = fx.USAGE_COOLDOWN_SECONDS) -> DataFrame:
     """Notices of credential use as in ``logs.usage_cooldown``, on a stream ``(path, entry, us)``."""
 
@@ -164,36 +120,6 @@ def stream_usage_cooldown(uses: DataFrame, cooldown: float = fx.USAGE_COOLDOWN_S
     )
 
 
-def stream_usage_ledger(marks: DataFrame, most_paths: int | None = None) -> DataFrame:
-    """Settle staged uses at the next reply of the client.
-
-    ``marks``: ``client, ts, is_reply, path, entry``.  With ``most_paths`` so many paths wait per client;
-    beyond that the oldest one that is not ``plaintext`` goes.
-    """
-
-    def step(st: dict, row: dict) -> list[tuple]:
-        t, waiting = row["ts"].timestamp(), st.setdefault("waiting", [])
-        if not row["is_reply"]:
-            slot = next((w for w in waiting if w["path"] == row["path"]), None)
-            if slot is None:
-                waiting.append({"path": row["path"], "ts": t, "entries": [row["entry"]]})
-                if most_paths is not None and len(waiting) > most_paths:
-                    drop = next((i for i, w in enumerate(waiting) if w["path"] != "plaintext"), 0)
-                    waiting.pop(drop)
-            elif row["entry"] not in slot["entries"]:
-                slot["entries"].append(row["entry"])
-            return []
-        st["waiting"] = []
-        return [
-            (row["client"], int(t * 1_000_000 + 0.5), w["path"], e)
-            for w in waiting if t - w["ts"] <= fx.REQUEST_CONTEXT_SECONDS for e in w["entries"]
-        ]
-
-    return keyed_state(
-        marks, ["client"], ["ts", "is_reply"], step, "client string, reply_ts long, path string, entry string"
-    )
-
-
 def stream_first_seen(requests: DataFrame) -> DataFrame:
     """The first request of each client program."""
     return requests.where("trim(exe) <> ''").dropDuplicates(["exe"]).select("exe")
