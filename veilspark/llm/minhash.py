@@ -299,8 +299,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         orders = [F.struct("rep")] if step == 0 else [F.struct(F.xxhash64("rep", F.lit(step * 8 + i)), F.col("rep")) for i in range(4)]
         centres = here.groupBy("bucket").agg(F.min("at").alias("x"), F.max("at").alias("y"), F.array(*(F.min_by(F.struct("rep", "n", "at"), o) for o in orders)).alias("cs")).where("x <> y")
         star = (
-            here.join(centres.select("bucket", "cs"), "bucket").select("rep", "n", "at", F.explode("cs").alias("c")).where("at <> c.at")
-            .where(F.greatest("n", F.col("c.n")) * percent <= F.least("n", F.col("c.n")) * 100)
+            here.join(centres.select("bucket", "cs"), "bucket").select("rep", "n", "at", F.explode(F.filter("cs", lambda c: (F.col("at") != c["at"]) & (F.greatest("n", c["n"]) * percent <= F.least("n", c["n"]) * 100))).alias("c"))
             .groupBy(F.greatest("rep", F.col("c.rep")).alias("a"), F.least("rep", F.col("c.rep")).alias("b"))
             .agg(F.max(F.col("c.rep") > F.col("rep")).alias("turned"), F.min(F.least("at", F.col("c.at"))).alias("low"), F.max(F.greatest("at", F.col("c.at"))).alias("high"))
         )
