@@ -10,6 +10,7 @@ from veilspark.functions.spans import compute_once, let
 from veilspark.functions.text import _strip_port, guarded_host_class, host_suffixes, normalize_host
 from veilspark.operators.detect import block_gate
 from veilspark.sources.lineage import fits
+from veilspark.sources.messages import json_gate
 
 
 def clean_hosts(hosts: DataFrame, max_hosts: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +176,7 @@ def needs_scan(custom_hosts: list[str] | None = None) -> Column:
     """True where a decision depends on the hits of the body; other bodies need not be read."""
     listed = F.coalesce(F.col("block_action") == "block", F.lit(False))
     free = F.col("block_action").isNull() & F.col("allowed") & ~F.col("allow_scrub")
-    return (guarded_host_class(F.col("host"), custom_hosts) == "exact") & ~listed & ~free & F.coalesce(F.contains("content_type", F.lit("application/json")), F.lit(False))
+    return (guarded_host_class(F.col("host"), custom_hosts) == "exact") & ~listed & ~free & F.coalesce(json_gate(F.col("content_type")), F.lit(False))
 
 
 def decide(requests: DataFrame, custom_hosts: list[str] | None = None) -> DataFrame:
@@ -187,7 +188,7 @@ def decide(requests: DataFrame, custom_hosts: list[str] | None = None) -> DataFr
     forced = F.col("block_action").isNotNull()
     allowed = F.col("allowed") & ~forced
     force_mask = forced | (allowed & F.col("allow_scrub"))
-    json_body = F.contains("content_type", F.lit("application/json")) & F.try_parse_json(F.col("body")).isNotNull()
+    json_body = json_gate(F.col("content_type")) & F.try_parse_json(F.col("body")).isNotNull()
     n_hits = F.size("hits")
     df = requests.withColumn("host_class", guarded_host_class(F.col("host"), custom_hosts))
     df = df.withColumn(

@@ -13,7 +13,7 @@ from veilspark.plans import vaulting as va
 from veilspark.plans.base import plain, us, view
 from veilspark.plans.scalars import SQL as SCALAR_SQL
 from veilspark.plans.scalars import decided
-from veilspark.sources import sinks
+from veilspark.sources import messages, sinks
 from veilspark.sources.lineage import checkpoint_dir
 from veilspark.streaming import expiring, jobs
 
@@ -58,7 +58,10 @@ def run(df, spark):
 def logged(s, sf):
     path = scratch(s)
     df = decided(s, sf).withColumn("path", F.lit("/v1")).withColumn("session", F.col("client"))
-    sinks.write_request_log(sinks.request_log_rows(df), path)
+    rows = sinks.request_log_rows(df)
+    # Written twice, as after a lost executor or a restart: the second time replaces the first.
+    sinks.write_request_log(rows, path, 7)
+    sinks.write_request_log(rows, path, 7)
     return s.read.parquet(path)
 
 
@@ -72,13 +75,30 @@ register(
 
 def vaulted(s, sf):
     path, key = scratch(s), F.lit("0123456789abcdef").cast("binary")
-    sinks.write_vault(va.minted(s, sf), path, key)
+    minted = va.minted(s, sf)
+    sinks.write_vault(minted, path, key)
+    sinks.write_vault(minted, path, key)
     return sinks.read_vault(s, path, key).select("session", "original", "tag", "placeholder", "suffix")
 
 
 register("vault_sink", vaulted, va.SQL["vault_mint"])
 
 
+def read_back(s, sf):
+    """Messages written as JSON lines and read with their schema; columns that a file lacks are null."""
+    path = scratch(s)
+    view(s, sf, sd.MESSAGES, "msg_id").select("msg_id", "session", F.timestamp_seconds("seq").alias("ts"), "body", F.lit("more").alias("other")).write.json(path)
+    rows = messages.read_messages(s, path, "json")
+    return plain(rows.select("msg_id", "session", "ts", F.sha2("body", 256).alias("digest"), F.coalesce("host", F.lit("-")).alias("host")))
+
+
+register(
+    "read_messages",
+    read_back,
+    f"SELECT msg_id, session, CAST(seq AS BIGINT) * 1000000 AS ts, sha256(body) AS digest, '-' AS host FROM ({sd.MESSAGES})",
+)
+
+
 def audit_sink(s, sf):
     path = scratch(s)
     rows = view(s, sf, sd.AUDIT_EVENTS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspark import fixed_values as fx
 from veilspark.functions.holdback import Cooldown, Tail
 from veilspark.operators import detect, logs, restore, vault
-from veilspark.sources.sinks import AuditWriter, write_batch
+from veilspark.sources.sinks import AuditWriter, read_vault, write_batch, write_vault
 from veilspark.streaming.keyed import keyed_state
 
 
@@ -36,8 +36,8 @@ VAULT_SCHEMA = (
 def stream_redact(messages: DataFrame, vault_path: str, out_path: str, checkpoint: str, salt: str, rules=None, once: bool = True):
     """Redact a message stream with placeholders that stay the same per session.
 
-    A batch mints only pairs the vault does not hold, appends them, then redacts with the rows of its
-    own sessions.  Placeholders are keyed hashes, so a repeated batch writes the same rows.
+    A batch mints only pairs the vault does not hold, writes them to its own part of their buckets, then redacts with the rows of its
+    own sessions, whose buckets alone are opened.  Placeholders are keyed hashes, so a repeated batch writes the same rows.
     """
 
     def each(df: DataFrame, batch_id: int) -> None:
@@ -47,9 +47,9 @@ def stream_redact(messages: DataFrame, vault_path: str, out_path: str, checkpoin
         scanned = detect.with_hits(df, rules).persist()
         hits = vault.session_hits(scanned)
         sessions = hits.select("session").distinct()
-        mine = _table(spark, vault_path, VAULT_SCHEMA, batch_id).join(sessions, "session", "left_semi")
-        write_batch(vault.mint_missing(hits, mine, salt), vault_path, batch_id)
-        now = _table(spark, vault_path, VAULT_SCHEMA, batch_id + 1).join(sessions, "session", "left_semi")
+        mine = read_vault(spark, vault_path, sessions=sessions, before=batch_id, schema=VAULT_SCHEMA)
+        write_vault(vault.mint_missing(hits, mine, salt), vault_path, batch_id=batch_id)
+        now = read_vault(spark, vault_path, sessions=sessions, before=batch_id + 1, schema=VAULT_SCHEMA)
         out = vault.redact_with_vault(scanned, now, salt)
         write_batch(out.select("msg_id", "session", "redacted"), out_path, batch_id)
         scanned.unpersist()
@@ -83,7 +83,7 @@ def stream_restore(pieces: DataFrame, vault_path_or_df, keys: list[str], out_pat
     def each(df: DataFrame, batch_id: int) -> None:
         v = vault_path_or_df
         if isinstance(v, str):
-            v = _table(df.sparkSession, v, VAULT_SCHEMA, 1 << 30)
+            v = read_vault(df.sparkSession, v, schema=VAULT_SCHEMA)
         done = restore.restore(df.withColumnRenamed("text", "body"), v, [*keys, "piece"])
         write_batch(done.select(*keys, "piece", "restored_text", "restored", "unresolved", "degraded", "overflowed"), out_path, batch_id)
 
