@@ -154,3 +154,15 @@ def test_partition_count_does_not_matter(spark):
         out, _ = vt.redact_sessions(dt.with_hits(df.repartition(n)), "k")
         got.append(sorted((r.msg_id, r.redacted) for r in out.collect()))
     assert got[0] == got[1]
+
+
+def test_a_caller_resolves_what_the_vault_lacks(spark):
+    book = spark.createDataFrame([("s", "Ann", "NAME", "[[PII:NAME:0123abcd]]", "0123abcd")], "session string, original string, tag string, placeholder string, suffix string")
+    df = spark.createDataFrame([(1, "s", "[[PII:NAME:0123abcd]] [[PII:MAIL:ffff0000]] (PII:mail:FFFF0000) [[PII:NAME:99999999]]"), (2, "t", "[[PII:MAIL:ffff0000]]")], "msg_id int, session string, body string")
+    ask = lambda session, ph: F.when((session == "s") & F.startswith(ph, F.lit("[[PII:MAIL:")), F.concat(F.lit("<"), ph, F.lit(">")))
+    got = {r.msg_id: (r.restored_text, r.restored, r.unresolved, r.degraded) for r in rs.restore(df, book, ["msg_id"], resolver=ask).collect()}
+    assert got[2] == ("[[PII:MAIL:ffff0000]]", 0, 1, 0)
+    assert got[1][0].startswith("Ann <[[PII:MAIL:ffff0000]]> (<[[PII:MAIL:ffff0000]]>)") and got[1][1:3] == (3, 1)
+    more = spark.createDataFrame([("s", "[[PII:MAIL:ffff0000]]", "a@b.org"), ("s", "[[PII:MAIL:ffff0000]]", "z@b.org"), ("s", "[[PII:NAME:0123abcd]]", "not Ann")], "session string, placeholder string, original string")
+    got = {r.msg_id: (r.restored_text, r.restored, r.unresolved) for r in rs.restore(df, book, ["msg_id"], resolver=more).collect()}
+    assert got == {1: ("Ann a@b.org (a@b.org) [[PII:NAME:99999999]]", 3, 1), 2: ("[[PII:MAIL:ffff0000]]", 0, 1)}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
@@ -66,13 +68,28 @@ def resolve_tokens(tokens: DataFrame, vault: DataFrame) -> DataFrame:
     )
 
 
-def _pass(rows: DataFrame, vault: DataFrame, keys: list[str], text: str, loose: bool, escape: str | None) -> DataFrame:
+Resolver = Callable[[Column, Column], Column]
+
+
+def _resolved_elsewhere(tokens: DataFrame, resolver: DataFrame | Resolver) -> DataFrame:
+    """Fills ``original`` where the vault has none, from a function of session and placeholder or from a table of them."""
+    if isinstance(resolver, DataFrame):
+        # One row a placeholder: a source that contradicts itself gives the least original.
+        more = resolver.groupBy(F.col("session").alias("_session"), F.col("placeholder").alias("_placeholder")).agg(F.min("original").alias("_more"))
+        tokens = tokens.join(more, F.col("session").eqNullSafe(F.col("_session")) & (F.col("canonical") == F.col("_placeholder")), "left")
+        return tokens.withColumn("original", F.coalesce("original", "_more")).drop("_session", "_placeholder", "_more")
+    return tokens.withColumn("original", F.coalesce(F.col("original"), resolver(F.col("session"), F.col("canonical"))))
+
+
+def _pass(rows: DataFrame, vault: DataFrame, keys: list[str], text: str, loose: bool, escape: str | None, resolver: DataFrame | Resolver | None = None) -> DataFrame:
     """One replacement pass; adds to the counters of ``rows``."""
     extra = [] if escape is None else [escape]
     tokens = _tokens(rows, keys + extra, text, fx.LOOSE_PLACEHOLDER if loose else fx.STRICT_PLACEHOLDER)
     if loose:
         tokens = tokens.where(~F.col("strict_form") & ~F.col("in_word"))
     done = resolve_tokens(tokens, vault)
+    if resolver is not None:
+        done = _resolved_elsewhere(done, resolver)
     found = F.col("original").isNotNull()
     value = F.col("original") if escape is None else F.when(
         F.col(escape), json_escape_inside(F.col("original"))
@@ -105,19 +122,23 @@ def restore(
     out: str = "restored_text",
     loose: bool = True,
     escape: str | None = None,
+    resolver: DataFrame | Resolver | None = None,
 ) -> DataFrame:
     """Restore placeholders of the same session.  ``keys`` must identify a row.
 
     Adds the text and the counters.  ``escape`` names a boolean column: the value goes inside a JSON
     string and must be escaped.  Rows without ``PII:`` take no part in any shuffle.
+
+    ``resolver`` is asked for what the vault lacks: a table ``(session, placeholder, original)``, or a function of the columns session and
+    placeholder (tag in capitals, suffix in small letters) that gives the original or null.
     """
     v = suffix_index(vault)
     zero = F.lit(0).cast("long")
     df = messages.withColumn(out, F.col(text)).withColumns(dict.fromkeys(STAT_NAMES, zero))
     has = F.contains(F.col(text), F.lit("PII:"))
-    rows = _pass(df.where(has), v, keys, out, loose=False, escape=escape)
+    rows = _pass(df.where(has), v, keys, out, loose=False, escape=escape, resolver=resolver)
     if loose:
-        rows = _pass(rows, v, keys, out, loose=True, escape=escape)
+        rows = _pass(rows, v, keys, out, loose=True, escape=escape, resolver=resolver)
     return rows.unionByName(df.where(~has))
 
 

@@ -232,3 +232,16 @@ register(
       WHEN 1 THEN '{{"tool":[{{"arguments":' || CAST(to_json('{{"to":' || CAST(to_json('see ' || put) AS VARCHAR) || '}}') AS VARCHAR) || '}}]}}'
       ELSE '{{"a":[1,{{"text":' || CAST(to_json(text) AS VARCHAR) || '}}],"deep":' || repeat('{{"d":', 30) || CAST(to_json(text) AS VARCHAR) || repeat('}}', 30) || ', "n" : 2.50}}' END AS restored_body FROM d""",
 )
+
+# The vault lacks a third of the customers; a second table has them for some sessions.
+THIN_VAULT = f"SELECT * FROM ({sd.VAULT}) x WHERE substr(suffix, 1, 1) NOT IN ('0', '1', '2', '3', '4')"
+SECOND = f"SELECT session, placeholder, 'from elsewhere: ' || original AS original FROM ({sd.VAULT}) y WHERE substr(suffix, 1, 1) IN ('0', '1', '2') OR substr(suffix, 1, 1) = '9'"
+D_THIN = (D_STRICT + ", " + D_LOOSE + ", " + D_STATS).replace(f"({sd.VAULT})", f"({THIN_VAULT})").replace(
+    "coalesce(e.original, f.original) AS repl", "coalesce(e.original, f.original, z.original) AS repl").replace(
+    "ON e.original IS NULL AND f.session = t.session AND f.suffix = t.sfx)", f"ON e.original IS NULL AND f.session = t.session AND f.suffix = t.sfx LEFT JOIN ({SECOND}) z ON z.session = t.session AND z.placeholder = t.canon)")
+D_THIN = D_THIN.replace("repl IS NOT NULL AND (exact IS NULL OR tok <> canon)", "repl IS NOT NULL AND ((exact IS NULL AND fallback IS NOT NULL) OR tok <> canon)")
+register(
+    "restore_resolver",
+    lambda s, sf: rs.restore(view(s, sf, sd.REPLIES), view(s, sf, THIN_VAULT), ["msg_id"], resolver=view(s, sf, SECOND)).select("msg_id", "restored_text", "restored", "unresolved", "degraded"),
+    f"WITH {D_THIN} SELECT s2.id AS msg_id, out AS restored_text, restored, unresolved, degraded FROM s2 JOIN stats USING (id)",
+)
