@@ -175,6 +175,30 @@ def rule_dry_run(messages: DataFrame, patterns: dict[str, str], text: str = "bod
     return totals.select(F.inline(F.array(*rows)))
 
 
+def rule_samples(messages: DataFrame, patterns: dict[str, str], key: str, k: int = 10, text: str = "body") -> DataFrame:
+    """``rule, messages, matches, samples``: a dry run that also shows up to ``k`` matches ``(key, start, len)`` of each pattern.
+
+    Each match falls by its hash into one of ``k`` places, which keeps the least hash; so the sample is the same on every run, is spread over
+    the corpus, and is put together like a minimum: one scan, one narrow aggregate.
+    """
+    for p in patterns.values():
+        re.compile(p)
+
+    def row(name: str, pattern: str) -> Column:
+        hits = F.transform(spans(F.col(text), uni(pattern)), lambda s: F.struct(
+            F.md5(F.concat_ws(":", F.lit(name), F.col(key).cast("string"), s["start"].cast("string"))).alias("h"), s["start"].alias("start"), s["len"].alias("len")))
+        place = lambda h: F.conv(F.substring(h["h"], 1, 8), 16, 10).cast("bigint") % k
+        least = let(hits, lambda hs: F.struct(
+            F.lit(name).alias("rule"), F.size(hs).cast("bigint").alias("n"), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.array_min(F.filter(hs, lambda h: place(h) == i))).alias("least")))
+        return least
+
+    rows = compute_once(messages.select(key, text), __rows=F.array(*[row(n, p) for n, p in patterns.items()])).select(key, F.inline("__rows"))
+    chosen = [F.min(F.when(F.get("least", F.lit(i)).isNotNull(), F.struct(F.get("least", F.lit(i)).alias("m"), F.col(key).alias("key")))).alias(f"p{i}") for i in range(k)]
+    per = rows.groupBy("rule").agg(F.count_if(F.col("n") > 0).alias("messages"), F.sum("n").alias("matches"), *chosen)
+    found = F.filter(F.array(*[F.col(f"p{i}") for i in range(k)]), lambda x: x.isNotNull())
+    return per.select("rule", "messages", "matches", F.transform(F.array_sort(found), lambda x: F.struct(x["key"].alias("key"), x["m"]["start"].alias("start"), x["m"]["len"].alias("len"))).alias("samples"))
+
+
 def preset_compare(messages: DataFrame, text: str = "body", presets=("conservative", "balanced", "aggressive")) -> DataFrame:
     """Messages masked and blocked under each preset, from one scan of the corpus."""
     per = []

@@ -12,7 +12,7 @@ from veilspark.operators.redact import redact
 from veilspark.plans import seeded as sd
 from veilspark.sources.messages import spread
 from veilspark.plans.base import (
-    DEFAULT_TAGS, RULE_WHERE, RULES, d_resolve, d_rule, d_scan, d_spans, d_splice, plain, q, table, view,
+    DEFAULT_TAGS, RULE_WHERE, RULES, d_rule, d_scan, d_spans, d_splice, plain, q, table, view,
 )
 
 QUERIES: dict = {}
@@ -275,6 +275,22 @@ register(
         for n, p in DRY.items()
     ),
 )
+def samples(s, sf):
+    found = dt.rule_samples(docs(s, sf), DRY, "doc_id", 5)
+    shown = F.array_join(F.transform("samples", lambda x: F.concat_ws("/", x["key"].cast("string"), x["start"].cast("string"), x["len"].cast("string"))), ",")
+    return found.select("rule", "messages", "matches", shown.alias("samples"))
+
+
+D_HITS = ", ".join(d_spans(f"y{i}", DOCS, p) for i, p in enumerate(DRY.values()))
+register(
+    "rule_samples",
+    samples,
+    f"""WITH {D_HITS}, a AS ({' UNION ALL '.join(f"SELECT '{n}' AS rule, id, start, len, md5('{n}:' || id || ':' || start) AS h FROM y{i}" for i, n in enumerate(DRY))}),
+    b AS (SELECT *, row_number() OVER (PARTITION BY rule, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 5 ORDER BY h, start, len, id) AS rn FROM a),
+    c AS (SELECT rule, string_agg(id || '/' || start || '/' || len, ',' ORDER BY h) AS samples FROM b WHERE rn = 1 GROUP BY rule)
+    SELECT r.rule, count(DISTINCT id) AS messages, count(id) AS matches, coalesce(max(samples), '') AS samples FROM (VALUES {', '.join(f"('{n}')" for n in DRY)}) r(rule)
+    LEFT JOIN a ON a.rule = r.rule LEFT JOIN c ON c.rule = r.rule GROUP BY r.rule""",
+)
 D_BLOCKS = (
     "SELECT id, bool_or(n >= need) AS blocked FROM (SELECT id, rule_id, count(*) AS n, CASE WHEN rule_id = 'builtin.apikey' THEN 1 ELSE 2 END AS need"
     " FROM h3 WHERE tag IN ('IDCARD', 'BANKCARD', 'APIKEY') GROUP BY id, rule_id) GROUP BY id"
