@@ -6,6 +6,8 @@ import __spark_entry__ as entry
 from compare import check, oracle
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
+#: No rows in the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,8 @@ def test_names():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_oracle(name, spark, sf, con):
     problem = check(name, QUERIES[name], SQL[name], spark, sf, con)
-    assert problem is None or problem.endswith("both sides are empty"), problem
+    # What the smallest tables have no rows for is compared all the same; the driver compares larger tables.
+    assert problem is None or name in MAY_BE_EMPTY and problem.endswith("both sides are empty"), problem
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))

@@ -11,7 +11,7 @@ NOW = d.datetime(2024, 3, 1)
 
 
 def test_hosts(spark):
-    hosts = ["api.openai.com:443", "CHATGPT.COM", "hf-di1q.deepseek.com", "deepseek.com", "evil-deepseek.com", "evil-chat.deepseek.com.attacker.com"]
+    hosts = ["api.openai.com:443", "CHATGPT.COM", "edge-7.deepseek.com", "deepseek.com", "fake-deepseek.com", "chat.deepseek.com.phish.example"]
     df = spark.createDataFrame([(h,) for h in hosts], "h string")
     got = [r[0] for r in df.select(tx.guarded_host_class(F.col("h"))).collect()]
     assert got == ["exact", "exact", "suffix", "suffix", "none", "none"]
