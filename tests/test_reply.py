@@ -55,3 +55,25 @@ def test_a_marker_matters_only_for_its_time(spark):
     assert sorted(r.resp_id for r in sg.sig_cross_request(said, reg, ["resp_id"]).collect()) == [0, 4]
     other = spark.range(501).select(F.concat(F.lit("name-"), "id").alias("nonce"), ts(0).alias("ts")).unionByName(spark.range(1).select(F.lit(" zebra-7 ").alias("nonce"), ts(3600).alias("ts")))
     assert sorted(r.resp_id for r in sg.sig_cross_request_any(said, other, ["resp_id"]).collect()) == [0, 1, 4]
+
+
+def test_context_without_restore(spark):
+    from veilspark.operators.frames import response_context
+
+    chunks = [delta("a" * 200_000), delta("b" * 200_000), event(kind="k", usage={"note": "not content"}, body="end")]
+    fields = frame_fields(frames(spark.createDataFrame([("c", i, t) for i, t in enumerate(chunks)], "conn string, seq bigint, text string")))
+    r = response_context(fields).first()
+    assert r.restored_text == "a" * 200_000 + "b" * 200_000 + "kend" and not r.truncated
+    cut = response_context(fields, 256 * 1024).first()
+    assert cut.truncated and cut.restored_text == "a" * 200_000 + "kend"
+
+
+def test_nested_tool_results(spark):
+    from veilspark.functions.json_text import tool_result_texts
+
+    content = [{"type": "text", "text": "deepest"}]
+    for _ in range(6):
+        content = [{"type": "tool_result", "content": content}]
+    body = json.dumps({"messages": [{"role": "tool", "content": content}]})
+    df = spark.createDataFrame([(1, body)], "msg_id int, body string")
+    assert [r.text for r in tool_result_texts(df, ["msg_id"]).collect()] == ["deepest"]

@@ -182,7 +182,6 @@ PROTOCOL_KEYS = [
     "usage", "id", "model", "type", "object", "created", "system_fingerprint", "role", "index",
     "stop_reason", "stop_sequence", "finish_reason",
 ]
-AUDIT_TEXT_BYTES = 256 * 1024
 
 # --- fixed values: response poison -------------------------------------------------------------------------
 BIDI_CHARS = r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"

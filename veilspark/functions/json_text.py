@@ -140,7 +140,11 @@ def varray(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "array<variant>")
 
 
-def _tool_texts(content: Column, depth: int = 4) -> Column:
+#: So many results inside results are followed; each level is a part of the plan.
+NESTED_RESULTS = 12
+
+
+def _tool_texts(content: Column, depth: int = NESTED_RESULTS) -> Column:
     """Texts of one tool content: a string, segments, nested results, or any object as JSON."""
     none = F.array().cast("array<string>")
 

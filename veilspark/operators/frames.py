@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
 from veilspark.functions.holdback import Frames, Tail
-from veilspark.functions.json_text import json_leaves, varray, vget, vstr, vtype
+from veilspark.functions.json_text import varray, vget, vstr, vtype
 from veilspark.functions.text import trim_space
 from veilspark.functions.walk import ordered_walk
 from veilspark.operators.cutting import cut_frames, decode
@@ -218,17 +218,20 @@ def channel_text(rows: DataFrame, by: list[str], order: list[str], text: str = "
 
 
 def event_text(fields: DataFrame) -> DataFrame:
-    """Pushes of audit text per event: its slots, or for events without slots all content leaves."""
+    """Pushes of audit text per event: its slots, or for events without slots all content values."""
+    from veilspark.operators.reply import content_values
+
     df = fields.where("data IS NOT NULL").withColumn("v", F.try_parse_json("data")).where(vtype(F.col("v")) == "OBJECT")
     known = F.transform(text_slots(F.col("v")), lambda s: s["text"])
-    skip = "|".join(fx.PROTOCOL_KEYS)
-    content = F.regexp_replace("data", rf'"(?:{skip})"\s*:\s*"[^"\\]*+(?:\\.[^"\\]*+)*+"', '"_":0')
-    texts = F.when(F.size(known) > 0, known).otherwise(json_leaves(content))
+    texts = F.when(F.size(known) > 0, known).otherwise(F.transform(content_values(F.col("data")), lambda s: s["text"]))
     return df.select("conn", "frame_no", F.posexplode(texts).alias("slot_no", "text")).where("text <> ''")
 
 
-def response_context(fields: DataFrame, max_bytes: int = fx.AUDIT_TEXT_BYTES) -> DataFrame:
-    """Per reply: audit text of whole pushes within the byte limit, truncation flag, first model, event count."""
+def response_context(fields: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Per reply: audit text of whole pushes, truncation flag, first model, event count.
+
+    With ``max_bytes`` pushes that don't fit any more are left out and ``truncated`` is set.
+    """
     pushes = event_text(fields)
 
     def start():
@@ -246,9 +249,12 @@ def response_context(fields: DataFrame, max_bytes: int = fx.AUDIT_TEXT_BYTES) ->
     def finish(st, key):
         return [(key[0], "".join(st["parts"]), st["cut"])]
 
-    text = ordered_walk(
-        pushes, ["conn"], ["frame_no", "slot_no"], start, step, finish, "conn string, restored_text string, truncated boolean"
-    )
+    if max_bytes is None:
+        text = channel_text(pushes, ["conn"], ["frame_no", "slot_no"]).select("conn", F.col("body").alias("restored_text"), F.lit(False).alias("truncated"))
+    else:
+        text = ordered_walk(
+            pushes, ["conn"], ["frame_no", "slot_no"], start, step, finish, "conn string, restored_text string, truncated boolean"
+        )
     v = F.col("v")
     model = F.coalesce(vstr(v, "$.model"), vstr(v, "$.message.model"), vstr(v, "$.response.model"))
     named = F.when(trim_space(F.col("model")) != "", F.col("model"))

@@ -21,7 +21,7 @@ from veilspark.sources.lineage import cut
 PROTOCOL_PATH = r"\.(?:" + "|".join(fx.PROTOCOL_KEYS) + r")(?:[.\[]|\z)"
 
 
-def _content(data: Column) -> Column:
+def content_values(data: Column) -> Column:
     """Text values of an event without known text places; what protocol fields hold, at any depth, is left out."""
     kept = F.filter(json_nodes(data), lambda n: ~F.rlike(n["path"], F.lit(PROTOCOL_PATH)))
     return F.transform(kept, lambda n: F.struct(
@@ -43,7 +43,7 @@ def pushes(fields: DataFrame) -> DataFrame:
         F.when(data.isNull() | (trim_space(data) == ""), F.when(F.col("valid"), none).otherwise(plain(F.col("raw"))))
         .when(v.isNull(), plain(data))
         .when(kind != "OBJECT", none)
-        .otherwise(F.when(F.size(known) > 0, known).otherwise(_content(data)))
+        .otherwise(F.when(F.size(known) > 0, known).otherwise(content_values(data)))
     )
     rows = compute_once(fields.select("conn", "frame_no", "data", "raw", "valid"), __slots=found.cast(f"array<{SLOT}>"))
     return rows.select("conn", "frame_no", F.posexplode("__slots").alias("slot_no", "s")).select("conn", "frame_no", "slot_no", "s.*").where("text <> ''")
