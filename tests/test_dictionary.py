@@ -80,3 +80,17 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([("a",)], "term string")
     assert dictionary.find_terms(spark.createDataFrame([], "msg_id bigint, body string"), dictionary.clean_terms(one), ["msg_id"]).count() == 0
     assert dictionary.clean_terms(spark.createDataFrame([("abc",), ("b",)], "term string"), max_chars=2, max_count=1).count() == 1
+
+
+def test_few_windows_pass_by_chance(spark):
+    """Many entries of about one size: each window is tried at all their lengths, and what passes carries its string."""
+    import random
+
+    rng = random.Random(3)
+    sign = "abcdefghij klmnop"
+    value = lambda n: "".join(rng.choices(sign, k=n))
+    entries = spark.createDataFrame([(f"e{n}", value(n), False) for n in range(1100, 2000)], "entry string, value string, word boolean")
+    texts = frame(spark, [value(100_000), value(100_000), entries.where("entry = 'e1500'").first().value])
+    found, _ = dictionary._candidates(texts, entries, ["msg_id"], "body", dictionary.MAX_BITS)
+    assert found.count() < 50
+    assert [(r.msg_id, r.entry, r.start, r.len) for r in dictionary.occurrences(texts, entries, ["msg_id"]).collect()] == [(2, "e1500", 0, 1500)]
