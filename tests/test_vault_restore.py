@@ -166,3 +166,13 @@ def test_a_caller_resolves_what_the_vault_lacks(spark):
     more = spark.createDataFrame([("s", "[[PII:MAIL:ffff0000]]", "a@b.org"), ("s", "[[PII:MAIL:ffff0000]]", "z@b.org"), ("s", "[[PII:NAME:0123abcd]]", "not Ann")], "session string, placeholder string, original string")
     got = {r.msg_id: (r.restored_text, r.restored, r.unresolved) for r in rs.restore(df, book, ["msg_id"], resolver=more).collect()}
     assert got == {1: ("Ann a@b.org (a@b.org) [[PII:NAME:99999999]]", 3, 1), 2: ("[[PII:MAIL:ffff0000]]", 0, 1)}
+
+
+def test_leftover_audit_counts_each_original(spark):
+    """Two originals of a session under one placeholder: a renamed tag counts as often as the exact form does."""
+    vault = spark.createDataFrame([("s", "[[PII:NAME:0a1b2c3d]]", "0a1b2c3d", "one"), ("s", "[[PII:NAME:0a1b2c3d]]", "0a1b2c3d", "two"), ("t", "[[PII:NAME:11111111]]", "11111111", "three")],
+                                  "session string, placeholder string, suffix string, original string")
+    replies = spark.createDataFrame([(1, "s", "[[PII:NAME:0a1b2c3d]]"), (2, "s", "[[PII:PERSON:0a1b2c3d]]"), (3, "s", "[[PII:NAME:99999999]]"), (4, "t", "[[PII:NAME:11111111]] [[PII:NAME:0a1b2c3d]]")],
+                                    "msg_id bigint, session string, body string")
+    got = rs.leftover_audit(replies, vault, ["msg_id"]).collect()
+    assert sorted(tuple(r) for r in got) == [("s", 5, 3), ("t", 2, 1)]
