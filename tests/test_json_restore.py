@@ -88,3 +88,12 @@ def test_values_inside_json_text_are_escaped_once_more(spark):
     assert json.loads(back["arguments"]) == {"who": 'a "b" \\c'} and json.loads(back["list"]["partial_json"][1]) == {"who": 'a "b" \\c'}
     assert back["text"] == 'a "b" \\c and [[PII:NAME:99999999]]' and "[[PII:NAME:0123abcd]]" in back
     assert (r.restored, r.unresolved, r.degraded) == (3, 1, 1)
+
+
+def test_bodies_are_walked_once(spark):
+    """The restore reads its rows several times: the walk over the bodies must not be part of what it reads."""
+    vault = spark.createDataFrame([("s", "[[PII:NAME:0a1b2c3d]]", "0a1b2c3d", 'o"ne')], "session string, placeholder string, suffix string, original string")
+    body = '{"a":[{"b" : ["x","\\ud800 [[PII:NAME:0a1b2c3d]]"]}, 1.50]}'
+    out = restore_json(spark.createDataFrame([(1, "s", body)], "msg_id bigint, session string, body string"), vault, ["msg_id"])
+    assert "__nodes" not in out._jdf.queryExecution().toString()
+    assert [r.restored_body for r in out.collect()] == ['{"a":[{"b" : ["x","? o\\"ne"]}, 1.50]}']

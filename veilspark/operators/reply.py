@@ -38,14 +38,15 @@ def pushes(fields: DataFrame) -> DataFrame:
     kind = vtype(v)
     none = F.array().cast(f"array<{SLOT}>")
     plain = lambda text: F.array(F.struct(F.lit("").alias("path"), F.lit("text").alias("channel"), text.alias("text"), F.lit(False).alias("escape")))
-    known = text_slots(v)
+    rows = compute_once(fields.select("conn", "frame_no", "data", "raw", "valid"), __known=F.when(kind == "OBJECT", text_slots(v)).cast(f"array<{SLOT}>"))
+    known = F.col("__known")
     found = (
         F.when(data.isNull() | (trim_space(data) == ""), F.when(F.col("valid"), none).otherwise(plain(F.col("raw"))))
         .when(v.isNull(), plain(data))
-        .when(kind != "OBJECT", none)
-        .otherwise(F.when(F.size(known) > 0, known).otherwise(content_values(data)))
+        .when(known.isNull(), none)
+        .otherwise(F.when(F.size(known) > 0, known).otherwise(content_values(F.when(known.isNotNull() & (F.size(known) == 0), data))))
     )
-    rows = compute_once(fields.select("conn", "frame_no", "data", "raw", "valid"), __slots=found.cast(f"array<{SLOT}>"))
+    rows = compute_once(rows, __slots=found.cast(f"array<{SLOT}>"))
     return rows.select("conn", "frame_no", F.posexplode("__slots").alias("slot_no", "s")).select("conn", "frame_no", "slot_no", "s.*").where("text <> ''")
 
 
