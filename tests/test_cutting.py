@@ -70,3 +70,20 @@ def test_snapshot_drops_what_came_before(spark):
     fields = fr.frame_fields(fr.frames(spark.createDataFrame(rows, "conn string, seq bigint, text string")))
     text = {r.conn: r.body for r in fr.channel_text(fr.slots(fields), ["conn", "channel"], ["frame_no", "slot_no"], resets=fr.snapshots(fields)).collect()}
     assert text == {"a": "final text and on", "b": "kept"}
+
+
+@pytest.mark.parametrize("block, whole", [(1, 0), (4, 40), (256, 300)])
+def test_long_replies_go_by_blocks_and_short_ones_whole(spark, block, whole):
+    rng = random.Random(block)
+    texts = replies(rng)
+    rows = [(c, i * 3, p) for c, t in texts.items() for i, p in enumerate(cuts(rng, t))]
+    want = [(c, i, raw) for c, t in texts.items() for one in [Frames(1 << 40)] for i, (raw, _) in enumerate(one.push(t) + one.finish())]
+    got = cutting.cut_frames(spark.createDataFrame(rows + [("null", 0, None)], "conn string, seq bigint, text string").repartition(7), block, whole).collect()
+    assert sorted((r.conn, r.frame_no, r.raw) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("whole", [0, cutting.WHOLE])
+def test_a_frame_without_an_end_is_read_once(spark, whole):
+    """Took time with the square of its length, hours for this one."""
+    got = cutting.cut_frames(spark.createDataFrame([("c", 0, "a\n\n" + "r" * 4_000_000)], "conn string, seq bigint, text string"), whole=whole).collect()
+    assert sorted((r.frame_no, len(r.raw)) for r in got) == [(0, 3), (1, 4_000_000)]
