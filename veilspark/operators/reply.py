@@ -5,28 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark import fixed_values as fx
 from veilspark.functions.holdback import Tail
-from veilspark.functions.json_text import vstr, vtype
-from veilspark.functions.json_walk import json_nodes
+from veilspark.functions.json_text import vstr
+from veilspark.functions.slots import SLOT, is_object, push_slots
 from veilspark.functions.spans import compute_once
 from veilspark.functions.text import trim_space
 from veilspark.functions.walk import ordered_walk
 from veilspark.operators import signals
-from veilspark.operators.frames import SLOT, frame_fields, frames, text_slots
+from veilspark.operators.frames import frame_fields, frames, reply_facts, snapshots
 from veilspark.operators.restore import STAT_NAMES, restore
 from veilspark.sources.lineage import cut
 
-#: A path that leads through a field of the protocol, not of the content.
-PROTOCOL_PATH = r"\.(?:" + "|".join(fx.PROTOCOL_KEYS) + r")(?:[.\[]|\z)"
-
-
-def content_values(data: Column) -> Column:
-    """Text values of an event without known text places; what protocol fields hold, at any depth, is left out."""
-    kept = F.filter(json_nodes(data), lambda n: ~F.rlike(n["path"], F.lit(PROTOCOL_PATH)))
-    return F.transform(kept, lambda n: F.struct(
-        n["path"].alias("path"), F.concat(F.lit("tree:"), F.when(n["key"] == "", "raw").otherwise(n["key"])).alias("channel"), n["leaf"].alias("text"), n["key"].isin(*fx.JSON_TEXT_KEYS).alias("escape")))
-
 
 def pushes(fields: DataFrame) -> DataFrame:
     """``conn, frame_no, slot_no, path, channel, text, escape``: every text that a reply gives, in its order.
@@ -34,17 +23,16 @@ def pushes(fields: DataFrame) -> DataFrame:
     Events give their known text places, else all content values.  Data that is no JSON, and lines that are no event at all, give
     themselves as text.
     """
-    v, data = F.try_parse_json("data"), F.col("data")
-    kind = vtype(v)
+    data = F.col("data")
     none = F.array().cast(f"array<{SLOT}>")
     plain = lambda text: F.array(F.struct(F.lit("").alias("path"), F.lit("text").alias("channel"), text.alias("text"), F.lit(False).alias("escape")))
-    rows = compute_once(fields.select("conn", "frame_no", "data", "raw", "valid"), __known=F.when(kind == "OBJECT", text_slots(v)).cast(f"array<{SLOT}>"))
-    known = F.col("__known")
+    rows = compute_once(fields.select("conn", "frame_no", "data", "raw", "valid"), __object=is_object(data))
+    rows = compute_once(rows, __found=push_slots(data, F.col("__object")))
     found = (
         F.when(data.isNull() | (trim_space(data) == ""), F.when(F.col("valid"), none).otherwise(plain(F.col("raw"))))
-        .when(v.isNull(), plain(data))
-        .when(known.isNull(), none)
-        .otherwise(F.when(F.size(known) > 0, known).otherwise(content_values(F.when(known.isNotNull() & (F.size(known) == 0), data))))
+        .when(F.col("__object"), F.col("__found"))
+        .when(F.try_parse_json(data).isNull(), plain(data))
+        .otherwise(none)
     )
     rows = compute_once(rows, __slots=found.cast(f"array<{SLOT}>"))
     return rows.select("conn", "frame_no", F.posexplode("__slots").alias("slot_no", "s")).select("conn", "frame_no", "slot_no", "s.*").where("text <> ''")
@@ -72,22 +60,16 @@ def reply_context(fields: DataFrame, sessions: DataFrame, vault: DataFrame) -> D
     ``body`` is the whole restored text in the order of the stream.  A last whole text of a channel takes the place of what the channel
     gave before it.
     """
-    from veilspark.operators.frames import snapshots
-
     said = pushes(fields).join(sessions, "conn")
     last = snapshots(fields).select("conn", "channel", F.col("frame_no").alias("_from"))
     said = said.join(last, ["conn", "channel"], "left").where("_from IS NULL OR frame_no >= _from")
     keys = ["conn", "channel", "rest", "frame_no", "slot_no"]
-    back = restore(_settled(said), vault, keys, "body", "back", escape="escape")
+    # The restore reads its rows several times.
+    back = restore(cut(_settled(said)), vault, keys, "body", "back", escape="escape")
     order = F.struct("rest", "frame_no", "slot_no", "channel", "back")
     text = back.groupBy("conn").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["back"]), "").alias("body"), *(F.sum(s).alias(s) for s in STAT_NAMES))
-    v = F.col("v")
-    events = fields.where("data IS NOT NULL").withColumn("v", F.try_parse_json("data")).where(vtype(v) == "OBJECT")
-    model = F.coalesce(vstr(v, "$.model"), vstr(v, "$.message.model"), vstr(v, "$.response.model"))
-    named = F.when(trim_space(F.col("model")) != "", F.col("model"))
-    facts = events.select("conn", "frame_no", model.alias("model")).groupBy("conn").agg(
-        F.min_by(named, F.when(named.isNotNull(), F.col("frame_no"))).alias("response_model"), F.count(F.lit(1)).alias("events"))
+    facts = reply_facts(fields)
     zero = F.lit(0).cast("bigint")
     return sessions.join(text, "conn", "left").join(facts, "conn", "left").select(
         "conn", "session", F.coalesce("body", F.lit("")).alias("body"), "response_model", F.coalesce("events", zero).alias("events"), *(F.coalesce(s, zero).alias(s) for s in STAT_NAMES))
