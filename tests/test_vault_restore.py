@@ -176,3 +176,17 @@ def test_leftover_audit_counts_each_original(spark):
                                     "msg_id bigint, session string, body string")
     got = rs.leftover_audit(replies, vault, ["msg_id"]).collect()
     assert sorted(tuple(r) for r in got) == [("s", 5, 3), ("t", 2, 1)]
+
+
+def test_minting_reads_its_hits_once(spark):
+    """The hits come from a scan of all texts, which costs by far most; it ran three times."""
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    rows = hit_rows(spark, [("a", i, "T", f"v{i}") for i in range(120)]).mapInPandas(told, HITS)
+    vault = vt.vault_mint(rows, "k", width=2)
+    assert vault.count() == 120 and vault.where("remapped").count() > 0 and read.value == 120
