@@ -32,19 +32,30 @@ def scratch(spark) -> str:
     return f"{checkpoint_dir(spark)}/veil-{uuid.uuid4().hex}"
 
 
+#: Rows of a file of :func:`as_stream`.
+FILE_ROWS = 25_000
+
+
 def as_stream(spark, df, files: int = 2, by: str | None = None):
-    """A table as a file stream, one file per micro-batch, written one after the other in the order of ``by``."""
-    path = scratch(spark)
+    """A table as a file stream of ``files`` micro-batches, written one after the other in the order of ``by``.
+
+    All batches have the same number of files, which follows the rows of the smallest one, so no task writes or reads a whole batch.
+    """
+    raw, path = scratch(spark), scratch(spark)
+    df.write.parquet(raw)
+    rows = spark.read.schema(df.schema).parquet(raw)
     if by is None:
-        df.repartition(files).write.parquet(path)
+        width = max(1, rows.count() // files // FILE_ROWS)
+        rows.repartition(files * width).write.parquet(path)
     else:
         at = F.col(by).cast("double")
-        cuts = df.agg(F.percentile_approx(at, [i / files for i in range(1, files)]).alias("c")).first()["c"]
-        for low, high in zip([None, *cuts], [*cuts, None]):
-            part = df if low is None else df.where(at > low)
-            part = part if high is None else part.where(at <= high)
-            part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        cuts = rows.agg(F.percentile_approx(at, [i / files for i in range(1, files)]).alias("c")).first()["c"] or []
+        ranges = [F.lit(True) if low is None else at > low for low in [None, *cuts]]
+        ranges = [r if high is None else r & (at <= high) for r, high in zip(ranges, [*cuts, None])]
+        width = max(1, min(rows.agg(*(F.count_if(r) for r in ranges)).first()) // FILE_ROWS)
+        for r in ranges:
+            rows.where(r).repartition(width).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", width).parquet(path)
 
 
 def run(df, spark):
