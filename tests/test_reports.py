@@ -101,3 +101,12 @@ def test_markers(spark):
     rows = [("a", NOW), (" b ", NOW), (" ", NOW), ("old", NOW - d.timedelta(hours=2))]
     df = spark.createDataFrame(rows, "nonce string, ts timestamp")
     assert sorted(r.nonce for r in lg.markers_active(df, F.lit(NOW)).collect()) == ["a", "b"]
+
+
+def test_risk_matrix_copies_no_rows_to_count_steps(spark):
+    rows = [(1, "step9_error", True, "error_leak", "MEDIUM"), (1, "step9_error", True, "error_leak", None), (1, "step9_error", False, None, None),
+            (1, "step3_verify", False, None, None), (1, "step3_verify", None, "cross_request_pollution", "HIGH"), (1, "step8_toolcall", True, "tool_call_rewrite", "LOW"), (1, None, True, "x", "LOW")]
+    out = pb.risk_matrix(spark.createDataFrame(rows, "scan_id long, step string, covered boolean, signal string, severity string"))
+    r = out.first()
+    assert (r.coverage, r.leak_mid, r.echo, r.echo_ok, r.replay, r.replay_ok, r.worst, r.incomplete) == ("2/3", True, False, False, False, True, 2, True)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
