@@ -63,3 +63,9 @@ def test_no_limit_on_hosts_markers_pages_and_bodies(spark):
     assert [r.entry for r in pl.passthrough_credentials(big, [LockerEntry("k", "s3cret-value")], ["req_id"]).collect()] == ["k"]
     table = spark.createDataFrame([(0, "k", "s3cret-value", "mask", True, "value")], "pos bigint, name string, value string, action string, enabled boolean, kind string")
     assert [r.entry for r in pl.passthrough_credentials(big, table, ["req_id"]).collect()] == ["k"]
+
+
+def test_requests_of_one_file_are_decided_on_all_cores(spark, sf):
+    from veilspark.plans import scalars
+
+    assert scalars.blocked(spark, sf).select("req_id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
