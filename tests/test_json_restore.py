@@ -97,3 +97,13 @@ def test_bodies_are_walked_once(spark):
     out = restore_json(spark.createDataFrame([(1, "s", body)], "msg_id bigint, session string, body string"), vault, ["msg_id"])
     assert "__nodes" not in out._jdf.queryExecution().toString()
     assert [r.restored_body for r in out.collect()] == ['{"a":[{"b" : ["x","? o\\"ne"]}, 1.50]}']
+
+
+def test_a_body_is_masked_once(spark):
+    from pyspark.sql import functions as F
+
+    from veilspark.functions import json_text as jt
+
+    rows = spark.createDataFrame([('{"a":"x","b":"y \\"z\\" "}',)], "body string").select(F.size(jt._value_tokens(F.col("body"))).alias("n"))
+    assert rows.first().n == 2
+    assert rows._jdf.queryExecution().analyzed().toString().count("replace(replace(") == 1
