@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +51,11 @@ class Viterbi:
                 codes = np.array([[ord(c) for c in pieces[i]] for i in ids], np.uint64)
                 h = mix64(self.prefixes(codes)[:, -1])
                 order = np.argsort(h)
-                self.tables[k] = (h[order], np.array(ids, np.int32)[order])
+                marks = np.zeros(1 << 18, bool)
+                marks[h >> np.uint64(46)] = True
+                self.tables[k] = (h[order], np.array(ids, np.int32)[order], marks)
         # What a piece stands for when it is decoded.
-        self.out = [bytes([int(p[1:-1], 16)]) if k == "byte" else p.replace("▁", " ").encode() if k == "piece" else b"" for p, k in zip(pieces, model["kinds"], strict=True)]
+        self.pieces = pa.array([bytes([int(p[1:-1], 16)]) if k == "byte" else p.replace("▁", " ").encode() if k == "piece" else b"" for p, k in zip(pieces, model["kinds"], strict=True)], pa.binary())
 
     @staticmethod
     def prefixes(codes: np.ndarray) -> np.ndarray:
@@ -67,15 +70,19 @@ class Viterbi:
         """For each length k the piece at each start, or -1."""
         found = {}
         with np.errstate(over="ignore"):
-            for k, (keys, ids) in self.tables.items():
+            for k, (keys, ids, marks) in self.tables.items():
                 if k < h.shape[1]:
                     key = mix64(h[:, k:] - h[:, :-k] * self.powers[k])
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    found[k] = np.where(keys[at] == key, ids[at], -1)
+                    # Few substrings are pieces: the leading bits tell most of the others before any search.
+                    maybe = np.nonzero(marks[key >> np.uint64(46)])
+                    sought = key[maybe]
+                    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+                    found[k] = np.full(key.shape, -1, np.int32)
+                    found[k][maybe] = np.where(keys[at] == sought, ids[at], -1)
         return found
 
-    def best(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Ids of the best segmentation of each row; -1 - code for a character that no piece covers.
+    def best(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the best segmentation of each row, on end, and their number; -1 - code for a character that no piece covers.
 
         Of equal sums the one whose last piece is longest wins, at each end.
         """
@@ -101,7 +108,7 @@ class Viterbi:
             ident[:, e] = np.where(chosen >= 0, chosen, -1 - codes[:, e - 1].astype(np.int64))
         return self.trace(step, ident)
 
-    def best_long(self, codes: np.ndarray) -> np.ndarray:
+    def best_long(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same for one long word: all its substrings are probed at once, then ends advance one by one."""
         found = self.probe(self.prefixes(codes[None].astype(np.uint64)))
         length = len(codes)
@@ -119,10 +126,10 @@ class Viterbi:
             if (not cand[e] or cand[e][-1][0] != 1) and (v := total[e - 1] + self.floor) > top:
                 top, pick = v, (1, -1 - int(codes[e - 1]))
             total[e], (step[0, e], ident[0, e]) = top, pick
-        return self.trace(step, ident)[0]
+        return self.trace(step, ident)
 
     @staticmethod
-    def trace(step: np.ndarray, ident: np.ndarray) -> list[np.ndarray]:
+    def trace(step: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, width = step.shape
         back = np.zeros((n, width - 1), np.int64)
         at, used, rows = np.full(n, width - 1), np.zeros(n, np.int64), np.arange(n)
@@ -131,7 +138,7 @@ class Viterbi:
             used[rows] += 1
             at[rows] -= step[rows, at[rows]]
             rows = rows[at[rows] > 0]
-        return [back[i, : used[i]][::-1] for i in range(n)]
+        return back[:, ::-1][(np.arange(width - 1) < used[:, None])[:, ::-1]], used
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as packed 32-bit integers."""
@@ -146,23 +153,33 @@ class Viterbi:
                 part = rows[lo : lo + max(1, CELLS // length)]
                 codes = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le"), np.uint32).reshape(len(part), length)
                 codes = np.where(codes == MARK, np.uint32(LITERAL_MARK), np.where(codes == 32, np.uint32(MARK), codes))
-                found = [self.best_long(c) for c in codes] if length > 64 else self.best(codes)
-                for i, ids in zip(part, found, strict=True):
-                    out[i] = self.pack(ids)
+                for rows_of, (ids, used) in [([i], self.best_long(c)) for i, c in zip(part, codes, strict=True)] if length > 64 else [(part, self.best(codes))]:
+                    for i, packed in zip(rows_of, self.pack(ids, used), strict=True):
+                        out[i] = packed
         return out
 
-    def pack(self, ids: np.ndarray) -> bytes:
-        if (ids < 0).any():
-            ids = [x for i in ids.tolist() for x in ([i] if i >= 0 else self.fallback(-1 - i))]
-        return np.asarray(ids, np.int32).tobytes()
+    def pack(self, ids: np.ndarray, used: np.ndarray) -> list[bytes]:
+        """The ids of each word as bytes; only words with a character that no piece covers are gone through one by one."""
+        raw, ends = ids.astype(np.int32).tobytes(), np.cumsum(used)
+        out = [raw[a:b] for a, b in zip((4 * (ends - used)).tolist(), (4 * ends).tolist(), strict=True)]
+        for w in np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), "right")).tolist():
+            own = ids[ends[w] - used[w] : ends[w]].tolist()
+            out[w] = np.array([x for i in own for x in ([i] if i >= 0 else self.fallback(-1 - i))], np.int32).tobytes()
+        return out
 
     def fallback(self, code: int) -> list[int]:
         raw = chr(MARK if code == LITERAL_MARK else code).encode()
         return [self.bytes[b] for b in raw] if self.bytes else [self.unknown]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_all(self, ids: pa.ListArray) -> list[str | None]:
+        """The text of each list of ids; null for null."""
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.pieces.take(ids.flatten()), mask=ids.is_null()), b"")
+        texts = [None if raw is None else raw.decode("utf-8", "replace") for raw in joined.to_pylist()]
+        return [t[1:] if t and t[0] == " " else t for t in texts]
 
 
 WORD = r" +[^ ]*"
@@ -212,8 +229,7 @@ def _decode(model: dict, ids_col: str, to: str):
     def run(batches):
         viterbi = Viterbi(model)
         for batch in (whole.slice(lo, 300) for whole in batches for lo in range(0, whole.num_rows, 300)):
-            texts = [None if ids is None else viterbi.decode(ids) for ids in _column(batch, ids_col).to_pylist()]
-            yield _with(batch, to, pa.array(texts, pa.string()))
+            yield _with(batch, to, pa.array(viterbi.decode_all(_column(batch, ids_col)), pa.string()))
 
     return run
 
