@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from veilspark.llm import sentpiece
+from veilspark.llm import minhash, sentpiece
 from veilspark.llm.queries import model_file
 
 
@@ -36,3 +36,24 @@ def test_pieces_are_decoded_together():
     part = lists.slice(1, 100)
     assert v.decode_all(part) == ([*texts, None, v.decode([7, 8])] * 40)[:100]
     assert calls(lambda: v.decode_all(part)) < 20 * len(part)
+
+
+def test_later_star_rounds_propose_no_more_than_the_first(docs_frame, rng, monkeypatch):
+    """A third of a family is linked with its first text, the rest with none: later rounds stay linear in the rows of the buckets."""
+    passage = [f"p{i}" for i in range(140)]
+    tails = [[f"t{i}_{j}" for j in range(30)] for i in range(300)]
+    for i in range(1, 100):
+        tails[i] = tails[0][:24] + tails[i][24:]
+    made = {"stars": []}
+
+    def cut(df):
+        out = real(df)
+        if "turned" in df.columns:
+            made["stars"].append(out.count())
+        return out
+
+    real = minhash.cut
+    monkeypatch.setattr(minhash, "cut", cut)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_frame([(i, " ".join(passage + t)) for i, t in enumerate(tails)]), k=4).collect()}
+    assert got == {i: 0 if i < 100 else i for i in range(300)}
+    assert len(made["stars"]) > 1 and max(made["stars"]) <= 2 * made["stars"][0]

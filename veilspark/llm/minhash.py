@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     ASCII white space, A-Z lower-cased; a shorter text is one shingle).  Equal sets are one node.  A bucket (equal
     values of one band) proposes only edges to one centre, so pairs stay linear in the rows.  Each edge is
     confirmed on the full sets.  Then buckets that still hold several components propose again, with
-    another centre, until a round adds no link.  Last, all pairs of the buckets that still hold several components are
+    another centre, while at least one in twenty of a round's edges is a link.  Last, all pairs of the buckets that still hold several components are
     compared in blocks (see ``_rest``), so every pair that shares a bucket is linked, or compared, or excluded.  With the
     defaults a pair of similarity 0.8 shares no bucket with probability 5e-8, and one of large sets is excluded by its bins
     with probability below 1e-8.
@@ -295,11 +295,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     labels, tested, step = None, None, 0
     while True:
         here = _placed(members, labels)
-        # Later rounds draw several centres anew for each bucket that still holds more than one component.
-        orders = [F.struct("rep")] if step == 0 else [F.struct(F.xxhash64("rep", F.lit(step * 8 + i)), F.col("rep")) for i in range(4)]
-        centres = here.groupBy("bucket").agg(F.min("at").alias("x"), F.max("at").alias("y"), F.array(*(F.min_by(F.struct("rep", "n", "at"), o) for o in orders)).alias("cs")).where("x <> y")
+        # Later rounds draw another centre for each bucket that still holds more than one component.
+        order = F.col("rep") if step == 0 else F.xxhash64("rep", F.lit(step))
+        centres = here.groupBy("bucket").agg(F.min("at").alias("x"), F.max("at").alias("y"), F.min_by(F.struct("rep", "n", "at"), F.struct(order, F.col("rep"))).alias("c")).where("x <> y")
         star = (
-            here.join(centres.select("bucket", "cs"), "bucket").select("rep", "n", "at", F.explode(F.filter("cs", lambda c: (F.col("at") != c["at"]) & (F.greatest("n", c["n"]) * percent <= F.least("n", c["n"]) * 100))).alias("c"))
+            here.join(centres.select("bucket", "c"), "bucket").where((F.col("at") != F.col("c.at")) & (F.greatest("n", "c.n") * percent <= F.least("n", "c.n") * 100))
             .groupBy(F.greatest("rep", F.col("c.rep")).alias("a"), F.least("rep", F.col("c.rep")).alias("b"))
             .agg(F.max(F.col("c.rep") > F.col("rep")).alias("turned"), F.min(F.least("at", F.col("c.at"))).alias("low"), F.max(F.greatest("at", F.col("c.at"))).alias("high"))
         )
@@ -316,9 +316,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             left.join(right, "c").select("low", "high", both.alias("both"), (F.size("hm") + F.size("hc")).alias("all"))
             .where(F.col("both") * 100 >= percent * (F.col("all") - F.col("both"))).select(F.col("high").alias("a"), F.col("low").alias("b"))
         )
-        if found.isEmpty():
+        links = found.count()
+        if links:
+            labels = _moved(labels, found)
+        # Stars pay while they join components; what they no longer find is left to the blocks, which compare all pairs.
+        if links * 20 < star.count() or not links:
             break
-        labels = _moved(labels, found)
         step += 1
     found = cut(_rest(_placed(members, labels), sets, percent, bands, rows, block, block_hashes))
     if not found.isEmpty():
