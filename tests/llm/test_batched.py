@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from veilspark.llm import minhash, sentpiece
+from veilspark.llm import backoff, minhash, sentpiece
 from veilspark.llm.queries import model_file
 
 
@@ -57,3 +57,12 @@ def test_later_star_rounds_propose_no_more_than_the_first(docs_frame, rng, monke
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_frame([(i, " ".join(passage + t)) for i, t in enumerate(tails)]), k=4).collect()}
     assert got == {i: 0 if i < 100 else i for i in range(300)}
     assert len(made["stars"]) > 1 and max(made["stars"]) <= 2 * made["stars"][0]
+
+
+def test_answers_are_smaller_than_the_lists_they_answer():
+    keys = np.unique(np.random.default_rng(2).integers(1 << 40, 1 << 59, 20_000))
+    asked = pa.table([pa.array(c, f.type) for c, f in zip([[3, 3], [0, 1], [backoff.pack(keys), backoff.pack(keys[::2])], [backoff.pack(np.ones(n, np.int64)) for n in (20_000, 10_000)]], backoff.GRAMS, strict=True)], schema=backoff.GRAMS)
+    got = backoff.elsewhere(asked).to_pylist()
+    assert [backoff.unpack(r["grams"]).tolist() for r in got] == [list(range(0, 20_000, 2)), list(range(10_000))]
+    assert all(backoff.unpack(r["times"]).tolist() == [1] * 10_000 for r in got)
+    assert all(len(r["grams"]) * 20 < len(backoff.pack(keys)) for r in got)

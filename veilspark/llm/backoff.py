@@ -84,6 +84,13 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").ravel())
 
 
+def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the n-grams by part of the count table, and where each part begins."""
+    part = (mix64(keys) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    by = np.argsort(part, kind="stable")
+    return by, np.append(np.searchsorted(part[by], np.arange(parts, dtype=part.dtype)), len(keys))
+
+
 def _count(order: int, wide: bool, parts: int):
     """The n-grams of each block and their counts, one row for each part of the count table."""
 
@@ -91,9 +98,7 @@ def _count(order: int, wide: bool, parts: int):
         for batch in batches:
             for block, sizes, tokens in zip(*(batch.column(i) for i in range(3)), strict=True):
                 keys, times = gram_counts(tokens_of(tokens.as_py(), wide), np.array(sizes.as_py(), np.int64), order)
-                part = (mix64(keys) % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[by], np.arange(parts + 1))
+                by, ends = dealt(keys, parts)
                 for p in np.flatnonzero(np.diff(ends)):
                     at = by[ends[p] : ends[p + 1]]
                     yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([block.as_py()]), pa.array([pack(keys[at])]), pa.array([pack(times[at])])], schema=GRAMS)
@@ -102,7 +107,10 @@ def _count(order: int, wide: bool, parts: int):
 
 
 def elsewhere(t: pa.Table) -> pa.Table:
-    """For each block of a part, the n-grams that other blocks have too, and how often these have them."""
+    """For each block of a part, the places in its list of the n-grams that other blocks have too, and how often these have them.
+
+    The block can list its n-grams again, and places take far fewer bytes than n-grams.
+    """
     blocks = t.column("block").to_pylist()
     each = [(unpack(k), unpack(n)) for k, n in zip(t.column("grams").to_pylist(), t.column("times").to_pylist(), strict=True)]
     name, inverse = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
@@ -115,7 +123,7 @@ def elsewhere(t: pa.Table) -> pa.Table:
         at += len(keys)
         keep = more > 0
         if keep.any():
-            out[0].append(t.column("part")[0].as_py()), out[1].append(block), out[2].append(pack(keys[keep])), out[3].append(pack(more[keep]))
+            out[0].append(t.column("part")[0].as_py()), out[1].append(block), out[2].append(pack(np.flatnonzero(keep))), out[3].append(pack(more[keep]))
     return pa.table([pa.array(o, f.type) for o, f in zip(out, GRAMS, strict=True)], schema=GRAMS)
 
 
@@ -155,17 +163,18 @@ def backoff_scores(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, counts:
     return np.bincount(doc, score, len(sizes)), np.bincount(doc, steps, len(sizes)).astype(np.int64)
 
 
-def _score(total: int, order: int, weight: float, wide: bool):
+def _score(total: int, order: int, weight: float, wide: bool, parts: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64())])
 
     def run(_, blocks, replies):
-        heard = [(unpack(k), unpack(n)) for k, n in zip(replies.column("grams").to_pylist(), replies.column("times").to_pylist(), strict=True)]
+        heard = [(p, unpack(k), unpack(n)) for p, k, n in zip(*(replies.column(c).to_pylist() for c in ("part", "grams", "times")), strict=True)]
         out = []
         for b in blocks.to_pylist():
             ids, sizes = tokens_of(b["tokens"], wide), np.array(b["sizes"], np.int64)
             keys, counts = gram_counts(ids, sizes, order)
-            for k, n in heard:
-                counts[np.searchsorted(keys, k)] += n
+            by, ends = dealt(keys, parts)
+            for p, k, n in heard:
+                counts[by[ends[p] : ends[p + 1]][k]] += n
             score, steps = backoff_scores(ids, sizes, keys, counts, total, order, weight)
             out.append(pa.table([pa.array(b["docs"], pa.int64()), pa.array(sizes), pa.array(steps), pa.array(score)], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
@@ -179,7 +188,7 @@ def stupid_backoff(docs: DataFrame, vocabulary: bytes, token_pattern: str, order
 
     Tokens are those of a public byte-level vocabulary.  Each task packs its documents into blocks and lists the
     distinct n-grams of a block with their counts, dealt by hash into packed parts.  A part sums them and answers each block only for the
-    n-grams that other blocks have too, with the others' counts; the block adds its own, and its documents are summed there.  A document's own counts are taken off:
+    n-grams that other blocks have too, by their places, with the others' counts; the block adds its own, and its documents are summed there.  A document's own counts are taken off:
     an n-gram found nowhere else backs off to the shorter one, times ``weight``; a token found nowhere else counts as
     ``weight`` occurrences.  A very common n-gram is one entry per block.
 
@@ -200,7 +209,8 @@ def stupid_backoff(docs: DataFrame, vocabulary: bytes, token_pattern: str, order
     total = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, n: a + n)), F.lit(0))).first()[0]
     wide = tokenizer(vocabulary, token_pattern).n_vocab > 1 << 16
     schema = "part bigint, block bigint, grams binary, times binary"
-    asked = blocks.select("block", "sizes", "tokens").mapInArrow(_count(order, wide, total // part_tokens + 16), schema)
+    parts = total // part_tokens + 16
+    asked = blocks.select("block", "sizes", "tokens").mapInArrow(_count(order, wide, parts), schema)
     replies = asked.groupBy("part").applyInArrow(elsewhere, schema)
-    scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(total, order, weight, wide), SCORES)
+    scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(total, order, weight, wide, parts), SCORES)
     return scored.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
