@@ -190,3 +190,25 @@ def test_minting_reads_its_hits_once(spark):
     rows = hit_rows(spark, [("a", i, "T", f"v{i}") for i in range(120)]).mapInPandas(told, HITS)
     vault = vt.vault_mint(rows, "k", width=2)
     assert vault.count() == 120 and vault.where("remapped").count() > 0 and read.value == 120
+
+
+def test_two_originals_of_one_placeholder_follow_the_sql(spark):
+    """The SQL makes an edit for each original and puts the placeholder between them; it leaves the order of the two open."""
+    import duckdb
+
+    from veilspark.plans import vaulting as va
+
+    texts = ["Dear [[PII:NAME:0a1b2c3d]], ready", "x [[PII:name:0A1B2C3D]] twice [[PII:NAME:0a1b2c3d]]", r"escaped \[\[PII:NAME:0a1b2c3d\]\] form", "bare PII:NAME:0a1b2c3d and (PII:NAME:0a1b2c3d)",
+             "tag [[PII:PERSON:0a1b2c3d]] back", "one [[PII:NAME:11111111]] only", "[[PII:NAME:99999999]] stays", "none"]
+    book = [("s", "A", "[[PII:NAME:0a1b2c3d]]", "0a1b2c3d"), ("s", "B", "[[PII:NAME:0a1b2c3d]]", "0a1b2c3d"), ("s", "C", "[[PII:NAME:11111111]]", "11111111")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE replies (msg_id BIGINT, session VARCHAR, body VARCHAR)")
+    con.executemany("INSERT INTO replies VALUES (?, 's', ?)", list(enumerate(texts)))
+    con.execute("CREATE TABLE book (session VARCHAR, original VARCHAR, placeholder VARCHAR, suffix VARCHAR)")
+    con.executemany("INSERT INTO book VALUES (?, ?, ?, ?)", book)
+    sql = va.SQL["restore_loose"].replace(f"({va.sd.REPLIES})", "(SELECT * FROM replies)").replace(f"({va.sd.VAULT})", "(SELECT * FROM book)")
+    in_order = lambda t: t.replace("B[", "A[").replace("]A", "]B").replace(r"B\[", r"A\[").replace("BPII", "APII").replace("3dA", "3dB")
+    want = sorted((i, in_order(t), *n) for i, t, *n in con.execute(sql).fetchall())
+    got = restored(spark, texts, vault_of(spark, [(s, o, p) for s, o, p, _ in book]))
+    assert [(i, *r) for i, r in enumerate(got)] == want
+    assert got[0][0] == "Dear A[[PII:NAME:0a1b2c3d]]B, ready" and got[3][0] == "bare APII:NAME:0a1b2c3dB and (APII:NAME:0a1b2c3dB)"
