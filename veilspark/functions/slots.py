@@ -16,6 +16,7 @@ from veilspark.functions.json_walk import _walk
 SLOT = "struct<path:string,channel:string,text:string,escape:boolean>"
 #: A path that leads through a field of the protocol, not of the content.
 PROTOCOL_PATH = re.compile(r"\.(?:" + "|".join(fx.PROTOCOL_KEYS) + r")(?:[.\[]|\Z)")
+TEXT_KEYS = (("content", "content"), ("reasoning_content", "reason"), ("reasoning", "reason"))
 WHOLE = re.compile(r"[+-]?[0-9]+", re.A)
 
 
@@ -60,26 +61,36 @@ def _known(data: dict) -> list[tuple]:
             out.append((path, channel, text, escape))
 
     for i, c in enumerate(_list(data.get("choices"))):
-        add(f"choices[{i}].text", f"text:{i}", _get(c, "text"))
+        if not isinstance(c, dict):
+            continue
+        if "text" in c:
+            add(f"choices[{i}].text", f"text:{i}", c["text"])
         for holder in ("delta", "message"):
-            for key, channel in (("content", "content"), ("reasoning_content", "reason"), ("reasoning", "reason")):
-                add(f"choices[{i}].{holder}.{key}", f"{channel}:{i}", _get(c, holder, key))
-            for j, t in enumerate(_list(_get(c, holder, "tool_calls"))):
+            said = c.get(holder)
+            if not isinstance(said, dict):
+                continue
+            for key, channel in TEXT_KEYS:
+                text = said.get(key)
+                if isinstance(text, str) and text:
+                    out.append((f"choices[{i}].{holder}.{key}", f"{channel}:{i}", text, False))
+            for j, t in enumerate(_list(said["tool_calls"]) if "tool_calls" in said else ()):
                 at = _number(_get(t, "index"))
                 add(f"choices[{i}].{holder}.tool_calls[{j}].function.arguments", f"args:{j if at is None else at}", _get(t, "function", "arguments"), True)
     kind = data.get("type")
-    idx = _number(data.get("index")) or 0
-    if kind == "content_block_delta":
-        add("delta.text", f"content:{idx}", _get(data, "delta", "text"))
-        add("delta.partial_json", f"args:{idx}", _get(data, "delta", "partial_json"), True)
-        add("delta.thinking", f"think:{idx}", _get(data, "delta", "thinking"))
-    if kind == "content_block_start":
-        add("content_block.text", f"content:{idx}", _get(data, "content_block", "text"))
-    in_args = isinstance(kind, str) and "function_call_arguments" in kind
-    add("delta", "args:0" if in_args else "content:0", data.get("delta"), in_args)
+    if kind in ("content_block_delta", "content_block_start"):
+        idx = _number(data.get("index")) or 0
+        if kind == "content_block_delta":
+            add("delta.text", f"content:{idx}", _get(data, "delta", "text"))
+            add("delta.partial_json", f"args:{idx}", _get(data, "delta", "partial_json"), True)
+            add("delta.thinking", f"think:{idx}", _get(data, "delta", "thinking"))
+        else:
+            add("content_block.text", f"content:{idx}", _get(data, "content_block", "text"))
+    if "delta" in data:
+        in_args = isinstance(kind, str) and "function_call_arguments" in kind
+        add("delta", "args:0" if in_args else "content:0", data["delta"], in_args)
     if "type" in data:
         add("text", "content:0", data.get("text"))
-    for i, c in enumerate(_list(data.get("candidates"))):
+    for i, c in enumerate(_list(data["candidates"]) if "candidates" in data else ()):
         for j, p in enumerate(_list(_get(c, "content", "parts"))):
             add(f"candidates[{i}].content.parts[{j}].text", f"gtext:{i}:{j}", _get(p, "text"))
     return out

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions import reply_text
 from veilspark.functions.holdback import Tail
-from veilspark.functions.json_text import vstr
 from veilspark.functions.slots import SLOT, is_object, push_slots
 from veilspark.functions.spans import compute_once
-from veilspark.functions.text import trim_space
-from veilspark.functions.walk import ordered_walk
+from veilspark.functions.text import json_escape_inside, trim_space
+from veilspark.functions.walk import ordered_walk, tasks
 from veilspark.operators import signals
+from veilspark.operators.cutting import WHOLE
 from veilspark.operators.frames import frame_fields, frames, reply_facts, snapshots
-from veilspark.operators.restore import STAT_NAMES, restore
-from veilspark.sources.lineage import cut
+from veilspark.operators.restore import STAT_NAMES, restore, suffix_index
+from veilspark.sources.lineage import cut, fits
 
 
 def pushes(fields: DataFrame) -> DataFrame:
@@ -75,6 +76,47 @@ def reply_context(fields: DataFrame, sessions: DataFrame, vault: DataFrame) -> D
         "conn", "session", F.coalesce("body", F.lit("")).alias("body"), "response_model", F.coalesce("events", zero).alias("events"), *(F.coalesce(s, zero).alias(s) for s in STAT_NAMES))
 
 
+def _whole_replies(chunks: DataFrame, whole: int, tell: bool) -> DataFrame:
+    """Replies read in one go by one task each, see :func:`veilspark.functions.reply_text.said`."""
+    rows = chunks.where("conn IS NOT NULL").select("conn", "seq", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartition(tasks(rows.sparkSession), "conn").sortWithinPartitions("conn", "seq")
+    return cut(rows.select("conn", "text").mapInArrow(reply_text.said(whole, tell), reply_text.SAID))
+
+
+def _contexts(chunks: DataFrame, sessions: DataFrame, vault: DataFrame, whole: int, tell: bool) -> tuple[DataFrame, DataFrame]:
+    """Contexts, and the events ``conn, seq, event_type, data`` that may matter for the stream signals."""
+    said = _whole_replies(chunks, whole, tell)
+    # Texts and values meet once, by the suffixes that a reply names.
+    asked = said.select("conn", F.explode("suffixes").alias("suffix")).join(sessions, "conn")
+    book = suffix_index(vault).select("session", "suffix", F.struct(
+        "suffix", "placeholder", "original", F.when(F.col("original").isNotNull(), json_escape_inside(F.col("original"))).alias("escaped"), "unique_suffix").alias("v"))
+    found = asked.join(book, ["session", "suffix"]).groupBy("conn", "session").agg(F.collect_list("v").alias("found"))
+    rows = sessions.join(said.drop("told"), "conn", "left").join(found.withColumnRenamed("session", "_session").withColumnRenamed("conn", "_conn"), (F.col("conn") == F.col("_conn")) & (F.col("session") == F.col("_session")), "left")
+    lists = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in ((c, rows.schema[c].dataType) for c in ("parts", "asks", "escapes", "suffixes", "found"))]
+    rows = rows.select("conn", "session", "response_model", F.coalesce("events", F.lit(0)).cast("bigint").alias("events"), F.coalesce("unsure", F.lit(False)).alias("unsure"), *lists)
+    done = cut(rows.mapInArrow(reply_text.restored, reply_text.RESTORED))
+    columns = ["conn", "session", "body", "response_model", "events", *STAT_NAMES]
+    sure = done.where("NOT unsure").withColumn("blocked", F.lit(0).cast("bigint")).select(*columns)
+    told = said.select("conn", F.inline("told"))
+    rare = done.where("unsure").select(F.col("conn").alias("_conn")).distinct()
+    if fits(rare, 0):
+        return sure, told
+    theirs = lambda df: df.join(rare, F.col("conn") == F.col("_conn"), "left_semi")
+    fields = cut(frame_fields(frames(theirs(chunks))))
+    events = fields.where("data IS NOT NULL").select("conn", F.col("frame_no").alias("seq"), F.coalesce("event_type", F.lit("")).alias("event_type"), "data")
+    told = told.join(rare, F.col("conn") == F.col("_conn"), "left_anti").unionByName(events)
+    return sure.unionByName(reply_context(fields, theirs(sessions), vault).select(*columns)), told
+
+
+def reply_contexts(chunks: DataFrame, sessions: DataFrame, vault: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """:func:`reply_context` of replies that come as wire text ``(conn, seq, text)``, with the same rows.
+
+    A reply of at most ``whole`` characters is read in one go and its placeholders are looked up once.  Longer ones, those with JSON on
+    which only Spark's parser can decide, and those in which a restored text names another placeholder go the way of :func:`reply_context`.
+    """
+    return _contexts(chunks, sessions, vault, whole, False)[0]
+
+
 def reply_audit(chunks: DataFrame, requests: DataFrame, vault: DataFrame, markers: DataFrame | None = None, key_names=(), paths=(), switches: dict[str, bool] | None = None, floor: str = "LOW") -> tuple[DataFrame, DataFrame]:
     """Context and findings of replies that come as wire text ``(conn, seq, text)``.
 
@@ -82,10 +124,8 @@ def reply_audit(chunks: DataFrame, requests: DataFrame, vault: DataFrame, marker
     for probes, ``expected``.  All nine signals run: on the restored text, on the events, on the tool results that the
     request carried, and on an expected command.
     """
-    fields = cut(frame_fields(frames(chunks)))
-    context = cut(reply_context(fields, requests.select("conn", "session"), vault))
+    context, events = _contexts(chunks, requests.select("conn", "session"), vault, WHOLE, True)
     pairs = requests.drop("session").join(context.select("conn", "body", F.col("response_model").alias("resp_model")), "conn")
-    events = fields.where("data IS NOT NULL").select("conn", F.col("frame_no").alias("seq"), F.coalesce("event_type", F.lit("")).alias("event_type"), "data")
     found = signals.run_audit(pairs, events, markers, ["conn"], key_names, paths, switches, floor, tool_body="req_body" if "req_body" in requests.columns else None,
                               expected="expected" if "expected" in requests.columns else None)
     return context, found

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilspark.operators import reply as rp
-from veilspark.operators.frames import frame_fields, frames
 from veilspark.operators.signals import sig_cross_request_any
 from veilspark.plans import audit as au
 from veilspark.plans import seeded as sd
@@ -49,8 +48,7 @@ UNION ALL SELECT conn, CAST(10002 AS BIGINT), 'data: [DONE]' || {BREAK} FROM ({Q
 
 
 def contexts(s, sf):
-    fields = frame_fields(frames(view(s, sf, wire(QUOTING, ENDS))))
-    return rp.reply_context(fields, view(s, sf, QUOTING).select("conn", "session"), view(s, sf, sd.VAULT)).drop("session", "blocked")
+    return rp.reply_contexts(view(s, sf, wire(QUOTING, ENDS)), view(s, sf, QUOTING).select("conn", "session"), view(s, sf, sd.VAULT)).drop("session", "blocked")
 
 
 register(
