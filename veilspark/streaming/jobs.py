@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed_values as fx
-from veilspark.functions.holdback import Cooldown, Tail
+from veilspark.functions.holdback import Cooldown, held_chars
 from veilspark.operators import detect, logs, restore, vault
 from veilspark.sources.sinks import AuditWriter, read_vault, write_batch, write_vault
-from veilspark.streaming.keyed import keyed_state
+from veilspark.streaming.keyed import keyed_columns, keyed_state
 
 
 def _start(df: DataFrame, checkpoint: str, each, once: bool = True):
@@ -61,19 +61,23 @@ def realign_stream(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """Hold back a partial placeholder per reply channel; a piece with ``final`` flushes the channel."""
     types = dict(pieces.dtypes)
 
-    def step(st: dict, row: dict) -> list[tuple]:
-        tail = Tail(st.get("held", ""))
-        text = tail.push(row["text"] or "")
-        if row["final"]:
-            text += tail.finish()
-        st["held"], n = tail.held, st.get("n", 0)
-        st["n"] = n + 1
-        if not text:
-            return []
-        return [(*(row[k] for k in keys), n, text, False)]
+    def fold(st: dict, rows: dict[str, list]) -> dict[str, list]:
+        held, n = st.get("held", ""), st.get("n", 0)
+        piece: list[int] = []
+        out: list[str] = []
+        for text, final in zip(rows["text"], rows["final"]):
+            text = held + (text or "")
+            keep = 0 if final else held_chars(text)
+            held = text[len(text) - keep :] if keep else ""
+            if keep < len(text):
+                piece.append(n)
+                out.append(text[: len(text) - keep] if keep else text)
+            n += 1
+        st["held"], st["n"] = held, n
+        return {"piece": piece, "text": out, "overflowed": [False] * len(out)}
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", piece long, text string, overflowed boolean"
-    return keyed_state(pieces, keys, ["seq"], step, schema)
+    return keyed_columns(pieces.select(*keys, "seq", "text", "final"), keys, "seq", fold, schema)
 
 
 def stream_restore(pieces: DataFrame, vault_path_or_df, keys: list[str], out_path: str, checkpoint: str, once: bool = True):
@@ -84,8 +88,11 @@ def stream_restore(pieces: DataFrame, vault_path_or_df, keys: list[str], out_pat
         v = vault_path_or_df
         if isinstance(v, str):
             v = read_vault(df.sparkSession, v, schema=VAULT_SCHEMA)
-        done = restore.restore(df.withColumnRenamed("text", "body"), v, [*keys, "piece"])
+        # The restore reads its rows several times, and each time the state of all keys would be folded anew.
+        rows = df.withColumnRenamed("text", "body").persist()
+        done = restore.restore(rows, v, [*keys, "piece"])
         write_batch(done.select(*keys, "piece", "restored_text", "restored", "unresolved", "degraded", "overflowed"), out_path, batch_id)
+        rows.unpersist()
 
     return _start(cut, checkpoint, each, once)
 

@@ -46,3 +46,34 @@ def keyed_state(
 
     timeout = GroupStateTimeout.EventTimeTimeout if timer else GroupStateTimeout.NoTimeout
     return df.groupBy(*keys).applyInPandasWithState(run, out_schema, "state string", "append", timeout)
+
+
+#: Rows of a frame that a fold gives back at once.
+SLICE = 50_000
+
+
+def keyed_columns(df: DataFrame, keys: list[str], order: str, fold: Callable[[dict, dict[str, list]], dict[str, list]], out_schema: str) -> DataFrame:
+    """:func:`keyed_state` for keys with very many rows: ``fold(state, columns)`` takes those of a micro-batch as columns in the order of ``order``.
+
+    It changes the state and returns the columns of ``out_schema`` without the keys, which come first in it.
+    """
+    names = [c.strip().split()[0] for c in out_schema.split(",")]
+    given = [c for c in df.columns if c not in keys]
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        state = json.loads(group.get[0]) if group.exists else {}
+        columns: dict[str, list] = {c: [] for c in given}
+        for pdf in frames:
+            for c in given:
+                columns[c] += pdf[c].tolist()
+        ranks = sorted(range(len(columns[order])), key=columns[order].__getitem__)
+        for c in given:
+            columns[c] = [columns[c][i] for i in ranks]
+        out = fold(state, columns)
+        group.update((json.dumps(state),))
+        rows = len(out[names[-1]])
+        for at in range(0, rows, SLICE):
+            part = {c: out[c][at : at + SLICE] for c in names[len(keys):]}
+            yield pd.DataFrame({**{k: [v] * len(part[names[-1]]) for k, v in zip(names, key)}, **part})
+
+    return df.groupBy(*keys).applyInPandasWithState(run, out_schema, "state string", "append", GroupStateTimeout.NoTimeout)
