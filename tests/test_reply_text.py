@@ -102,3 +102,35 @@ def test_common_events_need_no_other_parser():
     parts, asks, escapes, suffixes, model, events, told = reply_text.read_reply(text, parser)
     assert (parts, asks, escapes, suffixes, model, events, told[:1]) == (
         ["Hi [[PII:NAME:0123abcd]]", "x" * 300 + "rest of it[DONE]"], [0], [False], ["0123abcd"], "m1", 302, [{"seq": 302, "event_type": "", "data": "rest of it"}])
+
+
+def test_requests_are_read_for_all_signals_at_once(spark):
+    """Each signal joined requests and contexts anew, and by its bytes the result was searched by one task."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    shape = "conn string, session string, status int, headers string, req_text string, req_model string, req_body string, expected string, at long"
+    tool = '{"messages":[{"role":"t\\u006fol","content":"rm -rf / now"}]}'
+    rows = [("c%d" % i, "s", 401 if i % 2 else 200, "", "", "gpt-4o", tool if i == 4 else "{}", "", i) for i in range(30)]
+    asked = spark.createDataFrame(rows, shape).mapInPandas(seen, shape).withColumn("ts", F.timestamp_seconds("at")).drop("at").withColumn("own_markers", F.array().cast("array<string>"))
+    chunks = spark.createDataFrame([("c%d" % i, 0, said("key sk-abcdefghijklmnopqrst0123 and rm -rf / now")) for i in range(30)], CHUNK)
+    found = reply.reply_audit(chunks, asked, book(spark), None, switches={"cross_request_pollution": True, "tool_call_rewrite": True})[1]
+    kinds = {}
+    for r in found.collect():
+        kinds[r.signal] = kinds.get(r.signal, 0) + 1
+    assert kinds["error_leak"] == 15 and kinds["dangerous_action"] == 15 and kinds["tool_call_injection"] == 1 and read.value <= 90
+
+
+def test_tool_results_of_all_shapes_are_found(spark):
+    """Bodies are parsed only for the shapes that they may have; letters may hide behind a backslash."""
+    from veilspark.functions.json_text import tool_result_texts
+
+    bodies = ['{"messages":[{"role":"tool","content":"a"},{"role":"function","content":"b"}]}', '{"messages":[{"role":"user","content":[{"type":"tool_result","content":"c"}]}]}',
+              '{"contents":[{"role":"user","parts":[{"functionResponse":{"name":"n","response":{"x":1}}}]}]}', '{"messages":[{"role":"t\\u006fol","content":"d"},{"role":"user","content":[{"type":"tool\\u005fresult","content":"e"}]}]}',
+              '{"contents":[{"role":"user","parts":[{"function\\u0052esponse":{"response":2}}]}]}', '{"messages":[{"role":"user","content":"x"}]}', "no", None]
+    df = spark.createDataFrame(list(enumerate(bodies)), "msg_id int, body string")
+    assert sorted((r.msg_id, r.text) for r in tool_result_texts(df, ["msg_id"]).collect()) == [(0, "a"), (0, "b"), (1, "c"), (2, '{"x":1}'), (3, "d"), (3, "e"), (4, "2")]

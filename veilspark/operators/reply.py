@@ -126,6 +126,8 @@ def reply_audit(chunks: DataFrame, requests: DataFrame, vault: DataFrame, marker
     """
     context, events = _contexts(chunks, requests.select("conn", "session"), vault, WHOLE, True)
     pairs = requests.drop("session").join(context.select("conn", "body", F.col("response_model").alias("resp_model")), "conn")
+    # Every signal reads the pairs, which are few bytes for the time their texts take: by their bytes one task would search them all.
+    pairs = cut(pairs.repartition(tasks(pairs.sparkSession), "conn"))
     found = signals.run_audit(pairs, events, markers, ["conn"], key_names, paths, switches, floor, tool_body="req_body" if "req_body" in requests.columns else None,
                               expected="expected" if "expected" in requests.columns else None)
     return context, found
